@@ -7,20 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from bizfit.llm.common import table
+from bizfit.llm.decontaminate import find_leaks
 from bizfit.llm.exact_dedup import exact_dedup
+from bizfit.llm.language_id import language_id
 from bizfit.llm.near_dedup import near_dedup
+from bizfit.llm.packing import pack_documents
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_simhash": op6_simhash, "op10_exact_dedup": op10_exact_dedup}
+    return {f.__name__: f for f in (op4_language_id, op5_decontaminate, op6_simhash, op8_best_fit, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
