@@ -4,8 +4,9 @@ append() writes an arrival as small immutable shards, as many as its tasks have,
 and commits a manifest that names them. compact() takes the shards of the current
 manifest, puts them in tiers by size (each FAN times the last), and where a tier
 has FAN shards or more, or shards smaller than the target are all there is, cuts
-the tier, in order of their names, into runs of about TARGET_BYTES. Each run becomes
-one file, written by one task; what is large enough is left alone. A commit
+the tier, in order of their names, into runs of about TARGET_BYTES. Each run is read
+and written as one file by one task, so nothing is shuffled; what is large enough is
+left alone. A commit
 writes ``manifest-<version>.json`` under another name and renames it, which fails
 if another writer has that version: readers see a version whole or not at all, and
 files that no version names are garbage that is never read.
@@ -22,6 +23,7 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 TARGET_BYTES = 64 << 20
 FAN = 4
 FLOOR_BYTES = 64 << 10
+RUNS_PER_JOB = 200
 
 
 @dataclass(frozen=True)
@@ -117,16 +120,16 @@ class Store:
         return [r for r in runs if len(r) > 1]
 
     def compact(self) -> int | None:
-        """Merge what plan() names, in one job with a task a run, and commit; None if there is nothing to do."""
+        """Merge what plan() names, a task a run and RUNS_PER_JOB runs a job, and commit; None if there is nothing to do."""
         base, shards = (self.versions() or [0])[-1], self.manifest()
         runs = self.plan(shards)
         if not runs:
             return None
-        of = self.spark.createDataFrame([(s.path.rsplit("/", 1)[-1], k) for k, run in enumerate(runs) for s in run], "_shard_file string, _merge_run int")
-        old = self.spark.read.parquet(*[s.path for run in runs for s in run])
-        rows = old.withColumn("_shard_file", F.col("_metadata.file_name")).join(F.broadcast(of), "_shard_file").drop("_shard_file")
+        schema = self.spark.read.parquet(runs[0][0].path).schema
         folder = f"{self.root}/merged-{uuid.uuid4().hex}"
-        rows.repartition(len(runs), "_merge_run").write.partitionBy("_merge_run").parquet(folder)
+        for at in range(0, len(runs), RUNS_PER_JOB):
+            parts = [self.spark.read.schema(schema).parquet(*[s.path for s in run]).coalesce(1) for run in runs[at : at + RUNS_PER_JOB]]
+            reduce(DataFrame.union, parts).write.mode("append").parquet(folder)
         gone = {s.path for run in runs for s in run}
         level = 1 + max(s.level for run in runs for s in run)
         version = self.commit([s for s in shards if s.path not in gone] + self._written(folder, level), base)
