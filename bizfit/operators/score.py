@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bizfit.operators.shared import cut
+
 VERSION = "1"
 FACTORS = ("succession", "buy_box", "digital_gap", "fragmentation", "contactability", "health")
 #: Default weights, priors, impacts, patterns and lists of the scoring rules.
@@ -305,8 +307,8 @@ def with_total(rows: DataFrame, weight: Callable[[str], Column] | None = None) -
 
 
 def score_table(companies: DataFrame, as_of_year: int, box: BuyBox = BuyBox()) -> DataFrame:  # noqa: B008
-    """Factors and total of every row."""
-    return with_total(with_factors(companies, as_of_year, box))
+    """Factors and total of every row. The factors are written first, so that totals don't repeat their expressions."""
+    return with_total(cut(with_factors(companies, as_of_year, box), "factors"))
 
 
 def ranked(scored: DataFrame) -> DataFrame:
@@ -325,6 +327,7 @@ def what_if(factors: DataFrame, weights: DataFrame) -> DataFrame:
     if n > 10_000:
         raise ValueError("too many weight vectors for one job")
     given = weights.select("scenario", *[F.col(k).cast("double").alias(f"_v_{k}") for k in FACTORS])
+    factors = cut(factors, "factors")
     rows = with_total(factors.crossJoin(F.broadcast(given)), lambda k: F.col(f"_v_{k}"))
     return rows.drop(*[f"_v_{k}" for k in FACTORS])
 
