@@ -177,7 +177,7 @@ def attach_principal(companies: DataFrame, principals: DataFrame) -> DataFrame:
     """Name and title of the licence's principal on the first contact, if there is a contact."""
     p = principals.select("licence_number", F.col("person").alias("_person"), F.col("person_title").alias("_title"))
     joined = companies.join(p, "licence_number", "left")
-    first = F.element_at("contacts", 1)
+    first = F.get("contacts", F.lit(0))
     named = first.withField("name", F.col("_person")).withField("title", F.col("_title")).withField("is_decision_maker", F.lit(True))
     contacts = F.concat(F.array(named), F.slice("contacts", F.lit(2), F.greatest(F.size("contacts") - 1, F.lit(0))))
     set_it = F.col("_person").isNotNull() & (F.size("contacts") > 0)

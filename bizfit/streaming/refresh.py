@@ -10,7 +10,7 @@ from bizfit.operators.shared import fresh_path
 
 def refreshes(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """company_id, seen_at, signal of each refresh, once per content key, within the watermark."""
-    rows = events.select(F.col("user_id").alias("company_id"), F.col("ts").alias("seen_at"), "event_type", "value")
+    rows = events.select(F.col("user_id").alias("company_id"), F.col("ts").cast("timestamp").alias("seen_at"), "event_type", "value")
     rows = rows.withColumn("cache_key", F.left(F.sha2(F.concat_ws("|", F.col("company_id").cast("string"), "event_type", F.col("value").cast("string")), 256), F.lit(32)))
     return rows.withWatermark("seen_at", delay).dropDuplicates(["cache_key"]) if not events.isStreaming else rows.withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(["cache_key"])
 
