@@ -121,13 +121,14 @@ class Model:
         for lang in self.langs:
             t = automaton(self.symbol[parts[lang]], self.width)
             # where no transition goes on, a piece ends; the next begins with this character
-            again = np.where(t[0] >= 0, t[0], 0) | FRESH
-            self.tables.append(np.where(t >= 0, t, again[None, :]).astype(np.int32).reshape(-1))
+            # a last state, where a text begins and unknown characters lead, always begins a piece
+            again = np.where(t[0] >= 0, t[0], len(t)) | FRESH
+            self.tables.append(np.vstack([np.where(t >= 0, t, again[None, :]), again[None, :]]).astype(np.int32).reshape(-1))
             self.bits.append(math.log2(len(parts[lang]) + 1))
 
     def pieces(self, texts: list[np.ndarray]) -> np.ndarray:
         """Number of pieces per text and language."""
-        out = np.ones((len(texts), len(self.langs)))
+        out = np.zeros((len(texts), len(self.langs)))
         starts = [(i, at) for i, x in enumerate(texts) for at in range(0, len(x), BLOCK)]
         if not starts or not self.langs:
             return out
@@ -142,7 +143,7 @@ class Model:
         active = np.searchsorted(-size, -np.arange(len(grid)), side="left")
         owner = np.array([starts[k][0] for k in order.tolist()])
         for n, table in enumerate(self.tables):
-            state, ends = np.zeros(len(starts), np.int32), np.zeros(len(starts), np.int32)
+            state, ends = np.full(len(starts), len(table) // self.width - 1, np.int32), np.zeros(len(starts), np.int32)
             for row, m in zip(grid, active.tolist(), strict=True):
                 s = state[:m]
                 s *= self.width
@@ -161,7 +162,7 @@ class Model:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         best = rate.argmin(axis=1)
         two = np.sort(rate, axis=1)[:, :2]
-        score = 1 - two[:, 0] / two[:, 1] if len(self.langs) > 1 else np.ones(len(texts))
+        score = 1 - two[:, 0] / np.maximum(two[:, 1], 1e-9) if len(self.langs) > 1 else np.ones(len(texts))
         none = np.array([len(x) == 0 for x in raw], bool)
         return [UNKNOWN if e else self.langs[k] for e, k in zip(none, best, strict=True)], np.where(none, 0.0, score)
 
