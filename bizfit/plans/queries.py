@@ -344,10 +344,10 @@ def document_emails(s: SparkSession, d: str) -> DataFrame:
 SELECT id, CASE WHEN mx THEN 'verified' ELSE 'risky' END AS status, email LIKE 'info@%' AS is_role FROM e JOIN g USING (dom)""")
 @query("C1_email_verdict", f"SELECT id, CASE WHEN length(string_split(lower(email), '@')[-1]) % 2 = 0 THEN 'verified' ELSE 'risky' END AS status, email LIKE 'info@%' AS is_role FROM ({FLAT}) WHERE email IS NOT NULL")
 def email_verdict(s: SparkSession, d: str) -> DataFrame:
-    return contacts.email_verdicts(flat(s, d).filter("email IS NOT NULL").select("id", "email"), _facts(s, d)).select("id", "status", "is_role")
+    return contacts.email_verdicts(flat(s, d).filter("email IS NOT NULL").select("id", "email"), mail_facts(s, d)).select("id", "status", "is_role")
 
 
-def _facts(s: SparkSession, d: str) -> DataFrame:
+def mail_facts(s: SparkSession, d: str) -> DataFrame:
     dom = flat(s, d).filter("email IS NOT NULL").select(C.email_domain(F.col("email")).alias("domain")).distinct()
     return dom.select("domain", F.when(F.char_length("domain") % 2 == 0, F.array(F.lit("mx1"))).otherwise(F.array().cast("array<string>")).alias("mx"), F.lit(None).cast("boolean").alias("exists"))
 
@@ -359,7 +359,7 @@ def phone_e164(s: SparkSession, d: str) -> DataFrame:
 
 @query("C3_validate_contacts")
 def validate_contacts(s: SparkSession, d: str) -> DataFrame:
-    return contacts.flat_contacts(contacts.validate_contacts(companies(s, d), _facts(s, d)))
+    return contacts.flat_contacts(contacts.validate_contacts(companies(s, d), mail_facts(s, d)))
 
 
 @query("S8_assemble_nested", f"SELECT id, CAST(has_contact AS INT) AS n_contacts, email FROM ({FLAT})")
@@ -429,7 +429,7 @@ def refresh_batch(s: SparkSession, d: str) -> DataFrame:
 
 @query("X2_score_list")
 def score_list(s: SparkSession, d: str) -> DataFrame:
-    rows = annotate.quality(contacts.validate_contacts(companies(s, d), _facts(s, d)))
+    rows = annotate.quality(contacts.validate_contacts(companies(s, d), mail_facts(s, d)))
     return score.score_table(rows, AS_OF_YEAR).select("id", "score", "confidence", "data_quality")
 
 
@@ -440,7 +440,7 @@ def collect(s: SparkSession, d: str) -> DataFrame:
     kept = cut(match.dedupe(merged)[0], "collect-kept")
     full = cut(annotate.chain_locations(annotate.peer_density(kept)), "collect-annotated")
     sample = annotate.stratified_sample(full, 250)
-    return score.score_table(annotate.quality(contacts.validate_contacts(sample, _facts(s, d))), AS_OF_YEAR).select("id", "industry", "score", "data_quality")
+    return score.score_table(annotate.quality(contacts.validate_contacts(sample, mail_facts(s, d))), AS_OF_YEAR).select("id", "industry", "score", "data_quality")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,7 +86,7 @@ def principal_best(rows: DataFrame) -> DataFrame:
     turned = F.when(F.size(words) > 1, F.concat(F.slice(words, F.lit(2), F.size(words) - 1), F.slice(words, 1, 1))).otherwise(words)
     letters = F.regexp_extract_all(F.lower(F.array_join(turned, " ")), F.lit(r"([^\p{L}]*)(\p{L}+|$)"), F.lit(0))
     cased = F.array_join(F.transform(letters, lambda p: F.concat(F.regexp_extract(p, r"^([^\p{L}]*)", 1), F.initcap(F.regexp_replace(p, r"^[^\p{L}]*", "")))), "")
-    titles = F.filter(F.transform(F.split(F.coalesce("EMP-Titl-CDE", F.lit("")), r"\|"), F.trim), lambda t: t != "")
+    titles = F.filter(F.transform(F.split(F.coalesce("EMP-Titl-CDE", F.lit("")), r"\|"), lambda t: F.trim(t)), lambda t: t != "")
     rank = lambda t: F.coalesce(*[F.when(F.contains(F.lower(t), F.lit(w)), k) for k, w in enumerate(TITLE_RANK)], F.lit(len(TITLE_RANK)))
     best = F.array_min(F.transform(titles, lambda t, i: F.struct(rank(t).alias("r"), i.alias("i"), t.alias("t"))))["t"]
     usable = rows.filter(C.blank(F.col("LIC-NO")).isNotNull() & (F.size(words) > 0))
@@ -151,9 +151,9 @@ def lead_list(rows: DataFrame, as_of_year: int) -> tuple[DataFrame, DataFrame]:
     return out.filter("name IS NOT NULL"), report.withColumn("unmapped", F.lit(", ".join(rest)))
 
 
-def snapshot_load(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The companies of a nested snapshot file."""
-    whole = spark.read.schema(f"market string, generated_at string, sources array<string>, companies array<struct<{schema}>>").json(path, multiLine=True)
+def snapshot_load(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """The companies of nested snapshots: one a file, or one a line, which can be split and so suits many."""
+    whole = spark.read.schema(f"market string, generated_at string, sources array<string>, companies array<struct<{schema}>>").json(path, multiLine=multi_line)
     return whole.select("market", "generated_at", F.inline("companies"))
 
 
