@@ -7,10 +7,11 @@ navigation, forms, scripts, or an element whose role, class or id says header,
 sidebar, notice, advert, comment and the like. Text per tag of each line, nothing
 for the marked ones, is smoothed over neighbouring lines with a Gaussian, and a
 threshold at a share of the standard deviation parts dense lines from sparse ones.
-The dense lines vote by length for a container; the region is that container's
-unmarked lines, short ones between dense ones included, since an article's one-word
-paragraph belongs to it. Without such containers, the region runs from the first
-to the last dense line.
+The dense lines vote by length for a container; the region is the unmarked lines of
+that container and of all within it, short ones between dense ones included, since
+an article's one-word paragraph belongs to it. If it is no article or main part,
+dense unmarked lines elsewhere belong to the region too. Without an elected
+container, the region runs from the first to the last dense line.
 
 Nothing is shuffled; each page is one row's work in linear time.
 
@@ -78,6 +79,10 @@ class Lines(HTMLParser):
         self.stack: list[tuple[str, int, bool, bool]] = []  # tag, container, marked, skipped
         self.articles = 0
         self.count, self.buffer, self.tags = 0, [], 0
+        self.around = [0]  # the container around each container; 0 is the page
+        self.mains: set[int] = set()  # containers that are an article or main part
+        self.where: dict[str, list[int]] = defaultdict(list)  # places of each tag on the stack
+        self.sections: list[int] = []  # places of sections on the stack
 
     def _end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.buffer)).strip()
@@ -88,8 +93,11 @@ class Lines(HTMLParser):
         self.buffer.clear()
 
     def _pop(self) -> None:
-        if self.stack.pop()[0] in ("article", "main"):
-            self.articles -= 1
+        tag = self.stack.pop()[0]
+        self.where[tag].pop()
+        if tag in SECTIONS:
+            self.sections.pop()
+        self.articles -= tag in ("article", "main")
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS or tag in SKIP:
@@ -102,9 +110,14 @@ class Lines(HTMLParser):
         _, container, off, skip = self.stack[-1] if self.stack else ("", 0, False, False)
         if tag in SECTIONS:
             self.count += 1
+            self.around.append(container)
             container = self.count
+            self.sections.append(len(self.stack))
+            if tag in ("article", "main"):
+                self.mains.add(container)
         off = off or marked(tag, attrs, self.articles > 0)
         self.articles += tag in ("article", "main")
+        self.where[tag].append(len(self.stack))
         self.stack.append((tag, container, off, skip or tag in SKIP))
 
     def handle_startendtag(self, tag, attrs):
@@ -116,8 +129,10 @@ class Lines(HTMLParser):
         if tag in BLOCKS or tag in SKIP:
             self._end_line()
         self.tags += 1
-        k = next((k for k in range(len(self.stack) - 1, max(-1, len(self.stack) - 400), -1) if self.stack[k][0] == tag), None)
-        if k is None or tag not in BLOCKS and any(self.stack[j][0] in SECTIONS for j in range(k + 1, len(self.stack))):
+        if not self.where.get(tag):
+            return
+        k = self.where[tag][-1]
+        if tag not in BLOCKS and self.sections and self.sections[-1] > k:
             return
         while len(self.stack) > k:
             self._pop()
@@ -139,7 +154,7 @@ def smooth(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return pad(ratio) / pad(np.ones(len(ratio)))
 
 
-def region(lines: list[tuple[str, int, int, bool]]) -> list[bool]:
+def region(lines: list[tuple[str, int, int, bool]], around: list[int], mains: set[int]) -> list[bool]:
     """Which lines belong to the content region."""
     size = np.array([len(t) for t, *_ in lines], float)
     off = np.array([x[3] for x in lines], bool)
@@ -157,7 +172,10 @@ def region(lines: list[tuple[str, int, int, bool]]) -> list[bool]:
     if votes[first] < 0.8 * sum(votes.values()):
         chosen = {c for c in votes if votes[c] > 0}
     at = np.nonzero(dense)[0]
-    inside = [not o and (x[2] in chosen) for x, o in zip(lines, off, strict=True)]
+    within = [first == 0] * len(around)
+    for c in range(1, len(around)):  # a container's number is above that of the one around it
+        within[c] = c == first or within[around[c]]
+    inside = [not o and (within[x[2]] or bool(d) and first not in mains) for x, o, d in zip(lines, off, dense, strict=True)]
     if len(chosen) > 1:
         inside = [not o and at[0] <= k <= at[-1] for k, o in enumerate(off)]
     return inside
@@ -183,7 +201,7 @@ def extract(html: str | None) -> str:
     parser.close()
     if not parser.lines:
         return ""
-    keep = region(parser.lines)
+    keep = region(parser.lines, parser.around, parser.mains)
     return " ".join(x[0] for x, k in zip(parser.lines, keep, strict=True) if k)
 
 
