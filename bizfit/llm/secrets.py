@@ -1,8 +1,10 @@
 """Secret scanning: a random forest drops false positives among candidates.
 
 Candidates are runs of MIN_LENGTH or more characters of keys and tokens
-([A-Za-z0-9_+/=-]) that hold a digit or change case, found in whole texts by
-regular expressions. Features: length; letters, digits and others; changes between
+([A-Za-z0-9_+/=-]) that hold a digit or change case, and values of any length and
+characters assigned to a credential's name (up to the closing quote, or to a blank,
+quote, comma or semicolon), found in whole texts by regular expressions. The words
+before a candidate are those of the text, other candidates included. Features: length; letters, digits and others; changes between
 character classes per character; distinct characters; the share of hex digits;
 dictionary coverage, the share of characters within pieces that are words of the
 corpus's own dictionary; whether the row's path names tests, samples or lock files;
@@ -43,9 +45,14 @@ CUTOFF = 0.5
 
 BEFORE = 24
 #: A whole run of key characters, with a digit or a change to upper case in it.
-CANDIDATE = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z0-9_+/=-]*(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9_+/=-]{16,}"
+RUN = r"(?=[A-Za-z0-9_+/=-]*(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9_+/=-]{16,}"
+#: Group 1 is the text before, group 2 the run; the lookbehind matches at one length only.
+CANDIDATE = rf"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z0-9_+/=-]{{16}})(?<=(^[\s\S]{{0,{BEFORE - 1}}}|[\s\S]{{{BEFORE}}}))({RUN})"
 #: Names that introduce a credential, and words that introduce something harmless.
-CREDENTIAL = r"(?i)(pass(word|wd|phrase)?|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credential)s?[\"']?\s*[=:]?>?\s*[\"']?$"
+NAME = r"(?:pass(?:word|wd|phrase)?|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credential)s?(?:[_-]?(?:value|key))?"
+CREDENTIAL = rf"(?i){NAME}[\"']?\s*[=:]?>?\s*[\"']?$"
+#: Group 1 is a credential's name with the sign of assignment, group 2 the value, which isn't consumed.
+ASSIGNED = rf"((?i:{NAME})[\"']?\s*+[=:]>?\s*+[\"']?)(?=((?<=\")[^\"\n]++(?=\")|(?<=')[^'\n]++(?=')|[^\s\"',;]++))"
 HARMLESS = r"(?i)(sha(1|256|512)?|md5|commit|checksum|digest|hash|version|uuid|guid|etag|revision|integrity)[\"']?\s*[=:]?\s*[\"']?$"
 FORMATS = r"^(AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9\-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35}|eyJ[A-Za-z0-9_\-]{10,})$"
 PATHS = r"(?i)(^|[/_.\-])(test|tests|spec|sample|samples|example|examples|mock|fixture|fixtures|lock|min)([/_.\-]|$)"
@@ -54,16 +61,19 @@ FEATURES = ["length", "upper", "lower", "digit", "other", "changes", "distinct",
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """doc_id, path, before (up to BEFORE characters of text), candidate, for each candidate of each row, repeats included."""
-    body, pattern = F.coalesce(F.col(text), F.lit("")), CANDIDATE
-    hits = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
-    between = F.split(body, pattern, -1)
-    pairs = F.arrays_zip(hits.alias("hit"), F.slice(between, F.lit(1), F.size(hits)).alias("gap"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.explode(pairs).alias("x"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    pair = lambda pattern: F.arrays_zip(*(F.regexp_extract_all(body, F.lit(pattern), F.lit(k)).alias(name) for k, name in ((1, "before"), (2, "hit"))))
+    each = lambda pattern: docs.select(
+        F.col(doc_id).alias("doc_id"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.explode(pair(pattern)).alias("x")
+    )
     # a name and its value may be one run, as in password=abc
     name = F.regexp_extract("x.hit", "^([A-Za-z_-]+=)(?=[^=])", 1)
-    before = F.concat(F.right(F.col("x.gap"), F.lit(BEFORE)), name).alias("before")
-    rows = rows.select("doc_id", "path", before, F.col("x.hit").substr(F.char_length(name) + 1, F.char_length("x.hit")).alias("candidate"))
-    return rows.filter(F.char_length("candidate") >= MIN_LENGTH)
+    before = F.concat(F.col("x.before"), name).alias("before")
+    runs = each(CANDIDATE).select("doc_id", "path", before, F.col("x.hit").substr(F.char_length(name) + 1, F.char_length("x.hit")).alias("candidate"))
+    runs = runs.filter(F.char_length("candidate") >= MIN_LENGTH)
+    # values that are such runs are found above
+    values = each(ASSIGNED).select("doc_id", "path", F.col("x.before").alias("before"), F.col("x.hit").alias("candidate")).filter(~F.col("candidate").rlike(f"^{RUN}$"))
+    return runs.unionByName(values)
 
 
 def dictionary(docs: DataFrame, text: str = "text", words: int = DICTIONARY) -> DataFrame:
