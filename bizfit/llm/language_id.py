@@ -8,29 +8,37 @@ length, estimates the bits a character costs in that language; the lowest wins,
 and ties go to the language whose name sorts first.
 
 Texts are lower-cased character by character; each run of non-letters is one
-space. Texts are parsed whole, in blocks of BLOCK characters that each begin a
-new piece, so that a very long text is many lanes of one array rather than a long
-loop. All lanes of a batch advance together, one character a step.
+space. Every letter of the samples is a symbol; a letter of a text that no sample
+has is a piece of its own. Texts are parsed whole. So that a very long text is many
+lanes of one array rather than a long loop, it is parsed in blocks of BLOCK
+characters, and then the piece that a block's end has cut is carried on into the
+next block until both parses begin a piece at the same character, after which they
+are the same: the count is that of one parse from the text's beginning. All lanes of
+a batch advance together, one character a step; a batch has at most BATCH_CHARS
+characters and one text more.
 
 The sample is bounded: per language, SAMPLE_DOCS documents, chosen by a hash of
-the id, of which each gives at most SAMPLE_CHARS / 8 characters until
-SAMPLE_CHARS are there; MAX_LANGS languages, the most frequent. The bound is
-there for the automata, which every task holds; predictions cover all rows.
+the id, shorter ones than LONG_DOC characters first, whole until SAMPLE_CHARS are
+there; of a longer one LONG_DOC characters are taken. The bound is there for the
+automata, whose transitions are packed into one row-displaced array of some 1 MB a
+language; the driver builds them and every task holds them. All languages found are
+learned; predictions cover all rows.
 
 Nulls: a null text, or one without a letter, is `und` with score 0. A row without
 lang, text or id isn't learned from. With no rows to learn from all are `und`.
-Other columns are ignored; repeated rows each get a row.
+Other columns are ignored; repeated rows each get a row. Languages of equal cost:
+the name that sorts first. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +46,10 @@ from bizfit.llm.common import fold
 
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 24_000
-MAX_LANGS = 100
-SYMBOLS = 120
+LONG_DOC = 3_000
 BLOCK = 2048
+BATCH_CHARS = 1 << 21
 UNKNOWN = "und"
-FRESH = np.int32(1 << 30)  # set where the next piece begins
 
 
 @lru_cache
@@ -67,8 +74,8 @@ def letters(text: str) -> np.ndarray:
     return x[:-1] if len(x) and x[-1] == 0 else x
 
 
-def automaton(symbols: np.ndarray, width: int) -> np.ndarray:
-    """Transitions of the suffix automaton, states x width, -1 where there is none."""
+def automaton(symbols: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton, a dictionary a state; the first state is the root."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols.tolist():
@@ -94,11 +101,41 @@ def automaton(symbols: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = copy
         last = cur
-    table = np.full((len(nxt), width), -1, np.int32)
-    for s, row in enumerate(nxt):
-        if row:
-            table[s, list(row)] = list(row.values())
-    return table
+    return nxt
+
+
+def displaced(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, owner, target): state s goes on with symbol c to target[base[s] + c] where owner[base[s] + c] is s."""
+    base = np.zeros(len(rows) + 1, np.int32)  # one state more, which has no transitions
+    size = 2 * (sum(map(len, rows)) + 2 * width)
+    taken, owner, target = np.arange(size) < width, np.full(size, -1, np.int32), np.zeros(size, np.int32)
+    forks = sorted((s for s in range(len(rows)) if len(rows[s]) > 1), key=lambda s: -len(rows[s]))
+    start = width
+    for s in forks:  # first fit, from where the last fork of many free places was found
+        at = np.array(sorted(rows[s]), np.int64)
+        low = start
+        while True:
+            while low + 512 + width > len(taken):
+                taken, owner, target = (np.append(x, np.full(len(x), f, x.dtype)) for x, f in ((taken, False), (owner, -1), (target, 0)))
+            first = np.nonzero(~taken[low : low + 512])[0] + low
+            fits = first[~taken[first[:, None] + (at - at[0])].any(axis=1)]
+            if len(fits):
+                break
+            low += 512
+        base[s] = fits[0] - at[0]
+        place = base[s] + at
+        taken[place], owner[place], target[place] = True, s, [rows[s][c] for c in at.tolist()]
+        if len(first) < 64:
+            start = low + 512
+    # a state with one transition fits any place that is left
+    lone = [s for s in range(len(rows)) if len(rows[s]) == 1]
+    free = np.nonzero(~taken)[0][: len(lone)]
+    if lone:
+        c, goal = np.array([next(iter(rows[s].items())) for s in lone], np.int64).T
+        base[lone], owner[free], target[free] = free - c, lone, goal
+    end = max(int(base.max()), int(np.nonzero(owner >= 0)[0].max(initial=0))) + width
+    pad = max(0, end - len(owner))
+    return base, np.append(owner, np.full(pad, -1, np.int32))[:end], np.append(target, np.zeros(pad, np.int32))[:end]
 
 
 class Model:
@@ -107,25 +144,28 @@ class Model:
     def __init__(self, samples: dict[str, list[str]]):
         parts = {lang: np.concatenate([np.append(letters(t), 0) for t in texts]) for lang, texts in sorted(samples.items())}
         self.langs = [lang for lang, x in parts.items() if x.any()]
-        counts = Counter()
-        for lang in self.langs:
-            counts.update(parts[lang].tolist())
-        del counts[0]
-        known = sorted(sorted(counts), key=lambda c: -counts[c])[:SYMBOLS]
-        # 0: a space, 1: any other letter
-        self.symbol = np.zeros(0x110000, np.uint8)
-        self.symbol[1:] = 1
-        self.symbol[known] = np.arange(2, 2 + len(known), dtype=np.uint8)
-        self.width = 2 + len(known)
+        #: The letters of all samples, in order; symbol 0 is a space and the last one any other letter.
+        self.known = np.unique(np.concatenate([np.zeros(1, np.int32), *(parts[k] for k in self.langs)]))
+        self.width = len(self.known) + 1
         self.tables, self.bits = [], []
         for lang in self.langs:
-            t = automaton(self.symbol[parts[lang]], self.width)
-            # where no transition goes on, a piece ends; the next begins with this character
-            # a last state, where a text begins and unknown characters lead, always begins a piece
-            again = np.where(t[0] >= 0, t[0], len(t)) | FRESH
-            self.tables.append(np.vstack([np.where(t >= 0, t, again[None, :]), again[None, :]]).astype(np.int32).reshape(-1))
+            rows = automaton(np.searchsorted(self.known, parts[lang]))
+            self.tables.append((*displaced(rows, self.width), np.array([rows[0].get(c, len(rows)) for c in range(self.width)], np.int32)))
             self.bits.append(math.log2(len(parts[lang]) + 1))
 
+    def symbols(self, x: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.known, x), len(self.known) - 1)
+        return np.where(self.known[at] == x, at, len(self.known)).astype(np.int32)
+
+    @staticmethod
+    def step(table: tuple, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, where a piece begins with this character)."""
+        base, owner, target, again = table
+        at = base.take(state)
+        at += c
+        begins = owner.take(at) != state
+        return np.where(begins, again.take(c), target.take(at)), begins
+
     def pieces(self, texts: list[np.ndarray]) -> np.ndarray:
         """Number of pieces per text and language."""
         out = np.zeros((len(texts), len(self.langs)))
@@ -134,30 +174,57 @@ class Model:
             return out
         size = np.array([min(BLOCK, len(texts[i]) - at) for i, at in starts])
         order = np.argsort(-size, kind="stable")
+        lane_of = np.argsort(order)
         size = size[order]
-        grid = np.zeros((len(starts), int(size[0])), np.uint8)
+        grid = np.zeros((len(starts), int(size[0])), np.int32)
         for lane, k in enumerate(order.tolist()):
             i, at = starts[k]
             grid[lane, : size[lane]] = texts[i][at : at + BLOCK]
         grid = np.ascontiguousarray(grid.T)
         active = np.searchsorted(-size, -np.arange(len(grid)), side="left")
-        owner = np.array([starts[k][0] for k in order.tolist()])
+        owner = np.array([starts[k][0] for k in order.tolist()])  # text of each lane
+        follows = np.array([k for k in range(1, len(starts)) if starts[k][0] == starts[k - 1][0]], np.int64)
         for n, table in enumerate(self.tables):
-            state, ends = np.full(len(starts), len(table) // self.width - 1, np.int32), np.zeros(len(starts), np.int32)
-            for row, m in zip(grid, active.tolist(), strict=True):
-                s = state[:m]
-                s *= self.width
-                s += row[:m]
-                v = table.take(s)
-                ends[:m] += v >> 30
-                np.bitwise_and(v, FRESH - 1, out=s)
-            out[:, n] += np.bincount(owner, ends, len(texts))
+            none = len(table[0]) - 1  # the state without transitions, in which each text begins
+            state, begun = np.full(len(starts), none, np.int32), np.zeros(grid.shape, bool)
+            for row, flags, m in zip(grid, begun, active.tolist(), strict=True):
+                state[:m], flags[:m] = self.step(table, state[:m], row[:m])
+            counts = np.bincount(owner, begun.sum(axis=0), len(texts))
+            more, open_ = self.carry(table, grid, begun, state[lane_of[follows - 1]], size, lane_of[follows])
+            counts += np.bincount(owner[lane_of[follows]], more, len(texts))
+            for i in {starts[k][0] for k in follows[open_].tolist() if k + 1 < len(starts) and starts[k + 1][0] == starts[k][0]}:
+                counts[i] = self.walk(table, texts[i])
+            out[:, n] = counts
         return out
 
+    def carry(self, table: tuple, grid: np.ndarray, begun: np.ndarray, state: np.ndarray, size: np.ndarray, lane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each lane that goes on a text in ``state``: pieces to add to its own count, and whether the two parses never met in it."""
+        more, left, never = np.zeros(len(lane), np.int64), np.arange(len(lane)), np.zeros(len(lane), bool)
+        for step in range(len(grid)):
+            never[left[size[lane[left]] <= step]] = True
+            left = left[size[lane[left]] > step]
+            if not len(left):
+                break
+            here = lane[left]
+            state[left], flags = self.step(table, state[left], grid[step, here])
+            mine = begun[step, here]
+            more[left] += flags.astype(np.int64) - mine
+            left = left[~(flags & mine)]
+        never[left] = True
+        return more, never
+
+    def walk(self, table: tuple, text: np.ndarray) -> int:
+        """Pieces of a text parsed from its beginning, a character at a time."""
+        state, count = np.array([len(table[0]) - 1], np.int32), 0
+        for at in range(len(text)):
+            state, begins = self.step(table, state, text[at : at + 1])
+            count += int(begins[0])
+        return count
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text: the score is 1 - best / second best rate."""
         raw = [letters(t) if t else np.zeros(0, np.int32) for t in texts]
-        rate = self.pieces([self.symbol[x] for x in raw]) * np.array(self.bits)
+        rate = self.pieces([self.symbols(x) for x in raw]) * np.array(self.bits)
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         best = rate.argmin(axis=1)
@@ -167,56 +234,58 @@ class Model:
         return [UNKNOWN if e else self.langs[k] for e, k in zip(none, best, strict=True)], np.where(none, 0.0, score)
 
 
-@lru_cache(maxsize=2)
-def _model(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> Model:
-    """Built once in each Python worker."""
-    return Model({lang: list(texts) for lang, texts in samples})
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, rows) of parts of a column with about BATCH_CHARS bytes."""
+    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False), np.int64)
+    first, total = 0, 0
+    for k, n in enumerate(size.tolist()):
+        if k > first and total + n > BATCH_CHARS:
+            yield first, k - first
+            first, total = k, 0
+        total += n
+    if len(size):
+        yield first, len(size) - first
 
 
-def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", parts: int = 3, held: int = 1) -> tuple:
-    """The bounded sample of the rows whose crc32(id) mod ``parts`` isn't ``held``, as hashable tuples for the tasks."""
-    rows = docs.filter((fold(F.col(doc_id), parts) != held) & F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
+def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", parts: int = 3, held: int = 1) -> Model:
+    """The model of a bounded sample of the rows whose crc32(id) mod ``parts`` isn't ``held``."""
+    rows = docs.filter((fold(F.col(doc_id), parts) != held) & F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & F.col(text).isNotNull())
     mark = F.xxhash64(F.col(doc_id).cast("string"))
-    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), mark.alias("mark"), F.pmod(mark, F.lit(SAMPLE_DOCS)).alias("slot"))
-    picks = rows.filter("text IS NOT NULL").groupBy("lang", "slot").agg(F.min("mark").alias("mark"))
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
-    picks = picks.join(F.broadcast(langs), "lang", "left_semi").select("lang", "mark").collect()  # MAX_LANGS x SAMPLE_DOCS at most
-    if not picks:
-        return ()
-    few = docs.sparkSession.createDataFrame(picks, "lang string, mark long")
-    found = rows.join(F.broadcast(few), ["lang", "mark"]).select("lang", "mark", F.substring("text", 1, SAMPLE_CHARS // 8).alias("text"))
+    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), mark.alias("mark"), (F.char_length(text) > LONG_DOC).alias("long"))
+    picks = rows.groupBy("lang", F.pmod("mark", F.lit(SAMPLE_DOCS)).alias("slot")).agg(F.min(F.struct("long", "mark")).alias("x"))
+    few = docs.sparkSession.createDataFrame(picks.select("lang", "x.mark", "x.long").collect(), "lang string, mark long, long boolean")  # SAMPLE_DOCS a language at most
+    found = rows.join(F.broadcast(few), ["lang", "mark", "long"]).select("lang", "long", "mark", F.substring("text", 1, LONG_DOC).alias("text"))
     out: dict[str, list[str]] = {}
-    for r in sorted(found.groupBy("lang", "mark").agg(F.min("text").alias("text")).collect()):
+    for r in sorted(found.groupBy("lang", "long", "mark").agg(F.min("text").alias("text")).collect()):
         if sum(map(len, out.setdefault(r["lang"], []))) < SAMPLE_CHARS:
             out[r["lang"]].append(r["text"])
-    return tuple((k, tuple(v)) for k, v in sorted(out.items()))
+    return Model(out)
 
 
-def identify(docs: DataFrame, samples: tuple, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score for every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(samples)
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                lang, score = model.predict(part.column(1).to_pylist())
+            for at, n in slices(b.column(1)):
+                part = b.slice(at, n)
+                lang, score = shared.value.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
     return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, samples: tuple, text: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which a language was found, with all their columns."""
-    at = docs.columns.index(text)
+    at, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(samples)
         for b in batches:
-            for start in range(0, b.num_rows, 4096):
-                part = b.slice(start, 4096)
-                lang, _ = model.predict(part.column(at).to_pylist())
+            for first, n in slices(b.column(at)):
+                part = b.slice(first, n)
+                lang, _ = shared.value.predict(part.column(at).to_pylist())
                 yield part.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
