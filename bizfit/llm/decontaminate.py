@@ -9,35 +9,42 @@ with the best sum of +1 for an equal and -2 for a different token is taken. It
 counts as a leak if it has at least MIN_TOKENS tokens, or the whole item, of
 which at least MIN_SHARE are equal.
 
-Tokens are runs of letters, digits and non-ASCII bytes, with A-Z lower-cased.
-Items under SHORTEST tokens are too short to prove anything and are passed over.
-
-The benchmark is a stated query set that is compared with all documents. Its
-size is checked: it is taken in blocks of BLOCK_CHARS characters, which each task
-holds as a sorted hash table, and each further block is another pass over the
-documents. Documents are never shuffled.
-
-Nulls: null texts are empty and match nothing; null ids are carried through. Rows
-that repeat give repeated results. Other columns are ignored.
+An item of under PARTED tokens is found whatever is substituted: with a share of
+MIN_SHARE equal, at least one of its parts, one more than there may be substitutions,
+is intact, so each part is a seed as well. One that is too short to spare a token is
+found word for word. Tokens are runs of letters, digits and non-ASCII bytes, with A-Z
+lower-cased; an item without a token matches nothing.
+
+The join of hashes is a hash table that each task holds, as in a broadcast join: the
+benchmark is a stated query set that is compared with all documents, and a shuffle of
+every window of every document would move some ten times the corpus. Its size is
+checked: it is taken in blocks of BLOCK_CHARS characters, one at a time, and each
+further block is another pass over the documents. Documents are never shuffled.
+
+Nulls: null texts are empty and match nothing; null ids, of documents and items, are
+carried through. Rows that repeat give repeated results; items that repeat are each
+found. Of stretches with equally many equal tokens the first diagonal's is returned.
+Empty tables give empty results. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import string
 from collections.abc import Iterator
-from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bizfit.operators.shared import cut
+
 SEEDS = ((0, 1, 3, 4, 6, 7), (0, 2, 3, 6, 8, 9), (0, 1, 4, 6, 9, 10), (0, 3, 5, 6, 10, 11))
-SHORTEST = 8
+PARTED = 16
 MIN_TOKENS = 13
 MIN_SHARE = 0.8
 PENALTY = 2
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 STEP = 1 << 17
 
 _OTHER = bytes(c for c in range(128) if not chr(c).isalnum())
@@ -56,7 +63,7 @@ def seed_hashes(ids: np.ndarray, seed: tuple[int, ...]) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     h, known = np.zeros(n, np.uint64), np.ones(n, bool)
-    for at, f in zip(seed, _FACTORS, strict=True):
+    for at, f in zip(seed, _FACTORS, strict=False):
         part = ids[at : at + n]
         known &= part != 0
         h += part * f
@@ -64,30 +71,40 @@ def seed_hashes(ids: np.ndarray, seed: tuple[int, ...]) -> np.ndarray:
     return np.where(known, h | np.uint64(1), np.uint64(0))
 
 
+def parts_of(n: int) -> list[tuple[int, int]]:
+    """(offset, tokens) of the parts of a short item, one of which is intact in any copy that counts."""
+    many = int(n * (1 - MIN_SHARE) + 1e-9) + 1
+    cuts = [n * k // many for k in range(many + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 class Bench:
-    """Hash table of a block of the benchmark: [(item_id, text)]."""
+    """Hash tables of a block of the benchmark: [(item_id, text)]."""
 
-    def __init__(self, items: tuple[tuple[int, str], ...]):
+    def __init__(self, items: list[tuple[int | None, str]], least: int = 1):
         self.vocabulary: dict[bytes, int] = {}
-        self.item_ids, self.tokens = [], []
-        hashes, places = [[] for _ in SEEDS], [[] for _ in SEEDS]
+        self.item_ids: list[int | None] = []
+        self.tokens: list[np.ndarray] = []
+        found: dict[tuple[int, ...], list[tuple[np.ndarray, np.ndarray]]] = {}
         for item_id, text in items:
             words = tokens(text)
-            if len(words) < SHORTEST:
+            if len(words) < max(1, least):
                 continue
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.uint64)
-            for k, seed in enumerate(SEEDS):
-                h = seed_hashes(ids, seed)
-                hashes[k].append(h)
-                places[k].append(np.stack([np.full(len(h), len(self.item_ids)), np.arange(len(h))], axis=1))
+            seeds = [(seed, np.arange(max(0, len(ids) - seed[-1]))) for seed in SEEDS]
+            if len(ids) < PARTED:
+                seeds += [(tuple(range(n)), np.array([at])) for at, n in parts_of(len(ids))]
+            for seed, at in seeds:
+                if len(at):
+                    place = np.stack([np.full(len(at), len(self.item_ids)), at], axis=1).astype(np.int32)
+                    found.setdefault(seed, []).append((seed_hashes(ids, seed)[at], place))
             self.item_ids.append(item_id)
             self.tokens.append(ids)
         self.tables = []
-        for h, p in zip(hashes, places, strict=True):
-            if h:
-                h, p = np.concatenate(h), np.concatenate(p)
-                order = np.argsort(h, kind="stable")
-                self.tables.append((h[order], p[order]))
+        for seed, parts in sorted(found.items()):
+            h, p = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+            order = np.argsort(h, kind="stable")
+            self.tables.append((seed, h[order], p[order]))
 
     def leaks(self, text: str | bytes | None) -> list[tuple[int, int, int, int]]:
         """(item_id, first token in the text, tokens, equal tokens) of each leak in a text: the best of each item."""
@@ -95,8 +112,17 @@ class Bench:
             return []
         get = self.vocabulary.get
         ids = np.array([get(w, 0) for w in tokens(text)], np.uint64)
+        best: dict[int, tuple[int, int, int]] = {}
+        for item, diagonal in sorted(self.diagonals(ids)):
+            found = overlap(self.tokens[item], ids, diagonal)
+            if found and (item not in best or found[2] > best[item][2]):
+                best[item] = found
+        return [(self.item_ids[k], *v) for k, v in sorted(best.items())]
+
+    def diagonals(self, ids: np.ndarray) -> set[tuple[int, int]]:
+        """(item, offset of the item in the text) wherever a seed matches."""
         near: set[tuple[int, int]] = set()
-        for seed, (table, places) in zip(SEEDS, self.tables, strict=False):
+        for seed, table, places in self.tables:
             for start in range(0, len(ids), STEP):
                 h = seed_hashes(ids[start : start + STEP + seed[-1]], seed)
                 at = np.nonzero(h)[0]
@@ -104,12 +130,7 @@ class Bench:
                 for k in np.nonzero(low < high)[0].tolist():
                     for item, offset in places[low[k] : high[k]].tolist():
                         near.add((item, start + int(at[k]) - offset))
-        best: dict[int, tuple[int, int, int]] = {}
-        for item, diagonal in sorted(near):
-            found = overlap(self.tokens[item], ids, diagonal)
-            if found and (item not in best or found[2] > best[item][2]):
-                best[item] = found
-        return [(self.item_ids[k], *v) for k, v in sorted(best.items())]
+        return near
 
 
 def overlap(item: np.ndarray, ids: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
@@ -128,16 +149,11 @@ def overlap(item: np.ndarray, ids: np.ndarray, diagonal: int) -> tuple[int, int,
     return None
 
 
-@lru_cache(maxsize=2)
-def _bench(items: tuple[tuple[int, str], ...]) -> Bench:
-    """Built once in each Python worker."""
-    return Bench(items)
-
-
-def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[tuple[tuple[int, str], ...]]:
-    """The benchmark in blocks of about BLOCK_CHARS characters, in the order of the ids; rows without id or text are left out."""
-    rows = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
-    sums = rows.groupBy((F.pmod(F.xxhash64("item_id", "text"), F.lit(4096))).alias("slot")).agg(F.sum(F.length("text")).alias("n")).orderBy("slot").collect()
+def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", least: int = 1) -> Iterator[Bench]:
+    """The benchmark in blocks of about BLOCK_CHARS characters, each fetched when it is asked for; rows without text are left out."""
+    rows = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).filter("text IS NOT NULL")
+    slot = F.pmod(F.xxhash64("item_id", "text"), F.lit(4096))
+    sums = rows.groupBy(slot.alias("slot")).agg(F.sum(F.length("text")).alias("n")).orderBy("slot").collect()
     group, size, slots = 0, 0, {}
     for r in sums:
         if size and size + r["n"] > BLOCK_CHARS:
@@ -145,22 +161,23 @@ def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -
         size += r["n"]
         slots.setdefault(group, []).append(r["slot"])
     for part in slots.values():
-        keep = F.pmod(F.xxhash64("item_id", "text"), F.lit(4096)).isin(part) if len(slots) > 1 else F.lit(True)
-        yield tuple(sorted(tuple(r) for r in rows.filter(keep).collect()))
+        keep = slot.isin(part) if len(slots) > 1 else F.lit(True)
+        yield Bench(sorted((tuple(r) for r in rows.filter(keep).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])), least)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per leaking document and item: doc_id, item_id, first_token, n_tokens, n_equal."""
-    kind = docs.select(doc_id).schema[0].dataType.simpleString()
+    spark, kind = docs.sparkSession, docs.select(doc_id).schema[0].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, first_token long, n_tokens long, n_equal long"
 
-    def scan(items):
+    def scan(bench: Bench) -> DataFrame:
+        shared = spark.sparkContext.broadcast(bench)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bench = _bench(items)
             for b in batches:
                 rows, found = [], []
                 for i, t in enumerate(b.column(1).cast(pa.large_binary())):
-                    for leak in bench.leaks(t.as_buffer().to_pybytes()) if t.is_valid else ():
+                    for leak in shared.value.leaks(t.as_buffer().to_pybytes()) if t.is_valid else ():
                         rows.append(i)
                         found.append(leak)
                 ints = [pa.array([x[k] for x in found], pa.int64()) for k in range(4)]
@@ -168,27 +185,37 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
         return docs.select(doc_id, text).mapInArrow(run, schema)
 
-    parts = [scan(items) for items in blocks(benchmark)]
-    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
+    out = None
+    for bench in blocks(benchmark):
+        # a block that others follow is done with, and its table freed, before the next is fetched
+        out = scan(bench) if out is None else cut(out, "leaks").unionByName(scan(bench))
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", least_tokens: int = 4) -> DataFrame:
+    """The rows of ``docs`` without a leak, with all their columns.
 
+    A document isn't dropped for an item of under ``least_tokens`` tokens, such as
+    a yes or a number, which any clean text may hold; find_leaks reports those too.
+    """
+    at, out = docs.columns.index(text), docs
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a leak, with all their columns."""
-    at = docs.columns.index(text)
+    def without(rows: DataFrame, bench: Bench) -> DataFrame:
+        shared = rows.sparkSession.sparkContext.broadcast(bench)
 
-    def without(rows: DataFrame, items) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bench = _bench(items)
             for b in batches:
-                clean = [not (t.is_valid and bench.leaks(t.as_buffer().to_pybytes())) for t in b.column(at).cast(pa.large_binary())]
+                clean = [not (t.is_valid and shared.value.leaks(t.as_buffer().to_pybytes())) for t in b.column(at).cast(pa.large_binary())]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
         return rows.mapInArrow(run, docs.schema)
 
-    return reduce(without, blocks(benchmark), docs)
+    for k, bench in enumerate(blocks(benchmark, least=least_tokens)):
+        out = without(cut(out, "clean") if k else out, bench)
+    return out
 
 
 def leaking_documents(leaks: DataFrame) -> DataFrame:
-    """One row per leaking document: its items, and the longest overlap."""
-    longest = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n_equal"), "item_id"))
-    return leaks.withColumn("k", longest).filter("k = 1").drop("k")
+    """One row per leaking document: its longest overlap, of equals the first item's."""
+    first = F.struct(-F.col("n_equal"), "item_id", "first_token")
+    return leaks.groupBy("doc_id").agg(F.min_by(F.struct("item_id", "first_token", "n_tokens", "n_equal"), first).alias("x")).select("doc_id", "x.*")
