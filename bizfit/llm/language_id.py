@@ -135,7 +135,8 @@ def displaced(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.nd
         base[lone], owner[free], target[free] = free - c, lone, goal
     end = max(int(base.max()), int(np.nonzero(owner >= 0)[0].max(initial=0))) + width
     pad = max(0, end - len(owner))
-    return base, np.append(owner, np.full(pad, -1, np.int32))[:end], np.append(target, np.zeros(pad, np.int32))[:end]
+    owner, target = np.append(owner, np.full(pad, -1, np.int32))[:end], np.append(target, np.zeros(pad, np.int32))[:end]
+    return tuple(x.astype(np.int64) for x in (base, owner, target))  # as wide as an index, so that none is converted in the loop
 
 
 class Model:
@@ -150,12 +151,12 @@ class Model:
         self.tables, self.bits = [], []
         for lang in self.langs:
             rows = automaton(np.searchsorted(self.known, parts[lang]))
-            self.tables.append((*displaced(rows, self.width), np.array([rows[0].get(c, len(rows)) for c in range(self.width)], np.int32)))
+            self.tables.append((*displaced(rows, self.width), np.array([rows[0].get(c, len(rows)) for c in range(self.width)], np.int64)))
             self.bits.append(math.log2(len(parts[lang]) + 1))
 
     def symbols(self, x: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.known, x), len(self.known) - 1)
-        return np.where(self.known[at] == x, at, len(self.known)).astype(np.int32)
+        return np.where(self.known[at] == x, at, len(self.known))
 
     @staticmethod
     def step(table: tuple, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +187,7 @@ class Model:
         follows = np.array([k for k in range(1, len(starts)) if starts[k][0] == starts[k - 1][0]], np.int64)
         for n, table in enumerate(self.tables):
             none = len(table[0]) - 1  # the state without transitions, in which each text begins
-            state, begun = np.full(len(starts), none, np.int32), np.zeros(grid.shape, bool)
+            state, begun = np.full(len(starts), none, np.int64), np.zeros(grid.shape, bool)
             for row, flags, m in zip(grid, begun, active.tolist(), strict=True):
                 state[:m], flags[:m] = self.step(table, state[:m], row[:m])
             counts = np.bincount(owner, begun.sum(axis=0), len(texts))
@@ -213,12 +214,18 @@ class Model:
         never[left] = True
         return more, never
 
-    def walk(self, table: tuple, text: np.ndarray) -> int:
-        """Pieces of a text parsed from its beginning, a character at a time."""
-        state, count = np.array([len(table[0]) - 1], np.int32), 0
-        for at in range(len(text)):
-            state, begins = self.step(table, state, text[at : at + 1])
-            count += int(begins[0])
+    @staticmethod
+    def walk(table: tuple, text: np.ndarray) -> int:
+        """Pieces of a text parsed from its beginning, a character at a time: for texts so regular that two parses never meet."""
+        base, owner, target, again = (memoryview(x) for x in table)
+        state, count = len(base) - 1, 0
+        for c in text.tolist():
+            at = base[state] + c
+            if owner[at] == state:
+                state = target[at]
+            else:
+                state = again[c]
+                count += 1
         return count
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
