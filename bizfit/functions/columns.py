@@ -75,7 +75,7 @@ def display_name(name: Column) -> Column:
     """Display casing of a shouted or lower-case name: suffixes fixed, initials and short acronyms kept, O'Brien and hyphen parts capitalised."""
 
     def capital(part: Column) -> Column:
-        return F.concat(F.upper(F.substring(part, 1, 1)), F.lower(F.substring(part, 2, 1000)))
+        return F.concat(F.upper(F.substring(part, 1, 1)), F.lower(part.substr(F.lit(2), F.char_length(part))))
 
     def word(w: Column) -> Column:
         low, bare = F.lower(w), F.regexp_replace(F.lower(w), r"[^a-z]", "")
@@ -88,12 +88,13 @@ def display_name(name: Column) -> Column:
     words = F.transform(F.split(F.trim(name), r"\s+"), word)
     cased = F.array_join(words, " ")
     mixed = name.rlike("[a-z]") & name.rlike("[A-Z]")
-    return F.when(mixed, F.trim(name)).otherwise(F.concat(F.upper(F.substring(cased, 1, 1)), F.substring(cased, 2, 100_000)))
+    return F.when(mixed, F.trim(name)).otherwise(F.concat(F.upper(F.substring(cased, 1, 1)), cased.substr(F.lit(2), F.char_length(cased))))
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Great-circle distance; null if any coordinate is."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.when(a > 1.0, 1.0).otherwise(a)))
 
 
 def whole_number(text: Column) -> Column:

@@ -9,37 +9,60 @@ from pyspark.sql import functions as F
 
 from bizfit.functions import columns as C
 from bizfit.operators.score import primary_contact
+from bizfit.operators.shared import cut
 
 RADIUS_KM = 15.0
 CHAIN = 3
 
 
+#: Fine cells to a radius, and the share by which coarse cells are wider than it, so that a fine cell's centre stands for it.
+FINER = 8
+
+
+def _bands(step: float) -> tuple:
+    """(band of a latitude, cells of a band, cell of a longitude) of a grid of cells at least ``step`` degrees of latitude wide."""
+    edge = lambda band: F.least(F.greatest(F.abs(band * step), F.abs((band + 1) * step)), F.lit(89.0))
+    cells = lambda band: F.greatest(F.floor(F.lit(360.0) * F.cos(F.radians(edge(band))) / step), F.lit(1))
+    return (lambda lat: F.floor(lat / step).cast("long")), cells, (lambda lon, n: F.floor((lon + 180.0) * n / 360.0))
+
+
 def radius_counts(points: DataFrame, group: str, radius_km: float = RADIUS_KM) -> DataFrame:
     """For each distinct (group, latitude, longitude), the rows of the group within the radius, itself included.
 
-    Equal points are counted first. A row sits in one cell of a grid whose bands are
-    one radius high; it probes the cells of three bands that its radius can reach.
-    Cells are as wide as the radius at the band's own latitude or wider, and wrap
-    round the globe. The join is an equi-join on group and cell, then the distance.
+    Equal points are counted first, and points are gathered in fine cells, an eighth of
+    the radius wide. Cells meet through a coarse grid, of which each probes three bands
+    and five cells, wrapped round the globe. Of two cells that are surely within the
+    radius, only counts are added; only points of cells on the rim are compared.
     """
-    step = math.degrees(radius_km / C.EARTH_KM) * 1.000001
+    degree = math.degrees(radius_km / C.EARTH_KM) * 1.000001
+    band, cells, cell = _bands(degree / FINER)
     at = points.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col(group).isNotNull())
-    at = at.groupBy(group, "latitude", "longitude").agg(F.count("*").alias("n"))
-    edge = lambda band: F.least(F.greatest(F.abs(band * step), F.abs((band + 1) * step)), F.lit(89.0))
-    cells = lambda band: F.greatest(F.floor(F.lit(360.0) * F.cos(F.radians(edge(band))) / step), F.lit(1))
-    cell = lambda lon, n: F.pmod(F.floor((lon + 180.0) * n / 360.0), n)
-    band = F.floor(F.col("latitude") / step).cast("long")
-    right = at.select(F.col(group).alias("_g"), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), "n", band.alias("_band"))
-    right = right.withColumn("_cell", cell(F.col("_lon"), cells(F.col("_band"))))
-    reach = at.select(group, "latitude", "longitude", F.explode(F.array(band - 1, band, band + 1)).alias("_band"))
-    n = cells(F.col("_band"))
-    middle = F.floor((F.col("longitude") + 180.0) * n / 360.0)
-    # near the poles a band's cells are wider than they need be, so one to each side is enough
-    reach = reach.withColumn("_cell", F.explode(F.array_distinct(F.array(*[F.pmod(middle + d, n) for d in (-2, -1, 0, 1, 2)]))))
-    left = reach.withColumnRenamed(group, "_group")
-    on = (left["_group"] == right["_g"]) & (left["_band"] == right["_band"]) & (left["_cell"] == right["_cell"])
-    near = left.join(right, on).filter(C.haversine_km(F.col("latitude"), F.col("longitude"), F.col("_lat"), F.col("_lon")) <= radius_km)
-    return near.groupBy(F.col("_group").alias(group), "latitude", "longitude").agg(F.sum("n").alias("within"))
+    at = at.groupBy(F.col(group).alias("_g"), "latitude", "longitude").agg(F.count("*").alias("n")).withColumn("_b", band(F.col("latitude")))
+    at = cut(at.withColumn("_c", F.pmod(cell(F.col("longitude"), cells(F.col("_b"))), cells(F.col("_b")))), "peer-points")
+
+    low, high = F.col("_b") * (degree / FINER), (F.col("_b") + 1) * (degree / FINER)
+    width = F.lit(360.0) / cells(F.col("_b"))
+    widest = F.cos(F.radians(F.when(low * high <= 0, 0.0).otherwise(F.least(F.abs(low), F.abs(high)))))
+    reach = F.lit(C.EARTH_KM) * F.radians((high - low) / 2 + F.least(width / 2 * widest, F.lit(90.0)))  # no point is farther from the centre
+    boxes = at.groupBy("_g", "_b", "_c").agg(F.sum("n").alias("n")).select("_g", "_b", "_c", "n", ((low + high) / 2).alias("lat"), ((F.col("_c") + 0.5) * width - 180.0).alias("lon"), reach.alias("reach"))
+    band2, cells2, cell2 = _bands(degree * (1 + 4 / FINER))
+    boxes = cut(boxes.withColumn("_wide", band2(F.col("lat"))).withColumn("_at", F.pmod(cell2(F.col("lon"), cells2(F.col("_wide"))), cells2(F.col("_wide")))), "peer-cells")
+    probe = boxes.drop("_at", "n").withColumn("_wide", F.explode(F.array(F.col("_wide") - 1, F.col("_wide"), F.col("_wide") + 1)))
+    n, middle = cells2(F.col("_wide")), cell2(F.col("lon"), cells2(F.col("_wide")))
+    # near the poles a band's cells are wider than they need be, so two to each side are enough
+    probe = probe.withColumn("_at", F.explode(F.array_distinct(F.array(*[F.pmod(middle + d, n) for d in (-2, -1, 0, 1, 2)]))))
+    other = boxes.select("_g", "_wide", "_at", *[F.col(c).alias(f"{c}2") for c in ("_b", "_c", "n", "lat", "lon", "reach")])
+    apart, slack = C.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), F.col("reach") + F.col("reach2") + 1e-6
+    pairs = probe.join(other, ["_g", "_wide", "_at"]).withColumn("apart", apart).filter(F.col("apart") - slack <= radius_km)
+    pairs = cut(pairs.select("_g", "_b", "_c", "_b2", "_c2", "n2", (F.col("apart") + slack <= radius_km).alias("whole")), "peer-pairs")
+    inner = pairs.filter("whole").groupBy("_g", "_b", "_c").agg(F.sum("n2").alias("inner"))
+    right = at.select("_g", *[F.col(c).alias(f"{c}2") for c in ("_b", "_c")], F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"), F.col("n").alias("m"))
+    rim = at.join(pairs.filter("NOT whole").drop("n2", "whole"), ["_g", "_b", "_c"]).join(right, ["_g", "_b2", "_c2"])
+    rim = rim.filter(C.haversine_km(F.col("latitude"), F.col("longitude"), F.col("lat2"), F.col("lon2")) <= radius_km)
+    rim = rim.groupBy("_g", "latitude", "longitude").agg(F.sum("m").alias("rim"))
+    out = at.join(inner, ["_g", "_b", "_c"], "left").join(rim, ["_g", "latitude", "longitude"], "left")
+    total = F.coalesce("inner", F.lit(0)) + F.coalesce("rim", F.lit(0))
+    return out.select(F.col("_g").alias(group), "latitude", "longitude", total.alias("within"))
 
 
 def peer_density(companies: DataFrame, radius_km: float = RADIUS_KM) -> DataFrame:

@@ -8,18 +8,26 @@ from pyspark.sql import functions as F
 from bizfit.operators.shared import cut
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+#: Up to so many edges a node's window fits any task, whatever its degree.
+WINDOW_EDGES = 2_000_000
+
+
+def _star(edges: DataFrame, large: bool, many: bool) -> DataFrame:
     """Hang each node's larger (large) or smaller (not large) neighbours on its smallest neighbour.
 
-    Both are windows over one shuffle by node. A hub's larger neighbours are
-    spread over the leaves' own groups by the small star of the same round.
+    A small table is dealt by node once, for a window. In one with ``many`` edges a hub
+    may hold any share of them: minima are counted with partial sums and written, and
+    the join back to the edges, of two shuffled sides, is split where it is skewed.
     """
     if large:
         both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     else:
         both = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    least = F.least(F.min("dst").over(Window.partitionBy("src")), F.col("src"))
-    seen = both.withColumn("low", least)
+    if many:
+        low = cut(both.groupBy("src").agg(F.min("dst").alias("low")), "cc-low")
+        seen = both.join(low, "src").withColumn("low", F.least("low", "src"))
+    else:
+        seen = both.withColumn("low", F.least(F.min("dst").over(Window.partitionBy("src")), F.col("src")))
     if large:
         out = seen.filter("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
     else:
@@ -40,9 +48,10 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(),
         "cc",
     )
-    mark = None
+    mark, many = None, now.count() > WINDOW_EDGES
     for _ in range(max_rounds):
-        now = cut(_star(_star(now, large=True), large=False), "cc")
+        stars = _star(now, True, many)
+        now = cut(_star(cut(stars, "cc-stars") if many else stars, False, many), "cc")
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst"))).first()
         if tuple(seen) == mark:
             return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(

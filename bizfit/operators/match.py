@@ -84,10 +84,13 @@ def name_similarity(a: str, b: str) -> Column:
     return F.pandas_udf(ratios, "double", PandasUDFType.SCALAR)(a, b)
 
 
+#: What a pair is judged by.
+COMPARED = ["key_name", "key_reg_domain", "key_postcode", "city", "latitude", "longitude"]
+
+
 def judged_pairs(rows: DataFrame) -> DataFrame:
     """A, b, similarity, reason of each accepted pair; reason is that of the first rule that holds."""
-    keep = ["key_name", "key_reg_domain", "key_postcode", "city", "latitude", "longitude"]
-    side = lambda p: rows.select(F.col("pos").alias(p), *[F.col(k).alias(f"{k}_{p}") for k in keep])
+    side = lambda p: rows.select(F.col("pos").alias(p), *[F.col(k).alias(f"{k}_{p}") for k in COMPARED])
     pairs = candidate_pairs(rows).join(side("a"), "a").join(side("b"), "b")
     apart = C.haversine_km(F.col("latitude_a"), F.col("longitude_a"), F.col("latitude_b"), F.col("longitude_b")) > SAME_PREMISES_KM
     pairs = pairs.filter(~F.coalesce(apart, F.lit(False)))
@@ -120,7 +123,7 @@ def dedupe(companies: DataFrame) -> tuple[DataFrame, DataFrame]:
     are filled from members in source order, the coordinates as one pair, contacts
     and web taken whole. Only members of groups are regrouped; other rows pass.
     """
-    rows = blocking_keys(standardise(companies))
+    rows = cut(blocking_keys(standardise(companies)).select("pos", "block_keys", *COMPARED), "dedupe-keys")  # five uses
     edges = cut(judged_pairs(rows), "dedupe-edges")
     groups = cut(connected_components(edges, "a", "b"), "dedupe-groups").withColumnRenamed("node", "pos").withColumnRenamed("component", "group")
     grouped = companies.join(groups, "pos")

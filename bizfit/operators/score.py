@@ -9,10 +9,10 @@ final ranking.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bizfit.operators.shared import cut
@@ -78,41 +78,53 @@ def confidence(found: Column, missing: Column) -> Column:
 
 
 def factor(base, findings: list[Finding], missing: list[tuple[Column, Column | str]], measured: Column | None = None, score: Column | None = None) -> Column:
-    """The struct of one factor. score replaces the sum of base and impacts where given."""
-    total = score if score is not None else reduce(lambda a, f: a + F.when(f.when, f.impact).otherwise(0.0), findings, _lit(base).cast("double"))
+    """What one factor is made of; finish() makes the result of it. score replaces the sum of base and impacts where given."""
     shown = [
         F.when(f.when, F.struct(f.label.alias("label"), f.detail.alias("detail"), f.url.alias("source_url"), F.least(F.greatest(f.impact, F.lit(-100.0)), F.lit(100.0)).alias("impact")))
         for f in findings
     ]
-    blank = "array<struct<label:string,detail:string,source_url:string,impact:double>>"
-    evidence = F.array_compact(F.array(*shown)) if shown else F.array().cast(blank)
-    gaps = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), _lit(n)) for c, n in missing])) if missing else F.array().cast("array<string>")
     return F.struct(
-        F.least(F.greatest(total, F.lit(0.0)), F.lit(100.0)).alias("score"),
-        confidence(F.size(evidence), F.size(gaps)).alias("confidence"),
-        evidence.alias("evidence"),
-        gaps.alias("missing"),
-        (F.size(evidence) > 0 if measured is None else measured | (F.size(evidence) > 0)).alias("measured"),
-    )
-
-
-def excerpt(text: Column, pattern: str, window: int = 70) -> Column:
-    """The first match of a pattern with what stands around it, white space collapsed, ellipses where cut."""
-    head = F.regexp_extract(text, f"(?is)^(.*?)(?:{pattern})", 1)
-    hit = F.regexp_extract(text, f"(?i){pattern}", 0)
-    start, stop = F.char_length(head), F.char_length(head) + F.char_length(hit)
+        _lit(base).cast("double").alias("base"), _lit(score).cast("double").alias("own"), F.array_compact(F.array(*shown)).alias("evidence"),
+        F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), _lit(n)) for c, n in missing])).alias("missing"), F.coalesce(_lit(measured).cast("boolean"), F.lit(False)).alias("anyway"),
+    )
+
+
+def finish(parts: Column) -> Column:
+    """The struct of one factor: score, confidence, evidence, missing, measured. Impacts are added in the order of the evidence."""
+    found, gaps = F.size(parts["evidence"]), F.size(parts["missing"])
+    total = F.coalesce(parts["own"], F.aggregate(parts["evidence"], parts["base"], lambda a, e: a + e["impact"]))
+    return F.struct(
+        F.least(F.greatest(total, F.lit(0.0)), F.lit(100.0)).alias("score"), confidence(found, gaps).alias("confidence"),
+        parts["evidence"].alias("evidence"), parts["missing"].alias("missing"), (parts["anyway"] | (found > 0)).alias("measured"),
+    )
+
+
+def excerpt(text: Column, pattern: Column, window: int = 70) -> Column:
+    """The first match of a pattern with what stands around it, white space collapsed, ellipses where cut; null if the pattern is."""
+    head = F.call_function("regexp_extract", text, F.concat(F.lit("(?is)^(.*?)(?:"), pattern, F.lit(")")), F.lit(1))
+    hit = F.call_function("regexp_extract", text, F.concat(F.lit("(?i)"), pattern), F.lit(0))
+    start = F.char_length(head)
+    stop = start + F.char_length(hit)
     low = F.greatest(start - window, F.lit(0))
     body = F.trim(F.regexp_replace(text.substr(low + 1, stop + window - low), r"(?U)\s+", " "))
     return F.concat(F.when(low > 0, "…").otherwise(""), body, F.when(stop + window < F.char_length(text), "…").otherwise(""))
 
 
-def best_phrase(text: Column, patterns: list[tuple[str, str, float]]) -> tuple[Column, Column, Column]:
-    """(impact or null, label, excerpt) of the strongest pattern that matches; of equals, the first."""
-    impact = label = quote = F.lit(None)
-    for pattern, name, value in sorted(patterns, key=lambda p: p[2]):
-        hit = text.rlike(f"(?i){pattern}")
-        impact, label, quote = F.when(hit, value).otherwise(impact), F.when(hit, name).otherwise(label), F.when(hit, excerpt(text, pattern)).otherwise(quote)
-    return impact, label, quote
+def first_match(text: Column, patterns: list[str]) -> Column:
+    """The number, from 0, of the first pattern that matches; null if none does."""
+    out = F.lit(None).cast("int")
+    for k in reversed(range(len(patterns))):
+        out = F.when(text.rlike(f"(?i){patterns[k]}"), k).otherwise(out)
+    return out
+
+
+def nth(values: list, k: Column) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), k)
+
+
+def strongest(patterns: list[tuple[str, str, float]]) -> list[tuple[str, str, float]]:
+    """By impact, the highest first; equals in the order listed."""
+    return sorted(patterns, key=lambda p: -p[2])
 
 
 def present(c: Column) -> Column:
@@ -120,39 +132,53 @@ def present(c: Column) -> Column:
     return F.nullif(c, F.lit(0))
 
 
-def succession(as_of_year: int) -> Column:
+def signals(companies: DataFrame, as_of_year: int) -> DataFrame:
+    """Adds what the factors are told from as plain columns, in three steps, so that no factor repeats an expression."""
     c, w = F.col, lambda n: F.col("web")[n]
     words = lambda n: F.array_join(F.coalesce(w(n), F.array().cast("array<string>")), " ")
-    text = F.concat_ws(" ", F.coalesce(w("raw_text_excerpt"), F.lit("")), words("owner_mentions"), words("pe_backed_mentions"), c("name"))
-    form = F.lower(F.trim(c("business_type")))
-    filed = F.lit(None).cast("double")
+    form, filed = F.lower(F.trim(c("business_type"))), F.lit(None).cast("double")
     for k, v in FILED.items():
         filed = F.when(form == k, v).otherwise(filed)
-    claim, claim_label, claim_quote = best_phrase(text, OWNERSHIP)
-    by_filing = filed.isNotNull() & (claim.isNull() | (filed >= claim))
+    latest = F.coalesce(present(w("latest_content_year")), present(w("copyright_year")))
     founded = F.coalesce(present(c("founded_year")), present(w("founded_year")))
-    age = F.lit(as_of_year) - founded
+    plain = companies.withColumns({
+        "_text": F.concat_ws(" ", F.coalesce(w("raw_text_excerpt"), F.lit("")), words("owner_mentions"), words("pe_backed_mentions"), c("name")),
+        "_filed": filed, "_founded": founded, "_age": F.lit(as_of_year) - founded, "_latest": latest, "_stale": F.lit(as_of_year) - latest,
+        "_owner": F.get(F.filter(c("contacts"), lambda x: F.coalesce(x["is_decision_maker"], F.lit(False))), F.lit(0)), "_first": F.get(c("contacts"), F.lit(0)),
+        "_hints": F.transform(F.coalesce(w("tech_hints"), F.array().cast("array<string>")), F.lower), "_site": F.coalesce(c("website"), F.lit("")) != "",
+    })
+    listed = lambda names: F.array_sort(F.array_intersect("_hints", F.array(*[F.lit(x) for x in names])))
+    chosen = plain.withColumns({
+        "_claim": first_match(c("_text"), [p for p, *_ in strongest(OWNERSHIP)]), "_told": first_match(c("_text"), [p for p, *_ in strongest(TENURE)]),
+        "_backed": first_match(c("_text"), [p for p, _ in BACKED]), "_best": F.coalesce("_owner", "_first"), "_old": listed(LEGACY), "_new": listed(MODERN),
+    })
+    quote = lambda k, patterns: excerpt(c("_text"), nth([p[0] for p in patterns], c(k)))
+    return chosen.withColumns({
+        "_claim_quote": quote("_claim", strongest(OWNERSHIP)), "_told_quote": quote("_told", strongest(TENURE)), "_backed_quote": quote("_backed", BACKED),
+        "_claim_impact": nth([p[2] for p in strongest(OWNERSHIP)], c("_claim")), "_told_impact": nth([p[2] for p in strongest(TENURE)], c("_told")),
+        "_chief": F.coalesce(c("_best")["title"], F.lit("")).rlike(DECISION),
+    })
+
+
+def succession() -> Column:
+    c, w = F.col, lambda n: F.col("web")[n]
+    filed, claim, founded, age, told, owner = c("_filed"), c("_claim_impact"), c("_founded"), c("_age"), c("_told_impact"), c("_owner")
+    by_filing = filed.isNotNull() & (claim.isNull() | (filed >= claim))
     origin = F.when(c("licence_issued").isNotNull(), "Licensed since").otherwise("Founded")
-    told, told_label, told_quote = best_phrase(text, TENURE)
     by_age = F.when(age >= 25, F.least(F.lit(24.0), 8.0 + (age - 25) * 0.6))
     young = F.coalesce(age < 8, F.lit(False))
     older = by_age.isNotNull() & (told.isNull() | (by_age >= told))
+    named = F.concat_ws(" - ", F.coalesce(owner["name"], F.lit("Decision maker")), F.nullif(owner["title"], F.lit("")))
     found = [
         finding(by_filing, filed, F.concat(F.lit("Ownership form: "), c("business_type")), "As filed with the licensing board.", c("source_url")),
-        finding(~by_filing & claim.isNotNull(), claim, claim_label, claim_quote, c("website")),
+        finding(~by_filing & claim.isNotNull(), claim, nth([p[1] for p in strongest(OWNERSHIP)], c("_claim")), c("_claim_quote"), c("website")),
         finding(young, -18.0, "Young business", F.concat_ws(" ", origin, founded.cast("string"), F.lit("-"), age.cast("string"), F.lit("years old.")), F.coalesce("source_url", "website")),
         finding(~young & older, by_age, "Long-established business", F.concat_ws(" ", origin, founded.cast("string"), F.lit("-"), age.cast("string"), F.lit("years of trading.")), c("website")),
-        finding(~young & ~older & told.isNotNull(), told, told_label, told_quote, c("website")),
+        finding(~young & ~older & told.isNotNull(), told, nth([p[1] for p in strongest(TENURE)], c("_told")), c("_told_quote"), c("website")),
         finding(c("sibling_location_count") >= 3, -32.0, "Multi-location chain", F.concat(c("sibling_location_count").cast("string"), F.lit(" premises under this name.")), c("source_url")),
+        finding(c("_backed").isNotNull(), -45.0, nth([label for _, label in BACKED], c("_backed")), c("_backed_quote"), c("website")),
+        finding(owner.isNotNull(), 8.0, "Named decision maker", named, F.coalesce(owner["linkedin_url"], c("website"))),
     ]
-    taken = F.lit(False)
-    for pattern, label in BACKED:
-        hit = text.rlike(f"(?i){pattern}")
-        found.append(finding(hit & ~taken, -45.0, label, excerpt(text, pattern), c("website")))
-        taken = taken | hit
-    owner = F.get(F.filter(c("contacts"), lambda x: F.coalesce(x["is_decision_maker"], F.lit(False))), F.lit(0))
-    named = F.concat_ws(" - ", F.coalesce(owner["name"], F.lit("Decision maker")), F.nullif(owner["title"], F.lit("")))
-    found.append(finding(owner.isNotNull(), 8.0, "Named decision maker", named, F.coalesce(owner["linkedin_url"], c("website"))))
     missing = [
         (~by_filing & claim.isNull(), "ownership evidence"), (founded.isNull(), "founding year"),
         (F.coalesce(w("raw_text_excerpt"), F.lit("")) == "", "website text"), (owner.isNull(), "named owner or principal"),
@@ -191,26 +217,21 @@ def buy_box(box: BuyBox) -> Column:
     return factor(30.0, found, missing, score=score)
 
 
-def digital_gap(as_of_year: int) -> Column:
+def digital_gap() -> Column:
     c, w = F.col, lambda n: F.col("web")[n]
-    site = F.coalesce(c("website"), F.lit("")) != ""
+    site, old, new, stale = c("_site"), c("_old"), c("_new"), c("_stale")
     found, missing = [], []
     for field, label, impact in (("https", "HTTPS", 11.0), ("mobile_viewport", "mobile viewport", 13.0), ("has_analytics", "analytics", 9.0)):
         found.append(finding(site & (w(field) == False), impact, f"No {label}", "Not found on the site.", c("website")))  # noqa: E712
         found.append(finding(site & w(field), -impact * 0.5, f"Has {label}", "Already in place.", c("website")))
         missing.append((site & w(field).isNull(), f"no {label}".lower()))
-    hints = F.transform(F.coalesce(w("tech_hints"), F.array().cast("array<string>")), F.lower)
-    old, new = (F.array_sort(F.array_intersect(hints, F.array(*[F.lit(x) for x in names]))) for names in (LEGACY, MODERN))
     found.append(finding(site & (F.size(old) > 0), 13.0, "Legacy site technology", F.concat(F.lit("Detected "), F.array_join(old, ", ")), c("website")))
     found.append(finding(site & (F.size(old) == 0) & (F.size(new) > 0), -12.0, "Modern site technology", F.concat(F.lit("Detected "), F.array_join(new, ", ")), c("website")))
-    missing.append((site & (F.size(hints) == 0), "site technology"))
-    latest = F.coalesce(present(w("latest_content_year")), present(w("copyright_year")))
-    stale = F.lit(as_of_year) - latest
-    found.append(finding(site & (stale >= 2), F.least(F.lit(15.0), 4.0 * stale), "Stale content", F.concat(F.lit("Newest content is from "), latest.cast("string")), c("website")))
-    found.append(finding(site & (stale < 2), -8.0, "Current content", F.concat(F.lit("Content is from "), latest.cast("string")), c("website")))
-    missing += [(site & latest.isNull(), "content freshness"), (~site, "website"), (~site, "site technology"), (~site, "content freshness")]
-    total = reduce(lambda a, f: a + F.when(f.when, f.impact).otherwise(0.0), found, F.lit(28.0))
-    return factor(28.0, found, missing, score=F.when(site, total).otherwise(50.0))
+    missing.append((site & (F.size("_hints") == 0), "site technology"))
+    found.append(finding(site & (stale >= 2), F.least(F.lit(15.0), 4.0 * stale), "Stale content", F.concat(F.lit("Newest content is from "), c("_latest").cast("string")), c("website")))
+    found.append(finding(site & (stale < 2), -8.0, "Current content", F.concat(F.lit("Content is from "), c("_latest").cast("string")), c("website")))
+    missing += [(site & c("_latest").isNull(), "content freshness"), (~site, "website"), (~site, "site technology"), (~site, "content freshness")]
+    return factor(28.0, found, missing, score=F.when(~site, 50.0))
 
 
 def fragmentation() -> Column:
@@ -227,12 +248,12 @@ def primary_contact() -> Column:
 
 
 def contactability() -> Column:
-    best, c = primary_contact(), F.col
+    best, c = F.col("_best"), F.col
     has = lambda n: F.coalesce(best[n], F.lit("")) != ""
     role = F.lower(F.substring_index(best["email"], "@", 1)).isin(ROLES)
     status = best["email_status"]
     mail = F.when(status == "verified", F.when(role, 20.0).otherwise(30.0)).when(status == "risky", 12.0).when(status == "invalid", -10.0).otherwise(8.0)
-    chief = F.coalesce(best["title"], F.lit("")).rlike(DECISION)
+    chief = c("_chief")
     who = F.concat_ws(" - ", best["name"], F.nullif(best["title"], F.lit("")))
     link = F.coalesce(best["linkedin_url"], c("website"))
     found = [
@@ -246,10 +267,9 @@ def contactability() -> Column:
     return factor(0.0, found, missing, measured=F.coalesce(F.size("contacts") <= 0, F.lit(True)))
 
 
-def health(as_of_year: int) -> Column:
+def health() -> Column:
     c, w = F.col, lambda n: F.col("web")[n]
-    latest = F.coalesce(present(w("latest_content_year")), present(w("copyright_year")))
-    age = F.lit(as_of_year) - latest
+    latest, age = c("_latest"), c("_stale")
     found = [
         finding(age <= 1, 22.0, "Site actively maintained", F.concat(F.lit("Content dated "), latest.cast("string")), c("website")),
         finding(age >= 4, -28.0, "Possibly dormant", F.concat(F.lit("Nothing newer than "), latest.cast("string")), c("website")),
@@ -261,16 +281,11 @@ def health(as_of_year: int) -> Column:
     return factor(50.0, found, missing)
 
 
-def factor_columns(as_of_year: int, box: BuyBox = BuyBox()) -> dict[str, Column]:  # noqa: B008
-    return {
-        "succession": succession(as_of_year), "buy_box": buy_box(box), "digital_gap": digital_gap(as_of_year),
-        "fragmentation": fragmentation(), "contactability": contactability(), "health": health(as_of_year),
-    }
-
-
 def with_factors(companies: DataFrame, as_of_year: int, box: BuyBox = BuyBox()) -> DataFrame:  # noqa: B008
     """Adds one struct column f_<factor> for each factor."""
-    return companies.withColumns({f"f_{k}": v for k, v in factor_columns(as_of_year, box).items()})
+    parts = {"succession": succession(), "buy_box": buy_box(box), "digital_gap": digital_gap(), "fragmentation": fragmentation(), "contactability": contactability(), "health": health()}
+    rows = signals(companies, as_of_year).withColumns({f"_p_{k}": v for k, v in parts.items()})
+    return rows.select(*companies.columns, *[finish(F.col(f"_p_{k}")).alias(f"f_{k}") for k in FACTORS])
 
 
 def _sum(parts: list[Column]) -> Column:
@@ -317,31 +332,48 @@ def ranked(scored: DataFrame) -> DataFrame:
 
 
 def what_if(factors: DataFrame, weights: DataFrame) -> DataFrame:
-    """Every row under every weight vector (scenario and the six factors' names), with its rank.
+    """Every row under every weight vector of ``weights`` (scenario and the six factors' names).
 
-    ``weights`` is a parameter table; over 10,000 vectors it is refused, since each
-    multiplies the output. The rank is counted per (scenario, score) and summed from
-    the top, so that no scenario's rows are sorted in one task.
+    Each vector multiplies the output, which is what is asked for; the vectors are
+    broadcast if they are few, else both sides are spread.
     """
-    n = weights.limit(10_001).count()
-    if n > 10_000:
-        raise ValueError("too many weight vectors for one job")
     given = weights.select("scenario", *[F.col(k).cast("double").alias(f"_v_{k}") for k in FACTORS])
-    factors = cut(factors, "factors")
-    rows = with_total(factors.crossJoin(F.broadcast(given)), lambda k: F.col(f"_v_{k}"))
+    few = given.limit(100_001).count() <= 100_000
+    rows = with_total(cut(factors, "factors").crossJoin(F.broadcast(given) if few else given), lambda k: F.col(f"_v_{k}"))
     return rows.drop(*[f"_v_{k}" for k in FACTORS])
 
 
-def content_key(as_of_year: int) -> Column:
-    """Changes with what a score is made from: the record without its crawl time, and the year."""
-    parts = ["name", "website", "industry", "city", "postcode", "founded_year", "business_type", "has_employees", "employee_count", "revenue_usd", "contacts"]
-    parts += ["peer_count_in_niche", "sibling_location_count"]
-    record = F.to_json(F.struct(*parts, F.col("web").dropFields("fetched_at").alias("web")))
-    weights = "|".join(f"{k}={v}" for k, v in WEIGHTS.items())
-    return F.concat(F.lit("score:"), F.left(F.sha2(F.concat_ws("|", F.lit(VERSION), record, F.lit(weights), F.lit(str(as_of_year))), 256), F.lit(32)))
+def places(scored: DataFrame, by: str = "scenario") -> DataFrame:
+    """Adds place, the rank within ``by``: best score first, equal scores in order of the id.
+
+    Rows are dealt by range of (by, score, id) and numbered within their range; each
+    range starts after the rows of those before it. No group is sorted in one task.
+    """
+    order = [F.desc("score"), F.asc("id")]
+    dealt = cut(scored.repartitionByRange(by, *order).withColumn("_range", F.spark_partition_id()), "places")
+    sizes = dealt.groupBy(by, "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col(by).alias("_by"), F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_start"))
+    inside = dealt.withColumn("_k", F.row_number().over(Window.partitionBy(by, "_range").orderBy(*order)))
+    joined = inside.join(F.broadcast(starts), inside[by].eqNullSafe(starts["_by"]) & (F.col("_range") == F.col("_r")))
+    return joined.withColumn("place", F.col("_start") + F.col("_k")).drop("_range", "_k", "_by", "_r", "_start")
+
+
+#: Columns that change with a crawl or a visit but not with what is known of a company.
+VOLATILE = ["last_refreshed", "first_seen", "pos", "data_quality", "quality_issues", "raw"]
+
+
+def content_key(companies: DataFrame, as_of_year: int, box: BuyBox = BuyBox()) -> DataFrame:  # noqa: B008
+    """Adds cache_key, which changes with whatever a score is made from: the record without its times, the weights, the buy box and the year."""
+    parts = [F.col(c) for c in sorted(companies.columns) if c not in (*VOLATILE, "web", "cache_key") and not c.startswith("f_")]
+    record = F.to_json(F.struct(*parts, F.col("web").dropFields("fetched_at").alias("web")), {"ignoreNullFields": "false"})
+    thesis = "|".join([*(f"{k}={v}" for k, v in WEIGHTS.items()), *(f"{k}={v}" for k, v in sorted(asdict(box).items())), str(as_of_year)])
+    crawled = F.col("web")["fetched_at"].isNotNull().cast("string")  # that there was a crawl counts, its time doesn't
+    text = F.concat_ws("|", F.lit(VERSION), record, crawled, F.lit(thesis))
+    return companies.withColumn("cache_key", F.concat(F.lit("score:"), F.left(F.sha2(text, 256), F.lit(32))))
 
 
-def rescore_changed(companies: DataFrame, history: DataFrame, as_of_year: int) -> DataFrame:
+def rescore_changed(companies: DataFrame, history: DataFrame, as_of_year: int, box: BuyBox = BuyBox()) -> DataFrame:  # noqa: B008
     """Scores only the rows whose content key isn't in ``history.cache_key``."""
-    keyed = companies.withColumn("cache_key", content_key(as_of_year))
-    return score_table(keyed.join(history.select("cache_key"), "cache_key", "left_anti"), as_of_year)
+    keyed = content_key(companies, as_of_year, box)
+    return score_table(keyed.join(history.select("cache_key"), "cache_key", "left_anti"), as_of_year, box)

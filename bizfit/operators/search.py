@@ -50,14 +50,15 @@ def lookup(companies: DataFrame, id_: str) -> DataFrame:
 
 
 def page(scored: DataFrame, offset: int, limit: int) -> DataFrame:
-    """A slice of the ranking; ties in order of the id."""
-    return scored.orderBy(F.desc("score"), F.asc("id")).offset(offset).limit(limit)
+    """A slice of the ranking; ties in order of the id. total counts all rows before the slice."""
+    total = scored.agg(F.count("*").alias("total"))
+    return scored.orderBy(F.desc("score"), F.asc("id")).offset(offset).limit(limit).crossJoin(F.broadcast(total))
 
 
 def sort_modes(scored: DataFrame, mode: str) -> DataFrame:
-    """By name (case-blind, digit runs as numbers), coverage or score; ties by score, then id."""
-    name = F.lower(F.regexp_replace(F.regexp_replace("name", r"(\d+)", "000000000000$1"), r"0+(\d{12})", "$1"))
-    lead = {"name": [F.asc(name)], "coverage": [F.desc("covered_weight")], "score": []}[mode]
+    """By name (in a locale's order without regard to case, digit runs as numbers), coverage or score; ties by score, then id."""
+    name = F.regexp_replace(F.regexp_replace("name", r"(\d+)", "000000000000000000$1"), r"0+(\d{18})", "$1")
+    lead = {"name": [F.asc(F.collate(name, "UNICODE_CI"))], "coverage": [F.desc("covered_weight")], "score": []}[mode]
     return scored.orderBy(*lead, F.desc("score"), F.asc("id"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bizfit.operators.score import primary_contact
+from bizfit.operators.score import FACTORS, primary_contact, with_total
 
 EXPORT = ["name", "score", "confidence", "coverage", "industry", "city", "state", "postcode", "phone", "email", "contact_name", "contact_title", "website", "business_type", "licence_issued", "source_url"]
 # Header names of the three presets, in the order of EXPORT.
@@ -20,40 +20,64 @@ PRESETS = {
 }
 
 
-def upsert(base: DataFrame, new: DataFrame, key: str, path: str) -> DataFrame:
-    """K1, K2: base with the rows of new put in place by key, nested contacts replaced whole; written to path and read back."""
-    newest = new.dropDuplicates([key])
-    base.join(newest.select(key), key, "left_anti").unionByName(newest.select(*base.columns)).write.parquet(path)
-    return base.sparkSession.read.parquet(path)
+def upsert(base: DataFrame, new: DataFrame, key: str, path: str, order: str | None = None) -> DataFrame:
+    """K1, K2: base with the rows of new put in place by key, nested contacts replaced whole; written to path and read back.
+
+    Of several new rows with a key the one with the highest ``order`` is taken, or,
+    without an order, the one that sorts last by its own contents.
+    """
+    values = F.struct(*[F.col(c) for c in base.columns])
+    rank = F.col(order) if order else F.to_json(values)
+    newest = new.groupBy(F.col(key).alias("_key")).agg(F.max_by(values, rank).alias("_row")).select("_row.*")
+    base.join(newest.select(key), key, "left_anti").select(*base.columns).unionByName(newest).write.parquet(path)
+    return base.sparkSession.read.schema(base.schema).parquet(path)
 
 
 def append_payloads(rows: DataFrame, key: str, path: str, at: str) -> DataFrame:
     """K3: one JSON payload per row, appended."""
     out = rows.select(F.col(key).alias("company_id"), F.to_json(F.struct(*[c for c in rows.columns if c != key])).alias("payload"), F.lit(at).alias("fetched_at"))
     out.write.mode("append").parquet(path)
-    return rows.sparkSession.read.parquet(path)
+    return rows.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def append_scores(scores: DataFrame, path: str, key: str = "cache_key") -> DataFrame:
+    """K4: the history in the folder ``path``, after those scores were appended whose key it doesn't have; of equal keys one.
 
+    Appending the same scores again changes nothing.
+    """
+    spark = scores.sparkSession
+    fresh = scores.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*scores.columns), F.to_json(F.struct(*scores.columns))).alias("_row")).select("_row.*")
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        fresh = fresh.join(spark.read.schema(scores.schema).parquet(path).select(key), key, "left_anti")
+    fresh.select(*scores.columns).write.mode("append").parquet(path)
+    return spark.read.schema(scores.schema).parquet(path)
 
-def append_scores(history: DataFrame, scores: DataFrame) -> DataFrame:
-    """K4: history with those scores whose cache_key it doesn't have."""
-    fresh = scores.dropDuplicates(["cache_key"]).join(history.select("cache_key"), "cache_key", "left_anti")
-    return history.unionByName(fresh.select(*history.columns))
 
+def crm_export(scored: DataFrame, preset: str = "generic", ids: DataFrame | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+    """K5: sixteen text columns under a preset's headers; null is empty; best score first when written.
 
-def crm_export(scored: DataFrame, preset: str = "generic") -> DataFrame:
-    """K5: sixteen text columns under a preset's headers; null is empty; best score first when written."""
+    ``ids`` limits it to some companies; ``weights`` rescores rows that carry their factors.
+    """
+    rows = scored if ids is None else scored.join(ids.select("id").distinct(), "id", "left_semi")
+    if weights is not None:
+        given = {k: float(weights.get(k, 0.0)) for k in FACTORS}
+        added = ["covered_weight", "effective_weights", "contributions", "score_raw", "score", "confidence"]
+        rows = with_total(rows.drop(*added), lambda k: F.lit(given[k]))
     best = primary_contact()
     text = {
         "score": F.format_string("%.1f", "score"), "coverage": F.format_string("%.2f", "covered_weight"), "phone": best["phone"], "email": best["email"],
         "contact_name": best["name"], "contact_title": best["title"], "licence_issued": F.date_format("licence_issued", "yyyy-MM-dd"),
     }
     columns = [F.coalesce(text.get(k, F.col(k) if k not in text else None).cast("string"), F.lit("")).alias(h) for k, h in zip(EXPORT, PRESETS[preset], strict=True)]
-    return scored.orderBy(F.desc("score"), F.asc("id")).select(*columns)
+    return rows.orderBy(F.desc("score"), F.asc("id")).select(*columns)
 
 
-def write_csv(export: DataFrame, path: str) -> None:
-    """Ordered part files with a header each; empty values stay empty."""
-    export.write.option("header", True).option("emptyValue", "").csv(path)
+def write_csv(export: DataFrame, path: str, bom: bool = False) -> None:
+    """Ordered part files with a header each; empty values stay empty. With ``bom`` each file starts with the mark that spreadsheets look for."""
+    mark = "\ufeff" if bom else ""
+    named = export.withColumnRenamed(export.columns[0], mark + export.columns[0])
+    named.write.option("header", True).option("emptyValue", "").csv(path)
 
 
 def write_snapshot(scored: DataFrame, path: str, market: str, sources: list[str], generated_at: str) -> None:

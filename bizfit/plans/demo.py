@@ -22,7 +22,8 @@ SELECT
   CASE WHEN c_acctbal > 0 THEN c_acctbal * 1000e0 END AS revenue_usd,
   CASE WHEN c % 4 <> 3 THEN 'https://www.Shop' || CAST(c % 400 AS STRING) || '.example' || CAST(c % 3 AS STRING) || '.com/home?x=1' END AS website,
   CASE WHEN c % 13 <> 0 THEN TRUE ELSE FALSE END AS has_contact,
-  CASE WHEN c % 5 <> 4 AND c % 13 <> 0 THEN CASE WHEN c % 2 = 0 THEN 'info' ELSE 'owner' || CAST(c AS STRING) END || '@Mail' || CAST(c % 300 AS STRING) || '.com' END AS email,
+  CASE WHEN c % 5 <> 4 AND c % 13 <> 0 THEN CASE WHEN c % 31 = 0 THEN 'not an address' WHEN c % 2 = 0 THEN 'info' ELSE 'owner' || CAST(c AS STRING) END
+    || CASE WHEN c % 37 = 0 THEN '@yopmail.com' ELSE '@Mail' || CAST(c % 300 AS STRING) || '.com' END END AS email,
   CASE WHEN c % 13 <> 0 THEN CASE c % 5 WHEN 0 THEN 'verified' WHEN 1 THEN 'risky' WHEN 2 THEN 'invalid' ELSE 'unknown' END END AS email_status,
   CASE WHEN c % 7 <> 0 AND c % 13 <> 0 THEN '(614) 2' || CAST(10 + c % 90 AS STRING) || '-' || CAST(1000 + c % 900 AS STRING) END AS phone,
   CASE WHEN c % 13 <> 0 THEN c % 2 = 0 END AS phone_valid,
@@ -55,9 +56,20 @@ FROM (
 ) b
 """
 
+#: A fetched page for each company whose number is a page's; some name the company and its city, some link its phone.
+PAGES_SQL = """
+SELECT p.page_id AS page_id, f.id AS id,
+  CASE WHEN p.page_id % 4 = 0 THEN p.url ELSE 'https://' || lower(replace(replace(replace(replace(f.name, ' Inc', ''), ' LLC', ''), ' & Co', ''), ' ', '')) || '.com' END AS url,
+  p.html || CASE p.page_id % 4 WHEN 1 THEN '<p>' || f.name || ' of ' || f.city || '.</p>' WHEN 2 THEN '<a href="tel:+1-' || coalesce(f.phone, '') || '">Call us</a>' ELSE '' END
+    || CASE WHEN p.page_id % 3 = 0 THEN '<a href="about/us.html">Who</a> <a href="../team?x=1#top">About <b>us</b></a> <a href="mailto:a@b.co">mail</a>' ELSE '' END AS html
+FROM {pages} p JOIN ({flat}) f ON f.pos = p.page_id
+"""
+
 #: The same for DuckDB, whose views have the tables' own names.
 FLAT = FLAT_SQL.format(customer="customer", part="part", nation="nation", region="region")
 
+PAGES = PAGES_SQL.format(pages="pages", flat=FLAT)
+
 CONTACT = ["name", "title", "email", "email_status", "phone", "phone_valid", "linkedin_url", "is_decision_maker"]
 
 
@@ -67,6 +79,12 @@ def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(FLAT_SQL, **tables)
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fetched pages: page_id, id of the company, url, html."""
+    tables = {"pages": spark.read.parquet(f"{sf_dir}/pages.parquet"), "flat": flat(spark, sf_dir)}
+    return spark.sql(PAGES_SQL.format(pages="{pages}", flat="SELECT * FROM {flat}"), **tables)
+
+
 def nest(rows: DataFrame) -> DataFrame:
     """Flat companies as the nested COMPANY record: contacts[] and web."""
     contact = F.struct(

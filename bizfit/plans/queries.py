@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from bizfit.functions import columns as C
 from bizfit.operators import annotate, contacts, match, pages, score, search, sinks
 from bizfit.operators.shared import cut, fresh_path
-from bizfit.plans.demo import AS_OF_YEAR, FLAT, companies, flat, nest
+from bizfit.plans.demo import AS_OF_YEAR, FLAT, PAGES, companies, flat, nest
+from bizfit.plans.demo import pages as demo_pages
 from bizfit.streaming.refresh import refreshes, stream_history
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,7 +36,7 @@ def _in(words) -> str:
 HOST = r"nullif(regexp_replace(regexp_replace(split_part(string_split(regexp_extract(regexp_replace(lower(trim({0})), '^[^/?#]*?://', ''), '^([^/?#]*)', 1), '@')[-1], ':', 1), '^[./]+|[./]+$', '', 'g'), '^www\.', ''), '')"
 PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '[&+]', ' and ', 'g'), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 KEYS = f"""
-WITH f AS ({FLAT}), h AS (SELECT *, {HOST.format('website')} AS key_domain, {PLAIN} AS plain, {HOST.format("string_split(email, '@')[-1]")} AS key_email_domain FROM f),
+WITH f AS ({FLAT}), h AS (SELECT *, {HOST.format('website')} AS key_domain, {PLAIN} AS plain, CASE WHEN contains(email, '@') THEN {HOST.format("string_split(email, '@')[-1]")} END AS key_email_domain FROM f),
 k AS (SELECT *, CASE WHEN array_to_string(string_split(key_domain, '.')[-2:], '.') IN ({_in(C.COMPOUND_SUFFIXES)}) THEN array_to_string(string_split(key_domain, '.')[-3:], '.')
                 ELSE array_to_string(string_split(key_domain, '.')[-2:], '.') END AS key_reg_domain,
         coalesce(nullif(array_to_string([t for t in string_split(plain, ' ') if t NOT IN ({_in(C.LEGAL_SUFFIXES + C.NOISE_WORDS)})], ' '), ''), plain) AS key_name FROM h),
@@ -54,7 +55,8 @@ BLOCKS = f"""{KEYS}, b AS (
     'd:' || key_reg_domain, 'n:' || lower(key_block_name || ':' || key_postcode), 'n:' || lower(key_block_name || ':' || city), 'p:' || key_phone10,
     CASE WHEN key_email_domain LIKE '%.%' AND key_email_domain IS DISTINCT FROM key_reg_domain THEN 'e:' || key_email_domain END], lambda x: x IS NOT NULL))) AS block FROM n),
 z AS (SELECT block, count(*) AS members FROM b GROUP BY block)"""
-HAVERSINE = "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians({b}.latitude - {a}.latitude) / 2), 2) + cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * pow(sin(radians({b}.longitude - {a}.longitude) / 2), 2))))"
+HAVERSINE = """CASE WHEN {a}.latitude IS NULL OR {a}.longitude IS NULL OR {b}.latitude IS NULL OR {b}.longitude IS NULL THEN NULL ELSE 2 * 6371.0 * asin(sqrt(least(1.0,
+  pow(sin(radians({b}.latitude - {a}.latitude) / 2), 2) + cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * pow(sin(radians({b}.longitude - {a}.longitude) / 2), 2)))) END"""
 PAIRS = f"{BLOCKS}, c AS (SELECT DISTINCT x.pos AS a, y.pos AS b FROM b x JOIN b y USING (block) JOIN z USING (block) WHERE members BETWEEN 2 AND 50 AND x.pos < y.pos)"
 
 
@@ -67,7 +69,11 @@ query("D2_block_sizes", f"{BLOCKS} SELECT block, members FROM z")(lambda s, d: m
 query("J4_block_pairs", f"{PAIRS} SELECT a, b FROM c")(lambda s, d: match.candidate_pairs(_blocked(s, d)))
 
 
-@query("D3_geo_guard", f"{PAIRS} SELECT a, b FROM c JOIN f p ON p.pos = a JOIN f q ON q.pos = b WHERE NOT coalesce({HAVERSINE.format(a='p', b='q')} > 0.75, FALSE)")
+#: Pairs that no distance rules out: one without coordinates is never ruled out.
+NEAR = f"{PAIRS}, near AS (SELECT a, b FROM c JOIN f p ON p.pos = a JOIN f q ON q.pos = b WHERE p.latitude IS NULL OR p.longitude IS NULL OR q.latitude IS NULL OR q.longitude IS NULL OR {HAVERSINE.format(a='p', b='q')} <= 0.75)"
+
+
+@query("D3_geo_guard", f"{NEAR} SELECT a, b FROM near")
 def geo_guard(s: SparkSession, d: str) -> DataFrame:
     rows = _blocked(s, d)
     side = lambda p: rows.select(F.col("pos").alias(p), F.col("latitude").alias(f"la_{p}"), F.col("longitude").alias(f"lo_{p}"))
@@ -75,8 +81,20 @@ def geo_guard(s: SparkSession, d: str) -> DataFrame:
     return match.candidate_pairs(rows).join(side("a"), "a").join(side("b"), "b").filter(~F.coalesce(far, F.lit(False))).select("a", "b")
 
 
-query("D5_pair_verdict")(lambda s, d: match.judged_pairs(_blocked(s, d)))
-query("D4_name_similarity")(lambda s, d: match.judged_pairs(_blocked(s, d)).select("a", "b", "similarity"))
+#: 100 * 2 * LCS / (length a + length b) of the sorted tokens: the table of common subsequences is filled a character of x a step.
+VERDICTS = f"""{NEAR.replace("WITH f AS", "WITH RECURSIVE f AS", 1)},
+w AS (SELECT a, b, array_to_string(list_sort(string_split(p.key_name, ' ')), ' ') AS x, array_to_string(list_sort(string_split(q.key_name, ' ')), ' ') AS y,
+  p.key_reg_domain AS da, q.key_reg_domain AS db, p.key_postcode AS za, q.key_postcode AS zb, p.city AS ca, q.city AS cb FROM near JOIN n p ON p.pos = a JOIN n q ON q.pos = b),
+t AS (SELECT DISTINCT x, y FROM w),
+lcs(x, y, i, line) AS (SELECT x, y, 0, list_transform(range(length(y) + 1), lambda j: 0) FROM t
+  UNION ALL SELECT x, y, i + 1, list_transform(range(length(y) + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE list_max(list_transform(range(1, j + 1), lambda k: greatest(line[k + 1], line[k] + CAST(x[i + 1] = y[k] AS INT)))) END)
+  FROM lcs WHERE i < length(x)),
+v AS (SELECT w.*, CASE WHEN x = '' AND y = '' THEN 100e0 ELSE 200e0 * list_max(line) / (length(x) + length(y)) END AS similarity FROM w JOIN lcs USING (x, y) WHERE i = length(x)),
+judged AS (SELECT a, b, similarity, CASE WHEN da = db AND similarity >= 60 THEN 'same domain (' || da || ')' WHEN similarity >= 90 THEN 'near-identical name'
+  WHEN similarity >= 80 AND za = zb THEN 'similar name at the same postcode (' || za || ')' WHEN similarity >= 80 AND lower(ca) = lower(cb) AND ca <> '' THEN 'similar name in the same city (' || ca || ')' END AS reason FROM v),
+accepted AS (SELECT * FROM judged WHERE reason IS NOT NULL)"""
+query("D5_pair_verdict", f"{VERDICTS} SELECT a, b, similarity, reason FROM accepted")(lambda s, d: match.judged_pairs(_blocked(s, d)))
+query("D4_name_similarity", f"{VERDICTS} SELECT a, b, similarity FROM accepted")(lambda s, d: match.judged_pairs(_blocked(s, d)).select("a", "b", "similarity"))
 COMPLETE = "(CASE WHEN coalesce(email, '') <> '' THEN 1 ELSE 0 END + CASE WHEN coalesce(phone, '') <> '' THEN 1 ELSE 0 END + CASE WHEN coalesce(contact_name, '') <> '' THEN 1 ELSE 0 END)"
 
 
@@ -97,12 +115,28 @@ def components(s: SparkSession, d: str) -> DataFrame:
     return match.connected_components(link("phone10").unionByName(link("key_reg_domain")), "a", "b")
 
 
-@query("D8_survivorship")
+#: Components of the accepted pairs, and each component's members with the order in which they are preferred.
+GROUPED = f"""{VERDICTS}, g AS (SELECT a, b FROM accepted UNION SELECT b, a FROM accepted), r(node, seen) AS (SELECT a, a FROM g UNION SELECT r.node, g.b FROM r JOIN g ON r.seen = g.a),
+m AS (SELECT node AS pos, min(seen) AS grp FROM r GROUP BY node),
+k AS (SELECT f.*, m.grp, row_number() OVER (PARTITION BY m.grp ORDER BY {COMPLETE} DESC, CAST(crawled AS INT) DESC,
+  CAST(website IS NOT NULL AS INT) + CAST(founded_year IS NOT NULL AS INT) + CAST(employee_count IS NOT NULL AS INT) DESC, f.pos) AS turn FROM m JOIN f ON f.pos = m.pos)"""
+SURVIVORS = f"""{GROUPED.replace("k AS (SELECT f.*", "k0 AS (SELECT f.*", 1)}, top AS (SELECT * FROM k0 WHERE turn = 1),
+given AS (SELECT grp, arg_min(website, pos) FILTER (WHERE website IS NOT NULL) AS site, arg_min(founded_year, pos) FILTER (WHERE founded_year IS NOT NULL) AS founded,
+  arg_min({{'a': latitude, 'b': longitude}}, pos) FILTER (WHERE latitude IS NOT NULL AND longitude IS NOT NULL) AS place, max(CAST(has_contact AS INT)) AS contacts FROM k0 GROUP BY grp)
+SELECT id, pos, name, coalesce(website, site) AS website, coalesce(founded_year, founded) AS founded_year, coalesce(latitude, place.a) AS latitude, coalesce(longitude, place.b) AS longitude, contacts AS n_contacts
+  FROM top JOIN given USING (grp)
+UNION ALL SELECT id, pos, name, website, founded_year, latitude, longitude, CAST(has_contact AS INT) FROM f WHERE pos NOT IN (SELECT pos FROM m)"""
+
+
+@query("D8_survivorship", SURVIVORS)
 def survivorship(s: SparkSession, d: str) -> DataFrame:
     return match.dedupe(companies(s, d))[0].select("id", "pos", "name", "website", "founded_year", "latitude", "longitude", F.size("contacts").alias("n_contacts"))
 
 
-query("D9_match_audit")(lambda s, d: match.dedupe(companies(s, d))[1])
+AUDIT = f"""{GROUPED.replace("k AS (SELECT f.*", "k0 AS (SELECT f.*", 1)}, links AS (SELECT a AS pos, similarity, reason FROM accepted UNION ALL SELECT b, similarity, reason FROM accepted),
+why AS (SELECT pos, similarity, reason FROM links QUALIFY row_number() OVER (PARTITION BY pos ORDER BY similarity DESC, reason DESC) = 1)
+SELECT t.id AS kept_id, k0.id AS dropped_id, reason, round(similarity, 1) AS similarity FROM k0 JOIN k0 t ON t.grp = k0.grp AND t.turn = 1 JOIN why ON why.pos = k0.pos WHERE k0.turn > 1"""
+query("D9_match_audit", AUDIT)(lambda s, d: match.dedupe(companies(s, d))[1])
 
 # ---- merge and joins ----
 SPLIT = f"{KEYS}, p AS (SELECT *, coalesce(upper(trim(city)), '') AS kc FROM n WHERE pos % 2 = 0), s AS (SELECT *, coalesce(upper(trim(city)), '') AS kc FROM n WHERE pos % 2 = 1), first AS (SELECT key_name, kc, min(pos) AS pos FROM p GROUP BY ALL)"
@@ -267,7 +301,7 @@ FROM b)"""
 for _k in score.FACTORS:
     _id = {"succession": "E1a", "buy_box": "E1b", "digital_gap": "E1c", "fragmentation": "E1d", "contactability": "E1e", "health": "E1f"}[_k]
     query(f"{_id}_f_{_k}", f"{SCORES} SELECT id, {_k} AS factor_score, m_{_k} AS measured FROM s")(
-        lambda s, d, k=_k: companies(s, d).select("id", score.factor_columns(AS_OF_YEAR)[k].alias("f")).select("id", F.col("f.score").alias("factor_score"), F.col("f.measured").alias("measured"))
+        lambda s, d, k=_k: score.with_factors(companies(s, d), AS_OF_YEAR).select("id", F.col(f"f_{k}.score").alias("factor_score"), F.col(f"f_{k}.measured").alias("measured"))
     )
 
 
@@ -294,17 +328,17 @@ query("E4_total_score", f"{TOTAL} SELECT id, score_raw, {', '.join(f'{k} * e_{k}
 query("E3_effective_weights", f"{TOTAL} SELECT id, {', '.join(f'e_{k}' for k in score.FACTORS)} FROM r")(lambda s, d: scored(s, d).select("id", *[F.col("effective_weights")[k].alias(f"e_{k}") for k in score.FACTORS]))
 query("E5_overall_confidence")(lambda s, d: scored(s, d).select("id", "confidence", *[F.col(f"f_{k}")["confidence"].alias(f"conf_{k}") for k in score.FACTORS]))
 query("E1h_evidence_excerpt")(lambda s, d: scored(s, d).select("id", F.explode("f_succession.evidence").alias("e")).select("id", "e.*"))
-query("E7_content_key")(lambda s, d: companies(s, d).select("id", score.content_key(AS_OF_YEAR).alias("cache_key")))
+query("E7_content_key")(lambda s, d: score.content_key(companies(s, d), AS_OF_YEAR).select("id", "cache_key"))
 query("W3_rank_by_score", f"{TOTAL} SELECT id, score_raw FROM r")(lambda s, d: score.ranked(scored(s, d)).select("id", "score_raw"))
-query("F5_min_score", f"{TOTAL} SELECT id FROM r WHERE score_raw >= 59.95")(lambda s, d: scored(s, d).filter("score_raw >= 59.95").select("id"))
-query("W4_page_slice")(lambda s, d: search.page(scored(s, d), 20, 20).select("id", "score"))
+query("F5_min_score", f"{TOTAL} SELECT id FROM r WHERE round(score_raw, 1) >= 60")(lambda s, d: search.min_score(scored(s, d), 60.0).select("id"))
+query("W4_page_slice", f"{TOTAL} SELECT id, round(score_raw, 1) AS score, count(*) OVER () AS total FROM r ORDER BY score DESC, id LIMIT 20 OFFSET 20")(lambda s, d: search.page(scored(s, d), 20, 20).select("id", "score", "total"))
 query("W5_sort_modes")(lambda s, d: search.sort_modes(scored(s, d), "name").select("id", "name", "score"))
 
 
 @query("E8_rescore_changed", f"{TOTAL} SELECT id, score_raw FROM r WHERE pos % 3 = 0")
 def rescore_changed(s: SparkSession, d: str) -> DataFrame:
     rows = companies(s, d)
-    old = cut(rows.filter("pos % 3 <> 0").select(score.content_key(AS_OF_YEAR).alias("cache_key")), "score-keys")
+    old = cut(score.content_key(rows.filter("pos % 3 <> 0"), AS_OF_YEAR).select("cache_key"), "score-keys")
     return score.rescore_changed(rows, old, AS_OF_YEAR).select("id", "score_raw")
 
 
@@ -324,32 +358,33 @@ def weights_norm(s: SparkSession, d: str) -> DataFrame:
     return vectors.select("scenario", *[v.alias(f"w_{k}") for k, v in score.normalised(lambda k: F.col(f"x_{k}")).items()])
 
 
-@query("X5_what_if")
+@query("X5_what_if", f"""{SCORES}, x AS ({VECTORS.format('orders')}), v AS (SELECT * FROM s, x){_total_sql({k: f'x_{k}' for k in score.FACTORS})}
+SELECT scenario, id, round(round(score_raw, 6), 1) AS score, row_number() OVER (PARTITION BY scenario ORDER BY round(round(score_raw, 6), 1) DESC, id) AS place FROM r""")
 def what_if(s: SparkSession, d: str) -> DataFrame:
-    rank = F.rank().over(Window.partitionBy("scenario").orderBy(F.desc("score"), "id"))
-    return scenario_cross(s, d).withColumn("score", F.round("score_raw", 1)).withColumn("place", rank)
+    rows = scenario_cross(s, d).withColumn("score", F.round("score_raw", 1))
+    return score.places(rows.drop("score_raw"))
 
 
 # ---- contacts ----
-FOUND = r"SELECT doc_id, lower(regexp_extract(text, '[\w.+-]+@[\w-]+\.[\w.-]+', 0)) AS email FROM documents"
+MAIL = r"'\b[\w.+-]+@[\w-]+\.[\w.-]+\b'"
 
 
-@query("P8_document_emails", f"SELECT * FROM ({FOUND}) WHERE email <> ''")
-def document_emails(s: SparkSession, d: str) -> DataFrame:
-    docs = s.read.parquet(f"{d}/documents.parquet")
-    return docs.select("doc_id", F.lower(F.regexp_extract("text", r"[\w.+-]+@[\w-]+\.[\w.-]+", 0)).alias("email")).filter("email <> ''")
-
-
-@query("J6_mail_facts", f"""WITH e AS (SELECT id, lower(email) AS email, string_split(lower(email), '@')[-1] AS dom, pos FROM ({FLAT}) WHERE email IS NOT NULL), g AS (SELECT DISTINCT dom, length(dom) % 2 = 0 AS mx FROM e)
-SELECT id, CASE WHEN mx THEN 'verified' ELSE 'risky' END AS status, email LIKE 'info@%' AS is_role FROM e JOIN g USING (dom)""")
-@query("C1_email_verdict", f"SELECT id, CASE WHEN length(string_split(lower(email), '@')[-1]) % 2 = 0 THEN 'verified' ELSE 'risky' END AS status, email LIKE 'info@%' AS is_role FROM ({FLAT}) WHERE email IS NOT NULL")
+@query("J6_mail_facts", f"""WITH e AS (SELECT id, lower(email) AS email, string_split(lower(email), '@')[-1] AS dom FROM ({FLAT}) WHERE email IS NOT NULL), k AS (SELECT *, length(dom) % 5 AS kind FROM e)
+SELECT id, CASE WHEN contains(email, ' ') THEN 'invalid' WHEN dom = 'yopmail.com' THEN 'risky' WHEN kind = 0 THEN 'unknown' WHEN kind = 1 THEN 'invalid' WHEN kind = 2 THEN 'risky' ELSE 'verified' END AS status,
+  email LIKE 'info@%' AS is_role FROM k""")
+@query("C1_email_verdict", f"""WITH e AS (SELECT id, lower(email) AS email, split_part(lower(email), '@', 2) AS dom FROM ({FLAT}) WHERE email IS NOT NULL)
+SELECT id, CASE WHEN contains(email, ' ') THEN 'invalid' WHEN dom = 'yopmail.com' THEN 'risky' ELSE list_extract(['unknown', 'invalid', 'risky', 'verified', 'verified'], CAST(length(dom) % 5 AS INT) + 1) END AS status,
+  starts_with(email, 'info@') AS is_role FROM e""")
 def email_verdict(s: SparkSession, d: str) -> DataFrame:
     return contacts.email_verdicts(flat(s, d).filter("email IS NOT NULL").select("id", "email"), mail_facts(s, d)).select("id", "status", "is_role")
 
 
 def mail_facts(s: SparkSession, d: str) -> DataFrame:
-    dom = flat(s, d).filter("email IS NOT NULL").select(C.email_domain(F.col("email")).alias("domain")).distinct()
-    return dom.select("domain", F.when(F.char_length("domain") % 2 == 0, F.array(F.lit("mx1"))).otherwise(F.array().cast("array<string>")).alias("mx"), F.lit(None).cast("boolean").alias("exists"))
+    """What a lookup says of the demo's mail domains, by the length of their names: it fails, there is no such domain, no exchanger, one, or two."""
+    dom = flat(s, d).filter("email IS NOT NULL").select(C.email_domain(F.col("email")).alias("domain")).filter("domain IS NOT NULL").distinct()
+    kind, none = F.char_length("domain") % 5, F.array().cast("array<string>")
+    mx = F.when(kind == 0, None).when(kind <= 2, none).when(kind == 3, F.array(F.lit("mx1"))).otherwise(F.array(F.lit("mx1"), F.lit("mx2")))
+    return dom.select("domain", mx.alias("mx"), F.when(kind > 0, kind > 1).alias("exists"))
 
 
 @query("C2_phone_e164", rf"WITH p AS (SELECT id, regexp_replace(phone, '\D', '', 'g') AS g FROM ({FLAT}) WHERE phone IS NOT NULL) SELECT id, CASE WHEN regexp_matches(g, '^1?[2-9][0-9]{{2}}[2-9][0-9]{{6}}$') THEN '+1' || right(g, 10) END AS phone_e164 FROM p")
@@ -357,7 +392,11 @@ def phone_e164(s: SparkSession, d: str) -> DataFrame:
     return contacts.phones(flat(s, d).filter("phone IS NOT NULL")).select("id", "phone_e164")
 
 
-@query("C3_validate_contacts")
+@query("C3_validate_contacts", rf"""WITH e AS (SELECT *, lower(trim(email)) AS mail, split_part(lower(trim(email)), '@', 2) AS dom, regexp_replace(phone, '\D', '', 'g') AS g FROM ({FLAT}) WHERE has_contact),
+p AS (SELECT *, regexp_matches(g, '^1?[2-9][0-9]{{2}}[2-9][0-9]{{6}}$') AS ok FROM e)
+SELECT id, 0 AS place, contact_name AS name, contact_title AS title, mail AS email, CASE WHEN mail IS NULL THEN 'unknown' WHEN contains(mail, ' ') THEN 'invalid' WHEN dom = 'yopmail.com' THEN 'risky'
+  ELSE list_extract(['unknown', 'invalid', 'risky', 'verified', 'verified'], CAST(length(dom) % 5 AS INT) + 1) END AS email_status,
+  CASE WHEN ok THEN '+1' || right(g, 10) ELSE phone END AS phone, CASE WHEN phone IS NOT NULL THEN ok END AS phone_valid, linkedin_url, is_decision_maker FROM p""")
 def validate_contacts(s: SparkSession, d: str) -> DataFrame:
     return contacts.flat_contacts(contacts.validate_contacts(companies(s, d), mail_facts(s, d)))
 
@@ -373,32 +412,107 @@ def _pages(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{d}/pages.parquet")
 
 
-VISIBLE = "html"
-for _t in ("script", "style", "noscript", "svg", "template"):
-    VISIBLE = rf"regexp_replace({VISIBLE}, '(?is)<{_t}\b.*?</{_t}\s*>', ' ', 'g')"
-VISIBLE = rf"regexp_replace(regexp_replace({VISIBLE}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
-for _e, _c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-    VISIBLE = f"replace({VISIBLE}, '{_e}', '{_c}')"
-VISIBLE = rf"trim(regexp_replace({VISIBLE}, '\s+', ' ', 'g'))"
+def visible_sql(html: str, tags: tuple[str, ...] = ("script", "style", "noscript", "svg", "template")) -> str:
+    """The visible text of an expression with markup."""
+    for t in tags:
+        html = rf"regexp_replace({html}, '(?is)<{t}\b.*?</{t}\s*>', ' ', 'g')"
+    html = rf"regexp_replace(regexp_replace({html}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+    for e, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        html = f"replace({html}, '{e}', '{c}')"
+    return rf"trim(regexp_replace({html}, '\s+', ' ', 'g'))"
+
+
+VISIBLE = visible_sql("html")
 query("P1_visible_text", f"SELECT page_id, {VISIBLE} AS visible_text FROM pages")(lambda s, d: _pages(s, d).select("page_id", pages.visible_text(F.col("html")).alias("visible_text")))
 query("P6_excerpt", f"SELECT page_id, nullif(left({VISIBLE}, 6000), '') AS excerpt FROM pages")(lambda s, d: pages.page_signals(_pages(s, d), AS_OF_YEAR).select("page_id", F.col("web.raw_text_excerpt").alias("excerpt")))
 _markers = " OR ".join(f"contains(lower(html), '{m.replace(chr(39), chr(39) * 2)}')" for m in pages.ANALYTICS)
-query("P3_site_flags", f"SELECT page_id, starts_with(lower(url), 'https://') AS https, {_markers} AS has_analytics, length(html) AS page_bytes FROM pages")(
-    lambda s, d: pages.page_signals(_pages(s, d), AS_OF_YEAR).select("page_id", "web.https", "web.has_analytics", F.col("web.page_bytes").cast("long").alias("page_bytes"))
+query("P3_site_flags", f"""SELECT page_id, starts_with(lower(url), 'https://') AS https, {_markers} AS has_analytics, length(html) AS page_bytes, regexp_matches(lower(html), 'name=["'']?viewport') AS mobile_viewport,
+  regexp_matches(lower(html), '{pages.CAREERS.replace("'", "''")}') AS has_careers_page, regexp_matches(lower(html), '{pages.TEAM}') AS has_team_page FROM pages""")(
+    lambda s, d: pages.page_signals(_pages(s, d), AS_OF_YEAR).select("page_id", "web.https", "web.has_analytics", F.col("web.page_bytes").cast("long").alias("page_bytes"), "web.mobile_viewport", "web.has_careers_page", "web.has_team_page")
+)
+_hints = ", ".join(f"CASE WHEN contains(lower(html), '{m}') THEN '{name}' END" for m, name in pages.TECH)
+query("P2_tech_hints", rf"""SELECT page_id, array_to_string(list_sort(list_distinct(list_filter([{_hints}, CASE WHEN regexp_matches(lower(html), 'jquery[-./]1\.\d') THEN 'jquery 1' END,
+  lower(regexp_extract(regexp_extract(html, '(?is)<meta[^>]*name=["'']generator["''][^>]*content=["'']([^"'']*)', 1), '^(\S+)', 1))], lambda x: coalesce(x, '') <> ''))), '|') AS tech_hints FROM pages""")(
+    lambda s, d: pages.page_signals(_pages(s, d), AS_OF_YEAR).select("page_id", F.array_join("web.tech_hints", "|").alias("tech_hints"))
+)
+
+
+def _years_sql(text: str, pattern: str, low: int, high: int) -> str:
+    return f"list_filter(list_transform(regexp_extract_all({text}, '{pattern}', 1), lambda y: TRY_CAST(y AS INT)), lambda y: y BETWEEN {low} AND {high})"
+
+
+query("P4_year_signals", f"""SELECT page_id, {_years_sql('html', pages.COPYRIGHT, 1990, AS_OF_YEAR + 1)}[1] AS copyright_year, list_max({_years_sql(VISIBLE, pages.ANY_YEAR, 1950, AS_OF_YEAR)}) AS latest_content_year,
+  {_years_sql(VISIBLE, pages.FOUNDED, 1800, AS_OF_YEAR)}[1] AS founded_year FROM pages""")(
+    lambda s, d: pages.page_signals(_pages(s, d), AS_OF_YEAR).select("page_id", "web.copyright_year", "web.latest_content_year", "web.founded_year")
 )
-query("P2_tech_hints")(lambda s, d: pages.page_signals(_pages(s, d), AS_OF_YEAR).select("page_id", F.array_join("web.tech_hints", "|").alias("tech_hints")))
-query("P4_year_signals")(lambda s, d: pages.page_signals(_pages(s, d), AS_OF_YEAR).select("page_id", "web.copyright_year", "web.latest_content_year", "web.founded_year"))
 query("P5_mentions")(lambda s, d: pages.page_signals(_pages(s, d), AS_OF_YEAR).select("page_id", F.array_join("web.owner_mentions", "|").alias("owner_mentions")))
-query("P7_page_links")(lambda s, d: pages.page_links(_pages(s, d)))
+#: Of the demo's pages: links as they are resolved here have one of a few forms.
+LINKS = rf"""WITH p AS (SELECT url, html, lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)) AS host, regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) AS root FROM ({PAGES})),
+a AS (SELECT url, host, root, regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>', 1) AS hs, list_transform(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*"[^"]*"[^>]*>(.*?)</a', 1), lambda x: trim(regexp_replace(x, '(?s)<[^>]*>', '', 'g'))) AS ts FROM p),
+u AS (SELECT url, host, root, unnest(range(len(hs))) AS place, hs, ts FROM a), l AS (SELECT url, host, root, place, replace(hs[place + 1], '&amp;', '&') AS href, ts[place + 1] AS said FROM u),
+r AS (SELECT *, regexp_replace(href, '(?s)#.*$', '') AS ref, regexp_replace(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '[^/]*$', '') AS dir FROM l WHERE href <> '' AND NOT regexp_matches(href, '{pages.NOT_A_PAGE}')),
+f AS (SELECT url, host, place, said, href, CASE WHEN regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN ref WHEN starts_with(ref, '/') THEN root || ref
+  WHEN starts_with(ref, '../') THEN root || regexp_replace(CASE WHEN dir = '' THEN '/' ELSE dir END, '[^/]+/$', '') || substr(ref, 4) ELSE root || CASE WHEN dir = '' THEN '/' ELSE dir END || ref END AS link FROM r WHERE ref <> ''),
+k AS (SELECT url, link, place, CASE WHEN regexp_matches(said || ' ' || href, '{pages.ABOUT}') THEN 0 WHEN regexp_matches(said || ' ' || href, '{pages.CONTACT}') THEN 1 END AS kind FROM f WHERE lower(regexp_extract(link, '^[^:/?#]+://([^/?#]*)', 1)) = host)
+SELECT url, link, place, kind FROM k QUALIFY row_number() OVER (PARTITION BY url, link ORDER BY place) = 1"""
+query("P7_page_links", LINKS)(lambda s, d: pages.page_links(demo_pages(s, d)))
 query("P9_decision_maker")(lambda s, d: pages.page_contacts(pages.page_signals(_pages(s, d), AS_OF_YEAR)).select("page_id", "contact.name", "contact.title", "contact.email"))
-query("J8_secondary_pages")(lambda s, d: pages.secondary_pages(_pages(s, d), _pages(s, d)).select("page_id", F.length("html").alias("chars")))
-query("P11_candidate_domains")(lambda s, d: pages.candidate_domains(companies(s, d)))
-query("J7_candidate_pages")(lambda s, d: pages.candidate_pages(companies(s, d), _pages(s, d)))
-query("A8_match_tally")(lambda s, d: pages.match_tally(companies(s, d), pages.candidate_pages(companies(s, d), _pages(s, d))))
+
+
+def _documents_as_pages(s: SparkSession, d: str) -> DataFrame:
+    """The documents hold addresses and numbers, which the pages don't."""
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.lit("https://docs.example/").alias("url"), F.col("text").alias("html"))
+
+
+FOUND = f"""SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, {MAIL}), lambda e: lower(e)), lambda e: NOT regexp_matches(e, '{pages.ASSETS}'))[1] AS email,
+  nullif(regexp_extract({visible_sql("coalesce(text, '')")}, '{pages.PHONE}', 0), '') AS phone FROM documents"""
+query("P8_document_emails", f"SELECT doc_id, email FROM ({FOUND}) WHERE email IS NOT NULL")(
+    lambda s, d: pages.page_contacts(pages.page_signals(_documents_as_pages(s, d), AS_OF_YEAR)).select("doc_id", "contact.email").filter("email IS NOT NULL")
+)
+query("P8_document_phones", f"SELECT doc_id, phone FROM ({FOUND}) WHERE phone IS NOT NULL")(
+    lambda s, d: pages.page_contacts(pages.page_signals(_documents_as_pages(s, d), AS_OF_YEAR)).select("doc_id", "contact.phone").filter("phone IS NOT NULL")
+)
+query("J8_secondary_pages")(lambda s, d: pages.secondary_pages(demo_pages(s, d), demo_pages(s, d)).select("page_id", F.length("html").alias("chars")))
+
+#: No demo name has a word of a trade, so a name gives two spellings at most: with and without generic and short words.
+TOKENS = "list_filter(string_split(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '')"
+TRIES = f"""WITH f AS ({FLAT}), t AS (SELECT id, name, city, phone, list_filter({TOKENS}, lambda t: t NOT IN ({_in(pages.NOT_IN_DOMAIN)})) AS ts FROM f),
+o AS (SELECT *, list_filter(ts, lambda t: t NOT IN ({_in(pages.GENERIC)}) AND length(t) > 2) AS own, array_to_string(ts, '') AS a FROM t),
+s AS (SELECT *, array_to_string(own, '') AS b, length(a) BETWEEN 4 AND 28 AS ok_a FROM o),
+c AS (SELECT id, name, city, phone, own, unnest(list_concat(CASE WHEN ok_a THEN ['https://' || a || '.com', 'https://' || a || '.net'] ELSE [] END,
+  CASE WHEN a <> b AND length(b) BETWEEN 4 AND 28 THEN CASE WHEN ok_a THEN ['https://' || b || '.com'] ELSE ['https://' || b || '.com', 'https://' || b || '.net'] END ELSE [] END)) AS url FROM s),
+r AS (SELECT *, CASE WHEN ends_with(url, '.net') THEN 1 WHEN url = 'https://' || array_to_string(list_filter({TOKENS}, lambda t: t NOT IN ({_in(pages.NOT_IN_DOMAIN)})), '') || '.com' THEN 0 ELSE 2 END AS turn FROM c),
+tries AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY turn) - 1 AS rank FROM r)"""
+query("P11_candidate_domains", f"{TRIES} SELECT id, rank, url FROM tries")(lambda s, d: pages.candidate_domains(companies(s, d)))
+
+
+def proof_sql(name: str, city: str, phone: str, html: str) -> str:
+    """P12 as an expression of a company's name, city, phone and a page's html."""
+    bare = html
+    for t in ("script", "style", "noscript"):
+        bare = rf"regexp_replace({bare}, '(?is)<{t}\b.*?</{t}\s*>', ' ', 'g')"
+    text = f"""lower({visible_sql(f"regexp_replace({bare}, '(?is)^.*<body[^>]*>', '')")})"""
+    parked = " OR ".join(f"contains(left({text}, 4000), '{m}')" for m in pages.PARKED)
+    digits = f"regexp_replace({text} || ' ' || {bare}, '[^0-9]', '', 'g')"
+    tokens = f"list_filter({TOKENS.replace('name', name)}, lambda t: t NOT IN ({_in(pages.GENERIC)}) AND length(t) > 2)"
+    return f"""CASE WHEN length({html}) < 600 OR {parked} THEN NULL WHEN contains({digits}, right(regexp_replace({phone}, '[^0-9]', '', 'g'), 10)) THEN 'phone'
+  WHEN len({tokens}) > 0 AND list_bool_and(list_transform({tokens}, lambda t: contains({text}, t))) AND contains({text}, lower({city})) THEN 'name' END"""
+
+
+PROVEN = f"""{TRIES}, g AS ({PAGES}), m AS (SELECT tries.id, rank, g.url, {proof_sql('tries.name', 'tries.city', 'tries.phone', 'g.html')} AS method FROM tries JOIN g ON {HOST.format('g.url')} = {HOST.format('tries.url')}),
+best AS (SELECT id, url, method FROM m WHERE method IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank, url) = 1)"""
+query("J7_candidate_pages", f"{PROVEN} SELECT id, url, method FROM best")(lambda s, d: pages.candidate_pages(companies(s, d), demo_pages(s, d)))
+query("A8_match_tally", f"{PROVEN} SELECT coalesce(method, 'unproven') AS method, count(*) AS companies FROM f LEFT JOIN best USING (id) GROUP BY 1")(
+    lambda s, d: pages.match_tally(companies(s, d), pages.candidate_pages(companies(s, d), demo_pages(s, d)))
+)
 
 # ---- sinks, streams ----
-EXPORTED = f"""{TOTAL} SELECT name AS "Company", coalesce(city, '') AS "City", coalesce(email, '') AS "Email", coalesce(contact_name, '') AS "Contact Name", coalesce(website, '') AS "Website", coalesce(business_type, '') AS "Ownership Form" FROM r"""
-query("K5_crm_export", EXPORTED)(lambda s, d: sinks.crm_export(scored(s, d)).select("Company", "City", "Email", "Contact Name", "Website", "Ownership Form"))
+_text = lambda c: f"coalesce(CAST({c} AS STRING), '')"
+EXPORTED = f"""{TOTAL}, x AS (SELECT *, least(sure, 1e0) AS s1 FROM (SELECT *, round(covered, 4) AS share, 0e0 AS sure FROM r))
+SELECT name AS "Company", printf('%.1f', round(score_raw, 1)) AS "Acquisition Fit", printf('%.2f', share) AS "Thesis Coverage", {_text('industry')} AS "Industry", {_text('city')} AS "City", {_text('state')} AS "State",
+  {_text('postcode')} AS "Postcode", {_text('phone')} AS "Phone", {_text('email')} AS "Email", {_text('contact_name')} AS "Contact Name", {_text('contact_title')} AS "Contact Title", {_text('website')} AS "Website",
+  {_text('business_type')} AS "Ownership Form", '' AS "Licensed Since", '' AS "Source" FROM x"""
+query("K5_crm_export", EXPORTED)(lambda s, d: sinks.crm_export(scored(s, d)).drop("Confidence"))
 
 
 @query("K1_company_upsert", f"SELECT id, CASE WHEN pos % 5 = 0 THEN upper(name) ELSE name END AS name FROM ({FLAT})")
@@ -409,11 +523,14 @@ def company_upsert(s: SparkSession, d: str) -> DataFrame:
 
 @query("K4_score_append", f"{TOTAL} SELECT id FROM r")
 def score_append(s: SparkSession, d: str) -> DataFrame:
-    rows = companies(s, d).select("id", "pos", score.content_key(AS_OF_YEAR).alias("cache_key"))
-    return sinks.append_scores(rows.filter("pos % 2 = 0"), rows).select("id")
+    rows, path = score.content_key(companies(s, d), AS_OF_YEAR).select("id", "pos", "cache_key"), fresh_path(s, "scores")
+    for part in (rows.filter("pos % 2 = 0"), rows, rows):
+        history = sinks.append_scores(part, path)
+    return history.select("id")
 
 
-query("K3_raw_payload_append")(lambda s, d: sinks.append_payloads(companies(s, d).select("id", "web", "contacts"), "id", fresh_path(s, "payloads"), "2026-09-01"))
+query("K3_raw_payload_append", f"SELECT id AS company_id, '2026-09-01' AS fetched_at, CAST(has_contact AS INT) AS n_contacts, raw_text_excerpt AS excerpt FROM ({FLAT})")(lambda s, d: sinks.append_payloads(companies(s, d).select("id", "web", "contacts"), "id", fresh_path(s, "payloads"), "2026-09-01").select(
+    "company_id", "fetched_at", F.coalesce(F.json_array_length(F.get_json_object("payload", "$.contacts")), F.lit(0)).alias("n_contacts"), F.get_json_object("payload", "$.web.raw_text_excerpt").alias("excerpt")))
 EVENTS = "SELECT DISTINCT user_id AS company_id, event_type, value FROM events"
 
 
@@ -427,22 +544,6 @@ def refresh_batch(s: SparkSession, d: str) -> DataFrame:
     return refreshes(s.read.parquet(f"{d}/events.parquet")).select("company_id", "event_type", "value")
 
 
-@query("X2_score_list")
-def score_list(s: SparkSession, d: str) -> DataFrame:
-    rows = annotate.quality(contacts.validate_contacts(companies(s, d), mail_facts(s, d)))
-    return score.score_table(rows, AS_OF_YEAR).select("id", "score", "confidence", "data_quality")
-
-
-@query("X1_collect")
-def collect(s: SparkSession, d: str) -> DataFrame:
-    """Merge, deduplicate, annotate the full set, sample, validate, assess and score."""
-    merged = match.merge_sources(*[companies(s, d).filter(f"pos % 2 = {k}") for k in (0, 1)]).drop("enriched_by")
-    kept = cut(match.dedupe(merged)[0], "collect-kept")
-    full = cut(annotate.chain_locations(annotate.peer_density(kept)), "collect-annotated")
-    sample = annotate.stratified_sample(full, 250)
-    return score.score_table(annotate.quality(contacts.validate_contacts(sample, mail_facts(s, d))), AS_OF_YEAR).select("id", "industry", "score", "data_quality")
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty best companies, with what their scores are made of."""
     best = search.page(score.score_table(nest(flat(spark, sf_dir)), AS_OF_YEAR), 0, 20)

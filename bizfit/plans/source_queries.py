@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from bizfit.operators import annotate, contacts, match, pages, sinks
 from bizfit.operators.shared import fresh_path
-from bizfit.plans.demo import AS_OF_YEAR, FLAT, companies, flat
-from bizfit.plans.flows import refresh_batch
-from bizfit.plans.queries import TOTAL, mail_facts, query, scored
+from bizfit.plans import flows
+from bizfit.plans.demo import AS_OF_YEAR, FLAT, PAGES, companies, flat
+from bizfit.plans.demo import pages as demo_pages
+from bizfit.plans.queries import TOTAL, mail_facts, proof_sql, query, scored
 from bizfit.sources import readers
+from bizfit.streaming.refresh import stream_refreshes
 
 REGISTER_SQL = """
 SELECT o_orderkey AS pos,
@@ -102,8 +104,7 @@ SELECT lic AS licence_number, array_to_string(list_transform(regexp_extract_all(
 
 @query("S3_principal_best", PRINCIPALS)
 def principal_best(s: SparkSession, d: str) -> DataFrame:
-    rows = s.sql(REGISTER_SQL, orders=_table(s, d, "orders")).select("pos", F.col("licence").alias("LIC-NO"), F.col("person").alias("Name"), F.col("titles").alias("EMP-Titl-CDE"))
-    return readers.principal_best(rows).select("licence_number", "person", "person_title")
+    return readers.principal_best(_personnel(s, d)).select("licence_number", "person", "person_title")
 
 
 @query("S5_map_elements", f"""SELECT 'osm:' || type || ':' || CAST(id AS STRING) AS id, coalesce(t_name, t_operator) AS name,
@@ -111,12 +112,15 @@ def principal_best(s: SparkSession, d: str) -> DataFrame:
   CASE WHEN t_website <> '' THEN t_website ELSE 'https://' || t_url END AS website, 'OH' AS state, coalesce(lat, center_lat) AS latitude,
   CASE WHEN t_start <> '1700' THEN CAST(left(t_start, 4) AS INT) END AS founded_year FROM ({ELEMENTS_SQL.format(customer='customer')}) WHERE coalesce(t_name, t_operator) IS NOT NULL""")
 def map_elements(s: SparkSession, d: str) -> DataFrame:
+    return readers.map_elements(_elements(s, d), AS_OF_YEAR, "OH").select("id", "name", "industry", "website", "state", "latitude", "founded_year")
+
+
+def _elements(s: SparkSession, d: str) -> DataFrame:
     rows = s.sql(ELEMENTS_SQL, customer=_table(s, d, "customer"))
     keys = {"name": "t_name", "operator": "t_operator", "amenity": "t_amenity", "shop": "t_shop", "url": "t_url", "website": "t_website", "start_date": "t_start"}
     tags = F.create_map(*[x for k, v in keys.items() for x in (F.lit(k), F.col(v))])
     center = F.struct(F.col("center_lat").alias("lat"), F.lit(0.0).alias("lon"))
-    elements = rows.select("pos", "id", "type", "lat", F.lit(None).cast("double").alias("lon"), center.alias("center"), tags.alias("tags"))
-    return readers.map_elements(elements, AS_OF_YEAR, "OH").select("id", "name", "industry", "website", "state", "latitude", "founded_year")
+    return rows.select("pos", "id", "type", "lat", F.lit(None).cast("double").alias("lon"), center.alias("center"), tags.alias("tags"))
 
 
 def _leads(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -162,27 +166,70 @@ def snapshot_write(s: SparkSession, d: str) -> DataFrame:
     return s.read.schema("id string, score_raw double").json(f"{path}/companies")
 
 
-def _fresh_pages(s: SparkSession, d: str) -> DataFrame:
-    """A fetched page for each company whose number is a page's."""
-    return _table(s, d, "pages").withColumn("id", F.concat(F.lit("cust:"), F.col("page_id").cast("string")))
-
-
 @query("P10_fold_contacts")
 def fold_contacts(s: SparkSession, d: str) -> DataFrame:
-    found = pages.page_contacts(pages.page_signals(_fresh_pages(s, d), AS_OF_YEAR))
+    found = pages.page_contacts(pages.page_signals(demo_pages(s, d), AS_OF_YEAR))
     return contacts.flat_contacts(pages.fold_contacts(companies(s, d), found))
 
 
-@query("P12_site_proof")
+@query("P12_site_proof", f"SELECT f.id, page_id, {proof_sql('f.name', 'f.city', 'f.phone', 'g.html')} AS method FROM ({PAGES}) g JOIN ({FLAT}) f ON f.id = g.id")
 def site_proof(s: SparkSession, d: str) -> DataFrame:
     facts = companies(s, d).select("id", "name", "city", F.get("contacts", F.lit(0))["phone"].alias("licence_phone"))
-    return pages.site_proof(_fresh_pages(s, d).join(facts, "id")).select("id", "page_id", "method")
+    return pages.site_proof(demo_pages(s, d).join(facts, "id")).select("id", "page_id", "method")
+
+
+def _store(s: SparkSession) -> flows.Store:
+    return flows.Store(*(fresh_path(s, f"refresh-{k}") for k in ("companies", "payloads", "scores")))
 
 
 @query("X3_refresh_batch")
 def refreshed(s: SparkSession, d: str) -> DataFrame:
-    rows = refresh_batch(companies(s, d), _fresh_pages(s, d), mail_facts(s, d), AS_OF_YEAR)
-    return rows.select("id", "website", "score", "confidence", "data_quality", F.size("contacts").alias("n_contacts"), "cache_key")
+    """The batch's companies after all three writes, with what history and payloads hold of them."""
+    rows = companies(s, d)
+    scored_ = flows.refresh_batch(rows, demo_pages(s, d), mail_facts(s, d), AS_OF_YEAR)
+    updated, payloads, history = flows.save_refresh(rows, scored_, _store(s), "2026-09-01")
+    kept = history.join(payloads.select("company_id"), "company_id").withColumnRenamed("company_id", "id")
+    return updated.join(kept, "id").select("id", "website", "score", "confidence", F.size("contacts").alias("n_contacts"), "cache_key")
+
+
+@query("X4_refresh_flow", f"SELECT DISTINCT 'cust:' || CAST(user_id AS STRING) AS company_id FROM events SEMI JOIN ({PAGES}) g ON g.id = 'cust:' || CAST(user_id AS STRING)")
+def refresh_flow(s: SparkSession, d: str) -> DataFrame:
+    """The stream of refreshes runs X3 on each batch; what it left in the history."""
+    rows, fetched, facts, store = companies(s, d), demo_pages(s, d), mail_facts(s, d), _store(s)
+
+    def refresh(batch: DataFrame) -> None:
+        ids = batch.select(F.concat(F.lit("cust:"), F.col("company_id").cast("string")).alias("id"))
+        place = flows.Store(fresh_path(s, "refresh-companies"), store.payloads, store.scores)
+        flows.save_refresh(rows, flows.refresh_batch(rows.join(ids, "id", "left_semi"), fetched, facts, AS_OF_YEAR), place, "2026-09-01")
+
+    stream_refreshes(s, d, _table(s, d, "events").schema, refresh)
+    return s.read.parquet(store.scores).select("company_id")
+
+
+@query("X2_score_list", f"SELECT 'import:' || CAST(pos AS STRING) AS id, name, kept, skipped, unmapped FROM ({LEADS}), (SELECT count(name) AS kept, count(*) - count(name) AS skipped, 'Notes' AS unmapped FROM ({LEADS})) WHERE name IS NOT NULL")
+def score_list(s: SparkSession, d: str) -> DataFrame:
+    scored_, report = flows.score_list(s.sql(LEADS_SQL, customer=_table(s, d, "customer")).toDF(*LEAD_HEADERS), mail_facts(s, d), AS_OF_YEAR)
+    return scored_.crossJoin(F.broadcast(report)).select("id", "name", "kept", "skipped", "unmapped")
+
+
+@query("X2_list_scores")
+def list_scores(s: SparkSession, d: str) -> DataFrame:
+    scored_, _ = flows.score_list(s.sql(LEADS_SQL, customer=_table(s, d, "customer")).toDF(*LEAD_HEADERS), mail_facts(s, d), AS_OF_YEAR)
+    return scored_.select("id", "score", "confidence", "covered_weight", "data_quality")
+
+
+def _personnel(s: SparkSession, d: str) -> DataFrame:
+    return s.sql(REGISTER_SQL, orders=_table(s, d, "orders")).select("pos", F.col("licence").alias("LIC-NO"), F.col("person").alias("Name"), F.col("titles").alias("EMP-Titl-CDE"))
+
+
+def _collected(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    mapped = readers.map_elements(_elements(s, d), AS_OF_YEAR, "CA").filter("industry IS NOT NULL")
+    fetched = demo_pages(s, d).select("url", "html")
+    return flows.collect(register(s, d), _personnel(s, d), mapped, fetched, mail_facts(s, d), AS_OF_YEAR, 250, "CA")
+
+
+query("X1_collect")(lambda s, d: _collected(s, d)[0].select("id", "industry", "website", "score", "data_quality"))
+query("X1_summary")(lambda s, d: _collected(s, d)[1])
 
 
 @query("X1_collect_licensed")

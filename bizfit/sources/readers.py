@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bizfit.functions import columns as C
 from bizfit.operators.match import first_sighting
+from bizfit.operators.shared import cut
 
 # Trade classes, coverage words, title ranks, map tags in order of priority, header aliases.
 CLASSES = {"C10": "Electrical", "C-10": "Electrical", "C20": "HVAC", "C-20": "HVAC", "C36": "Plumbing", "C-36": "Plumbing"}
@@ -28,20 +29,63 @@ TRADE_TAGS = {
     "craft=electrician": "Electrical", "craft=roofer": "Roofing", "shop=hvac": "HVAC", "craft=heating_engineer": "HVAC",
 }
 ALIASES = {
-    "name": "company companyname business businessname accountname name organization", "website": "website websiteurl url domain web site homepage companywebsite",
-    "email": "email emailaddress contactemail workemail primaryemail", "phone": "phone phonenumber telephone contactphone tel mobile workphone",
-    "city": "city town billingcity locationcity", "state": "state region province billingstate stateregion", "postcode": "zip zipcode postalcode postcode billingpostalcode postal",
-    "industry": "industry sector category trade vertical naicsdescription", "employee_count": "employees employeecount headcount staff companysize numberofemployees size",
-    "revenue_usd": "revenue annualrevenue sales estimatedrevenue revenueusd airevenue", "founded_year": "founded yearfounded established foundedyear foundingyear",
-    "business_type": "ownership entitytype businesstype ownershipform legalform", "contact_name": "contactname contact owner ownername decisionmaker fullname name2",
-    "contact_title": "title jobtitle role position contacttitle",
+    "name": ["company", "companyname", "business", "businessname", "accountname", "name", "organization"],
+    "website": ["website", "websiteurl", "url", "domain", "web", "site", "homepage", "companywebsite"],
+    "email": ["email", "emailaddress", "contactemail", "workemail", "primaryemail"],
+    "phone": ["phone", "phonenumber", "telephone", "contactphone", "tel", "mobile", "workphone"],
+    "city": ["city", "town", "billingcity", "locationcity"],
+    "state": ["state", "region", "province", "billingstate", "stateregion"],
+    "postcode": ["zip", "zipcode", "postalcode", "postcode", "billingpostalcode", "postal"],
+    "industry": ["industry", "sector", "category", "trade", "vertical", "naicsdescription"],
+    "employee_count": ["employees", "employeecount", "headcount", "staff", "companysize", "numberofemployees", "size"],
+    "revenue_usd": ["revenue", "annualrevenue", "sales", "estimatedrevenue", "revenueusd", "airevenue"],
+    "founded_year": ["founded", "yearfounded", "established", "foundedyear", "foundingyear"],
+    "business_type": ["ownership", "entitytype", "businesstype", "ownershipform", "legalform"],
+    "contact_name": ["contactname", "contact", "owner", "ownername", "decisionmaker", "fullname", "name2"],
+    "contact_title": ["title", "jobtitle", "role", "position", "contacttitle"],
 }
 CONTACT_TYPE = "struct<name:string,title:string,email:string,email_status:string,phone:string,phone_valid:boolean,linkedin_url:string,is_decision_maker:boolean>"
 
 
+#: The columns of a company; sources fill some of them.
+COMPANY = {
+    "id": "string", "pos": "long", "name": "string", "domain": "string", "website": "string", "industry": "string", "city": "string", "state": "string", "country": "string",
+    "postcode": "string", "latitude": "double", "longitude": "double", "employee_count": "int", "employee_count_is_estimate": "boolean", "revenue_usd": "double",
+    "revenue_is_estimate": "boolean", "founded_year": "int", "business_type": "string", "has_employees": "boolean", "licence_number": "string", "licence_issued": "date",
+    "contacts": f"array<{CONTACT_TYPE}>",
+    "web": "struct<fetched_at:timestamp,https:boolean,mobile_viewport:boolean,has_analytics:boolean,generator:string,copyright_year:int,latest_content_year:int,page_bytes:int,tech_hints:array<string>,"
+    "has_careers_page:boolean,has_team_page:boolean,founded_year:int,owner_mentions:array<string>,pe_backed_mentions:array<string>,raw_text_excerpt:string>",
+    "peer_count_in_niche": "long", "sibling_location_count": "long", "source": "string", "source_url": "string",
+}
+
+
+def complete(rows: DataFrame) -> DataFrame:
+    """Rows of a source with all columns of a company, those it doesn't know as nulls and contacts as an empty array."""
+    have = lambda c, t: F.col(c).cast(t) if c in rows.columns else F.lit(None).cast(t)
+    known = {c: have(c, t) for c, t in COMPANY.items()}
+    known["contacts"] = F.coalesce(known["contacts"], F.array().cast(COMPANY["contacts"]))
+    known["country"] = F.coalesce(known["country"], F.lit("US"))
+    return rows.select(*[v.alias(c) for c, v in known.items()], *[c for c in rows.columns if c not in COMPANY])
+
+
 def with_pos(rows: DataFrame) -> DataFrame:
-    """Adds pos from (file, row in the read)."""
-    return rows.withColumn("pos", F.monotonically_increasing_id())
+    """Adds pos, from 0, to rows read from files: by file name, then place in the file.
+
+    A file is read in blocks; rows are numbered within their block, in the order they
+    are read, and blocks by where they begin. How blocks are dealt to tasks is of no matter.
+    """
+    tagged = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_read"))
+    tagged = cut(tagged, "source-rows")
+    sizes = tagged.groupBy("_file", "_block").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1))  # a row per block
+    starts = sizes.select("_file", "_block", F.coalesce(before, F.lit(0)).alias("_start"))
+    inside = tagged.withColumn("_k", F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_read")))
+    return inside.join(starts, ["_file", "_block"]).withColumn("pos", F.col("_start") + F.col("_k") - 1).drop("_file", "_block", "_read", "_k", "_start")
+
+
+def licence_scan(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """Register exports (CSV with headers) with pos, all values as text; empty values are null."""
+    return with_pos(spark.read.option("header", True).option("encoding", encoding).option("quote", '"').option("escape", '"').csv(path))
 
 
 def contact(name=None, title=None, email=None, phone=None) -> Column:
@@ -124,7 +168,7 @@ def map_elements(elements: DataFrame, as_of_year: int, state: str | None = None)
 
 def header_mapping(headers: list[str]) -> tuple[dict[str, str], list[str]]:
     """{field: header} by alias, the first header winning a field; and the headers left over."""
-    by_alias = {a: f for f, names in ALIASES.items() for a in names.split()}
+    by_alias = {a: f for f, names in ALIASES.items() for a in names}
     found: dict[str, str] = {}
     for h in headers:
         field = by_alias.get(re.sub(r"[^a-z0-9]", "", h.lower()))

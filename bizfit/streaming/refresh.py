@@ -2,27 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bizfit.operators import sinks
 from bizfit.operators.shared import fresh_path
 
+DELAY = "1 hour"
+
 
-def refreshes(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """company_id, seen_at, signal of each refresh, once per content key, within the watermark."""
+def refreshes(events: DataFrame, delay: str = DELAY) -> DataFrame:
+    """company_id, seen_at, signal of each refresh, once per content key; of a stream, once within the watermark."""
     rows = events.select(F.col("user_id").alias("company_id"), F.col("ts").cast("timestamp").alias("seen_at"), "event_type", "value")
     rows = rows.withColumn("cache_key", F.left(F.sha2(F.concat_ws("|", F.col("company_id").cast("string"), "event_type", F.col("value").cast("string")), 256), F.lit(32)))
-    return rows.withWatermark("seen_at", delay).dropDuplicates(["cache_key"]) if not events.isStreaming else rows.withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(["cache_key"])
+    if not events.isStreaming:
+        return rows.dropDuplicates(["cache_key"])
+    return rows.withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(["cache_key"])
 
 
-def stream_history(spark: SparkSession, folder_glob: str, schema, files_per_batch: int = 1) -> DataFrame:
-    """Run the stream over the files there are now; each batch appends to a folder of its own number, so a replay overwrites itself."""
-    out, state = fresh_path(spark, "stream-history"), fresh_path(spark, "stream-state")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "events.parquet").parquet(folder_glob)
+def run_stream(spark: SparkSession, folder: str, schema, write: Callable[[DataFrame, int], None], files_per_batch: int = 1, name: str = "events.parquet") -> None:
+    """Run the stream of refreshes over the files there are now, ``write`` once a batch.
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    query = refreshes(stream, "3650 days").writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+    State holds the keys of the last DELAY only. What repeats later, or in a batch
+    that is replayed after a failure, reaches ``write`` again, which must be append-once.
+    """
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", name).parquet(folder)
+    query = refreshes(stream).writeStream.foreachBatch(write).option("checkpointLocation", fresh_path(spark, "stream-state")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(out).drop("batch")
+
+
+def stream_history(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -> DataFrame:
+    """The history of all refreshes of the stream, once per content key."""
+    out = fresh_path(spark, "stream-history")
+    run_stream(spark, folder, schema, lambda batch, _: sinks.append_scores(batch, out), files_per_batch)
+    return spark.read.parquet(out)
+
+
+def stream_refreshes(spark: SparkSession, folder: str, schema, refresh: Callable[[DataFrame], None], files_per_batch: int = 1) -> None:
+    """Each batch's companies (company_id, once each) are given to ``refresh``, which does X3 and its writes."""
+    run_stream(spark, folder, schema, lambda batch, _: refresh(batch.select("company_id").distinct()), files_per_batch)
