@@ -1,22 +1,29 @@
 """Main text of web pages from parser events and text-to-tag ratios.
 
-The standard library's HTML parser streams tags and text. Block tags end a line;
-a line has its text, the tags seen in it, its container (the nearest enclosing
-section of the page) and whether it lies in something that is never article text:
-navigation, forms, scripts, or an element whose role, class or id says header,
-sidebar, notice, advert, comment and the like. Text per tag of each line, nothing
-for the marked ones, is smoothed over neighbouring lines with a Gaussian, and a
-threshold at a share of the standard deviation parts dense lines from sparse ones.
-The dense lines vote by length for a container; the region is the unmarked lines of
-that container and of all within it, short ones between dense ones included, since
-an article's one-word paragraph belongs to it. If it is no article or main part,
-dense unmarked lines elsewhere belong to the region too. Without an elected
-container, the region runs from the first to the last dense line.
-
-Nothing is shuffled; each page is one row's work in linear time.
+The standard library's HTML parser streams tags and text. Block tags end a line; a
+line has its text, the tags seen in it, its container (the article or main part it
+is in, else the nearest section of the page) and a weight. The logarithm of text per
+tag is smoothed over neighbouring lines with a Gaussian; times the line's weight it is
+the line's score, and a threshold at a share of the scores' standard deviation parts
+dense lines from sparse ones. The text is all dense lines, and the lines of weight one
+that lie between dense lines of one container, since an article's one-word paragraph
+belongs to it. A page without a dense line gives its lines of weight one.
+
+Weights are features of the ratio and drop nothing by themselves: a page that has an
+article or main part gives what lies outside it OUTSIDE; navigation, forms, footers
+and the like weigh APART, as do elements of which a whole role, class or id says
+that they are a menu, header, footer, sidebar, notice, advert or reader comments;
+weaker words (related, share, tags) weigh WEAK. A word counts only if all words
+of its token do, so "social-study" and "search-history" say nothing. Since the
+threshold is relative, an article inside an element so marked is still the densest.
+
+Nothing is shuffled; each page is one row's work, in time linear in its length, and
+batches are taken 64 pages at a time.
 
 Nulls: null or empty html has empty text; null ids and urls are carried through.
-Rows that repeat each get a row. Other columns are ignored.
+Containers with the same votes don't compete, so there are no ties to break. Rows that
+repeat each get a row; an empty table gives an empty result. Other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,63 +39,74 @@ from pyspark.sql import DataFrame
 
 SIGMA = 2.0
 THRESHOLD = 0.5
+FLOOR = 0.6  # no line of a lower score is dense, however alike the lines are
+OUTSIDE, APART, WEAK = 0.12, 0.1, 0.3
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIP = frozenset("script style noscript template svg head title iframe object canvas math datalist audio video".split())
-APART = frozenset("nav footer aside form button select textarea dialog menu fieldset".split())
+APART_TAGS = frozenset("nav footer aside form button select textarea dialog menu fieldset".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 SECTIONS = frozenset("article main section div td body".split())
-#: Whole words of role, class or id that mark a part as not the article.
-MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising advertisment sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices"
-    " nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside rail widget widgets header masthead topbar toolbar footer foot bottom"
-    " comment comments reply replies respond disqus discussion share sharing social related recommended recommendations newsletter subscribe signup login"
-    " popup modal overlay search pagination pager tags copyright legal disclaimer complementary contentinfo alert dialog hidden skip".split()
+#: Words of a role, class or id that name a part which isn't the article, words that hint at it, and words that go with either.
+STRONG = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices"
+    " nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars masthead topbar footer comment comments commentlist replies respond disqus"
+    " newsletter subscribe signup login popup modal overlay pagination pager complementary contentinfo alertdialog hidden header".split()
+)
+HINTS = frozenset("related recommended recommendations share sharing social tags widget widgets toolbar search copyright disclaimer legal rail".split())
+FILLER = frozenset(
+    "site page main top bottom left right global primary secondary sub area box block list item items section container wrapper wrap inner outer content bar body"
+    " slot unit group links link text thread form user reader readers post posts the and js id col column mobile desktop".split()
 )
-#: Marks that an element around the article may carry as well, such as "has-sidebar"; only a whole token counts.
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-def marked(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
-    """Whether an element's own name, role, class or id says that it isn't part of an article."""
-    if tag in APART or tag == "header" and not in_article:
-        return True
-    if tag in ("html", "body", "main", "article"):
-        return False
+def token_weight(token: str) -> float:
+    """What a class, id or role says of its element."""
+    words = [w.lower() for w in _WORD.findall(token)]
+    if not words or not all(w in STRONG or w in HINTS or w in FILLER for w in words):
+        return 1.0
+    return APART if any(w in STRONG for w in words) else WEAK if any(w in HINTS for w in words) else 1.0
+
+
+def element_weight(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> float:
+    """The weight of an element by its own tag and attributes; 0 if it isn't shown."""
     for name, value in attrs:
-        if name in ("hidden",) or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id", "role", "aria-label") and value:
-            for token in value.split():
-                words = [w.lower() for w in _WORD.findall(token)]
-                if words and (words[0] in MARKS or words[-1] in MARKS) and words[0] not in ("has", "with", "no", "without"):
-                    return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and _NOT_SHOWN.search(value):
+            return 0.0
+    if tag in APART_TAGS or tag == "header" and not in_article:
+        return APART
+    if tag in ("html", "body", "main", "article"):
+        return 1.0
+    if tag == "header":
+        return 1.0
+    return min((token_weight(t) for name, value in attrs if name in ("class", "id", "role") and value for t in value.split()), default=1.0)
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, tags, container number, marked)."""
+    """Collects lines: (text, tags, container number, weight)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
-        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, container, marked, skipped
+        self.lines: list[tuple[str, int, int, float]] = []
+        self.stack: list[tuple[str, int, float, bool]] = []  # tag, container, weight, skipped
         self.articles = 0
         self.count, self.buffer, self.tags = 0, [], 0
-        self.around = [0]  # the container around each container; 0 is the page
-        self.mains: set[int] = set()  # containers that are an article or main part
         self.where: dict[str, list[int]] = defaultdict(list)  # places of each tag on the stack
         self.sections: list[int] = []  # places of sections on the stack
+        self.within: list[bool] = []  # for each line, whether it is in an article or main part
 
     def _end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.buffer)).strip()
         if text:
-            top = self.stack[-1] if self.stack else ("", 0, False, False)
+            top = self.stack[-1] if self.stack else ("", 0, 1.0, False)
             self.lines.append((text, self.tags, top[1], top[2]))
+            self.within.append(self.articles > 0)
             self.tags = 0
         self.buffer.clear()
 
@@ -107,18 +125,16 @@ class Lines(HTMLParser):
             return
         if tag in ("p", "li", "option") and self.stack and self.stack[-1][0] == tag:
             self._pop()
-        _, container, off, skip = self.stack[-1] if self.stack else ("", 0, False, False)
+        _, container, weight, skip = self.stack[-1] if self.stack else ("", 0, 1.0, False)
         if tag in SECTIONS:
-            self.count += 1
-            self.around.append(container)
-            container = self.count
+            if not self.articles:  # an article is one container, whatever is in it
+                self.count += 1
+                container = self.count
             self.sections.append(len(self.stack))
-            if tag in ("article", "main"):
-                self.mains.add(container)
-        off = off or marked(tag, attrs, self.articles > 0)
+        weight = min(weight, element_weight(tag, attrs, self.articles > 0))
         self.articles += tag in ("article", "main")
         self.where[tag].append(len(self.stack))
-        self.stack.append((tag, container, off, skip or tag in SKIP))
+        self.stack.append((tag, container, weight, skip or tag in SKIP))
 
     def handle_startendtag(self, tag, attrs):
         if tag in BLOCKS:
@@ -148,60 +164,55 @@ class Lines(HTMLParser):
 
 def smooth(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """Gaussian smoothing over lines; weights at the ends are renormalised."""
+    if sigma <= 0:
+        return ratio
     reach = int(3 * sigma)
     w = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     pad = lambda x: np.convolve(np.pad(x, reach), w, "valid")
     return pad(ratio) / pad(np.ones(len(ratio)))
 
 
-def region(lines: list[tuple[str, int, int, bool]], around: list[int], mains: set[int]) -> list[bool]:
-    """Which lines belong to the content region."""
-    size = np.array([len(t) for t, *_ in lines], float)
-    off = np.array([x[3] for x in lines], bool)
-    ratio = np.where(off, 0.0, size / np.maximum(1, [x[1] for x in lines]))
-    level = smooth(ratio)
-    dense = (level >= THRESHOLD * level.std()) & ~off
-    if not dense.any():
-        return [not x for x in off]
-    votes: dict[int, float] = defaultdict(float)
-    for (_, _, container, _), n, d in zip(lines, size, dense, strict=True):
-        if d:
-            votes[container] += n
-    first = min(votes, key=lambda c: (-votes[c], c))
-    chosen = {first}
-    if votes[first] < 0.8 * sum(votes.values()):
-        chosen = {c for c in votes if votes[c] > 0}
-    at = np.nonzero(dense)[0]
-    within = [first == 0] * len(around)
-    for c in range(1, len(around)):  # a container's number is above that of the one around it
-        within[c] = c == first or within[around[c]]
-    inside = [not o and (within[x[2]] or bool(d) and first not in mains) for x, o, d in zip(lines, off, dense, strict=True)]
-    if len(chosen) > 1:
-        inside = [not o and at[0] <= k <= at[-1] for k, o in enumerate(off)]
-    return inside
-
-
-class Containers(Lines):
-    """Lines whose container is the enclosing article or main part, where there is one."""
+def weights(lines: list[tuple[str, int, int, float]], within: list[bool]) -> np.ndarray:
+    """The lines' weights, those outside an article or main part lowered if it has a line of weight one."""
+    w = np.array([x[3] for x in lines], float)
+    inside = np.array(within, bool)
+    if (inside & (w == 1)).any():
+        w = np.where(inside, w, np.minimum(w, OUTSIDE))
+    return w
 
-    def handle_starttag(self, tag, attrs):
-        held = self.stack[-1][1] if self.stack and self.articles else None
-        super().handle_starttag(tag, attrs)
-        if held is not None and tag not in VOID:
-            t, _, off, skip = self.stack[-1]
-            self.stack[-1] = (t, held, off, skip)
+
+def scores(lines: list[tuple[str, int, int, float]], weight: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
+    """Smoothed log of text per tag, weighted."""
+    ratio = np.array([len(x[0]) / max(1, x[1]) for x in lines])
+    return weight * smooth(np.log1p(ratio), sigma)
+
+
+def region(lines: list[tuple[str, int, int, float]], within: list[bool], sigma: float = SIGMA, threshold: float = THRESHOLD) -> list[bool]:
+    """Which lines belong to the content."""
+    weight = weights(lines, within)
+    score = scores(lines, weight, sigma)
+    dense = score >= max(FLOOR if threshold else 0.0, threshold * score.std())
+    if not dense.any():
+        return [w == 1 for w in weight.tolist()]
+    first: dict[int, int] = {}
+    last: dict[int, int] = {}
+    for k in np.nonzero(dense & (weight == 1))[0].tolist():
+        container = lines[k][2]
+        first.setdefault(container, k)
+        last[container] = k
+    return [bool(d) or weight[k] == 1 and first.get(x[2], k + 1) <= k <= last.get(x[2], -1) for k, (x, d) in enumerate(zip(lines, dense, strict=True))]
 
 
-def extract(html: str | None) -> str:
+def extract(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD) -> str:
     """Main text of one page."""
     if not html:
         return ""
-    parser = Containers()
+    parser = Lines()
     parser.feed(html)
     parser.close()
     if not parser.lines:
         return ""
-    keep = region(parser.lines, parser.around, parser.mains)
+    keep = region(parser.lines, parser.within, sigma, threshold)
     return " ".join(x[0] for x, k in zip(parser.lines, keep, strict=True) if k)
 
 
@@ -209,7 +220,7 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     """page_id, url, text, n_chars for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, 64) for whole in batches for at in range(0, whole.num_rows, 64)):
             texts = [extract(h.as_py()) for h in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
