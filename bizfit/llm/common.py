@@ -7,6 +7,8 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bizfit.operators.shared import cut
+
 HOT_GROUPS = 500
 
 
@@ -36,3 +38,10 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     cold = groups.filter(F.col(size) <= limit)
     there = F.broadcast(hot.select(*keys))
     return rows.join(F.broadcast(hot), keys).unionByName(rows.join(there, keys, "left_anti").join(cold, keys))
+
+
+def relabel(rows: DataFrame, labels: DataFrame, column: str, label: str, total: int) -> DataFrame:
+    """rows with ``column`` replaced by its ``label`` in ``labels`` (column, label), where there is one; one value may hold any share of the rows."""
+    sizes = rows.groupBy(column).agg(F.count("*").alias("_size")).join(labels.withColumnRenamed(label, "_label"), column, "left")
+    sizes = cut(sizes.select(column, "_size", F.coalesce("_label", column).alias("_label")), "relabel")
+    return join_groups(rows, sizes, [column], "_size", total).withColumn(column, F.col("_label")).drop("_size", "_label")

@@ -16,7 +16,9 @@ all its pairs, and no link between components is lost.
 
 Nulls: a null text is empty, with fingerprint zero, linked like any other. A
 null doc_id is never a component's smallest id unless all are null. Repeated rows
-each get a row. An empty table gives an empty result. Other columns are ignored.
+each get a row. Equal fingerprints are one node, whatever their texts, and a key or a
+component may hold any share of the rows. An empty table gives an empty result. Other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bizfit.llm.common import join_groups
+from bizfit.llm.common import join_groups, relabel
 from bizfit.operators.graph import connected_components
 from bizfit.operators.shared import cut
 
@@ -57,7 +59,7 @@ def fingerprint(text: bytes, words: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
         fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(1).cast(pa.large_binary())]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
@@ -140,21 +142,24 @@ def _near(a: str, b: str) -> F.Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
 
 
-def link_fingerprints(fps: DataFrame) -> DataFrame:
-    """(fp, part) for distinct fingerprints ``fps.fp``: part is the smallest fingerprint reachable by links."""
+def link_fingerprints(fps: DataFrame, total: int) -> DataFrame:
+    """(fp, part) for the ``total`` distinct fingerprints ``fps.fp``: part is the smallest fingerprint reachable by links.
+
+    Members of a key meet its smallest first, then, by the probes, only those of other
+    parts. Keys have 21 to 24 bits, so at N fingerprints some N^2 / 2^22 pairs are
+    tested by the join's condition; none of them is a row before it has passed.
+    """
     schema = "key long, fp long, part long"
-    index = fps.select("fp", F.col("fp").alias("part")).mapInArrow(_emit("index"), schema)
-    hub = F.min("fp").over(Window.partitionBy("key"))
-    stars = index.select("fp", hub.alias("hub")).filter((F.col("fp") != F.col("hub")) & _near("fp", "hub")).distinct()
+    index = cut(fps.select("fp", F.col("fp").alias("part")).mapInArrow(_emit("index"), schema).select("key", "fp"), "near-index")
+    hubs = cut(index.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("m")).filter("m > 1"), "near-hubs")
+    stars = join_groups(index, hubs, ["key"], "m", 6 * total).filter((F.col("fp") != F.col("hub")) & _near("fp", "hub")).select("fp", "hub").distinct()
     first = connected_components(stars, "fp", "hub")
-    parts = cut(
-        fps.select("fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("part")), "near-parts"
-    )
+    parts = cut(fps.select("fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("part")), "near-parts")
     left = parts.mapInArrow(_emit("probe"), schema)
     right = parts.mapInArrow(_emit("index"), schema).toDF("key", "fp2", "part2")
     on = (left["key"] == right["key"]) & (left["fp"] < right["fp2"]) & (left["part"] != right["part2"]) & _near("fp", "fp2")
     more = connected_components(left.join(right, on).select("part", "part2").distinct(), "part", "part2")
-    return parts.join(more.withColumnRenamed("node", "part"), "part", "left").select("fp", F.coalesce("component", "part").alias("part"))
+    return relabel(parts, more.withColumnRenamed("node", "part"), "part", "component", total)
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -162,9 +167,10 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     schema = f"doc_id {docs.select(doc_id).schema[0].dataType.simpleString()}, fp long"
     rows = cut(docs.select(doc_id, text).mapInArrow(_fingerprints, schema), "near-rows")
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low_id"), F.count("*").alias("n")), "near-fps")
-    linked = cut(link_fingerprints(fps), "near-linked").join(fps, "fp")
-    ids = linked.groupBy("part").agg(F.min("low_id").alias("component_id"), F.sum("n").alias("component_size"))
-    groups = cut(linked.select("fp", "part", "n").join(ids, "part").select("fp", "n", "component_id", "component_size"), "near-groups")
+    linked = cut(link_fingerprints(fps, fps.count()), "near-linked").join(fps, "fp")
+    ids = linked.groupBy("part").agg(F.min("low_id").alias("component_id"), F.sum("n").alias("component_size"), F.count("*").alias("fps"))
+    groups = join_groups(linked.select("fp", "part", "n"), cut(ids, "near-ids"), ["part"], "fps", fps.count())
+    groups = cut(groups.select("fp", "n", "component_id", "component_size"), "near-groups")
     total = fps.agg(F.sum("n")).first()[0] or 0
     out = join_groups(rows, groups, ["fp"], "n", total)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")

@@ -3,7 +3,7 @@
 Candidates are runs of MIN_LENGTH or more characters of keys and tokens
 ([A-Za-z0-9_+/=-]) that hold a digit or change case, and values of any length and
 characters assigned to a credential's name (up to the closing quote, or to a blank,
-quote, comma or semicolon), found in whole texts by regular expressions. The words
+quote, comma or semicolon), and private key blocks of any number of lines, found in whole texts by regular expressions. The words
 before a candidate are those of the text, other candidates included. Features: length; letters, digits and others; changes between
 character classes per character; distinct characters; the share of hex digits;
 dictionary coverage, the share of characters within pieces that are words of the
@@ -34,6 +34,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bizfit.llm.common import join_groups
 from bizfit.operators.shared import cut
 
 MIN_LENGTH = 16
@@ -54,18 +55,24 @@ CREDENTIAL = rf"(?i){NAME}[\"']?\s*[=:]?>?\s*[\"']?$"
 #: Group 1 is a credential's name with the sign of assignment, group 2 the value, which isn't consumed.
 ASSIGNED = rf"((?i:{NAME})[\"']?\s*+[=:]>?\s*+[\"']?)(?=((?<=\")[^\"\n]++(?=\")|(?<=')[^'\n]++(?=')|[^\s\"',;]++))"
 HARMLESS = r"(?i)(sha(1|256|512)?|md5|commit|checksum|digest|hash|version|uuid|guid|etag|revision|integrity)[\"']?\s*[=:]?\s*[\"']?$"
-FORMATS = r"^(AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9\-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35}|eyJ[A-Za-z0-9_\-]{10,})$"
+PRIVATE_KEY = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*+-----END [A-Z ]*PRIVATE KEY-----"
+FORMATS = r"^(-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9\-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35}|eyJ[A-Za-z0-9_\-]{10,})$"
 PATHS = r"(?i)(^|[/_.\-])(test|tests|spec|sample|samples|example|examples|mock|fixture|fixtures|lock|min)([/_.\-]|$)"
 FEATURES = ["length", "upper", "lower", "digit", "other", "changes", "distinct", "hex", "dictionary", "path_test", "near_credential", "near_harmless", "assigned"]
 
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """doc_id, path, before (up to BEFORE characters of text), candidate, for each candidate of each row, repeats included."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    pair = lambda pattern: F.arrays_zip(*(F.regexp_extract_all(body, F.lit(pattern), F.lit(k)).alias(name) for k, name in ((1, "before"), (2, "hit"))))
-    each = lambda pattern: docs.select(
-        F.col(doc_id).alias("doc_id"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.explode(pair(pattern)).alias("x")
-    )
+    """doc_id, path, before (up to BEFORE characters of text), candidate, for each candidate of each row, repeats included.
+
+    What stands before is looked up only in texts that have a candidate.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    all_of = lambda pattern, k: F.regexp_extract_all("body", F.lit(pattern), F.lit(k))
+
+    def each(pattern: str) -> DataFrame:
+        found = rows.withColumn("hits", all_of(pattern, 2)).filter(F.size("hits") > 0)
+        return found.select("doc_id", "path", F.explode(F.arrays_zip(all_of(pattern, 1).alias("before"), F.col("hits").alias("hit"))).alias("x"))
+
     # a name and its value may be one run, as in password=abc
     name = F.regexp_extract("x.hit", "^([A-Za-z_-]+=)(?=[^=])", 1)
     before = F.concat(F.col("x.before"), name).alias("before")
@@ -73,7 +80,8 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
     runs = runs.filter(F.char_length("candidate") >= MIN_LENGTH)
     # values that are such runs are found above
     values = each(ASSIGNED).select("doc_id", "path", F.col("x.before").alias("before"), F.col("x.hit").alias("candidate")).filter(~F.col("candidate").rlike(f"^{RUN}$"))
-    return runs.unionByName(values)
+    blocks = rows.filter(F.contains("body", F.lit("PRIVATE KEY-----"))).select("doc_id", "path", F.lit("").alias("before"), F.explode(all_of(PRIVATE_KEY, 0)).alias("candidate"))
+    return runs.unionByName(values).unionByName(blocks)
 
 
 def dictionary(docs: DataFrame, text: str = "text", words: int = DICTIONARY) -> DataFrame:
@@ -100,10 +108,12 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
         F.col("before").rlike("[=:]>?\\s*[\"']?$").cast("double").alias("assigned"),
     )
     runs = F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("candidate"), F.lit("([a-z]{3,12})"), F.lit(1))))
-    distinct = out.select("candidate", "length").distinct()
-    covered = distinct.select("candidate", "length", runs.alias("word")).join(F.broadcast(words.withColumn("is_word", F.lit(1))), "word", "left")
-    share = covered.groupBy("candidate").agg((F.sum(F.when(F.col("is_word") == 1, F.char_length("word")).otherwise(0)) / F.max("length")).alias("dictionary"))
-    return out.join(share, "candidate")
+    distinct = out.groupBy("candidate", "length").agg(F.count("*").alias("times"))
+    covered = distinct.select("candidate", "length", "times", runs.alias("word")).join(F.broadcast(words.withColumn("is_word", F.lit(1))), "word", "left")
+    share = covered.groupBy("candidate").agg(
+        (F.sum(F.when(F.col("is_word") == 1, F.char_length("word")).otherwise(0)) / F.max("length")).alias("dictionary"), F.max("times").alias("times")
+    )
+    return join_groups(out, cut(share, "secret-shares"), ["candidate"], "times", found.count()).drop("times")
 
 
 def rules(found: DataFrame) -> DataFrame:
@@ -118,7 +128,8 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "doc_
 
     ``labelled``, if given, has FEATURES and rule (1.0 real, 0.0 not); it is sampled like the findings here.
     """
-    found = cut(features(candidates(docs, doc_id, text, path), dictionary(docs, text)), "secret-findings")
+    written = cut(candidates(docs, doc_id, text, path), "secret-candidates")  # texts are read once for them
+    found = cut(features(written, dictionary(docs, text)), "secret-findings")
     found = rules(found)
     ranked = (found if labelled is None else labelled).filter("rule IS NOT NULL").withColumn("mark", F.xxhash64(*FEATURES, "rule"))
     sample = [ranked.filter(F.col("rule") == y).orderBy("mark").limit(SAMPLE).select(*FEATURES, "rule") for y in (0.0, 1.0)]
