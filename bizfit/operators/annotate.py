@@ -21,7 +21,7 @@ FINER = 8
 
 def _bands(step: float) -> tuple:
     """(band of a latitude, cells of a band, cell of a longitude) of a grid of cells at least ``step`` degrees of latitude wide."""
-    edge = lambda band: F.least(F.greatest(F.abs(band * step), F.abs((band + 1) * step)), F.lit(89.0))
+    edge = lambda band: F.least(F.greatest(F.abs(band * step), F.abs((band + 1) * step)), F.lit(90.0))
     cells = lambda band: F.greatest(F.floor(F.lit(360.0) * F.cos(F.radians(edge(band))) / step), F.lit(1))
     return (lambda lat: F.floor(lat / step).cast("long")), cells, (lambda lon, n: F.floor((lon + 180.0) * n / 360.0))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bizfit.operators.shared import cut
+from bizfit.operators.shared import cut, discard
 
 
 #: Up to so many edges a node's window fits any task, whatever its degree.
@@ -51,7 +51,10 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     mark, many = None, now.count() > WINDOW_EDGES
     for _ in range(max_rounds):
         stars = _star(now, True, many)
-        now = cut(_star(cut(stars, "cc-stars") if many else stars, False, many), "cc")
+        stars = cut(stars, "cc-stars") if many else stars
+        before, now = now, cut(_star(stars, False, many), "cc")
+        discard(before)
+        discard(stars)
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst"))).first()
         if tuple(seen) == mark:
             return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(
