@@ -2,32 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bizfit.operators.shared import cut, discard
 
 
-#: Up to so many edges a node's window fits any task, whatever its degree.
-WINDOW_EDGES = 2_000_000
+#: Up to so many edges all those of one node fit any task.
+ONE_TASK_EDGES = 2_000_000
 
 
 def _star(edges: DataFrame, large: bool, many: bool) -> DataFrame:
     """Hang each node's larger (large) or smaller (not large) neighbours on its smallest neighbour.
 
-    A small table is dealt by node once, for a window. In one with ``many`` edges a hub
-    may hold any share of them: minima are counted with partial sums and written, and
-    the join back to the edges, of two shuffled sides, is split where it is skewed.
+    Minima are counted with partial sums and joined back to the edges. In a table with
+    ``many`` edges a hub may hold any share of them: there the minima are written first,
+    so that the join is one of two shuffled sides, which is split where it is skewed.
     """
     if large:
         both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     else:
         both = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    if many:
-        low = cut(both.groupBy("src").agg(F.min("dst").alias("low")), "cc-low")
-        seen = both.join(low, "src").withColumn("low", F.least("low", "src"))
-    else:
-        seen = both.withColumn("low", F.least(F.min("dst").over(Window.partitionBy("src")), F.col("src")))
+    low = both.groupBy("src").agg(F.min("dst").alias("low"))
+    seen = both.join(cut(low, "cc-low") if many else low, "src").withColumn("low", F.least("low", "src"))
     if large:
         out = seen.filter("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
     else:
@@ -48,7 +45,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(),
         "cc",
     )
-    mark, many = None, now.count() > WINDOW_EDGES
+    mark, many = None, now.count() > ONE_TASK_EDGES
     for _ in range(max_rounds):
         stars = _star(now, True, many)
         stars = cut(stars, "cc-stars") if many else stars

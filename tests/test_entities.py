@@ -208,8 +208,8 @@ def test_components_by_either_way(spark, monkeypatch):
         label[max(a, b)] = min(a, b)
     want = {x: find(x) for e in edges for x in e if e[0] != e[1]}
     df = spark.createDataFrame(edges, "a long, b long")
-    for most in (graph.WINDOW_EDGES, 0):
-        monkeypatch.setattr(graph, "WINDOW_EDGES", most)
+    for most in (graph.ONE_TASK_EDGES, 0):
+        monkeypatch.setattr(graph, "ONE_TASK_EDGES", most)
         assert {r["node"]: r["component"] for r in graph.connected_components(df, "a", "b").collect()} == want
 
 
