@@ -3,11 +3,13 @@
 Lengths are numbers of words ([^\\x20\\x09-\\x0D]+) plus one end mark. A document
 longer than the largest permitted length is cut into pieces of that length and a
 rest, so nothing is dropped. Pieces are placed longest first, each into the open
-bin with the least room that still holds it. Where none does, a bin is opened:
-its capacity is the permitted length with the least cost per expected token, where
-the cost is its length plus FIXED for the sequence, and the tokens expected in it
-are the piece and what the remaining shorter pieces can fill. At the end each bin
-is downsized to the smallest permitted length that holds its contents.
+bin with the least room that still holds it. Where none does, a bin is opened. What a
+bin costs grows faster than its length, as attention does: length * (1 + length /
+SPAN) + FIXED. For each permitted length the bin is filled in trial from the pieces not
+yet placed, the largest that fits next, and the length with the least cost per token
+so held is opened. So one choice weighs all lengths against the pieces that are left.
+At the end each bin is downsized to the smallest permitted length that holds its
+contents.
 
 Documents are dealt at random, by a hash of the id, into groups of about
 GROUP_ROWS rows, and each group is packed by itself: groups are tasks of bounded
@@ -15,8 +17,9 @@ size and their number grows with the input; the loss to unfilled bins is a few
 bins a group. Only ids and lengths are shuffled, not texts.
 
 Nulls: a null text is empty and has length 1; null ids are packed like others.
-Rows that repeat are packed each. Empty tables give empty results. Other columns
-are ignored.
+Rows that repeat are packed each. Equal lengths are placed in the order of the ids, and
+of lengths that cost the same the shorter is opened. Empty tables give empty results.
+Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,29 +37,46 @@ from bizfit.operators.shared import cut
 
 CAPACITIES = (512, 1024, 2048, 4096)
 FIXED = 16
+SPAN = 8192
 GROUP_ROWS = 4096
 
 
+def cost(capacity: int) -> float:
+    return capacity * (1 + capacity / SPAN) + FIXED
+
+
+def trial(capacity: int, n: int, left: list[int], at: int) -> int:
+    """Tokens a new bin would hold: a piece of ``n`` and, of the lengths from ``at`` on, the largest that fits, again and again.
+
+    ``left`` has the lengths negated, in order, so the longest first.
+    """
+    held = n
+    while at < len(left) and held < capacity:
+        at = bisect_left(left, held - capacity, at)
+        if at < len(left):
+            held -= left[at]
+            at += 1
+    return held
+
+
 def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> list[tuple[int, int, int]]:
     """(bin, start in the bin, final capacity) of each length, which none exceeds the largest capacity."""
     caps = sorted(capacities)
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
-    rest = sum(lengths)
+    left = [-lengths[i] for i in order]
     room: list[tuple[int, int]] = []  # (free, bin) of open bins, sorted
     used: list[int] = []
     place = [(0, 0)] * len(lengths)
-    for i in order:
+    for turn, i in enumerate(order):
         n = lengths[i]
         k = bisect_left(room, (n, -1))
         if k < len(room):
             free, b = room.pop(k)
         else:
-            fits = [c for c in caps if c >= n]
-            free, b = min(fits, key=lambda c: ((c + FIXED) / min(c, rest), c)), len(used)
+            free, b = min((c for c in caps if c >= n), key=lambda c: (cost(c) / trial(c, n, left, turn + 1), c)), len(used)
             used.append(0)
         place[i] = (b, used[b])
         used[b] += n
-        rest -= n
         if free > n:
             insort(room, (free - n, b))
     final = [caps[bisect_left(caps, u)] for u in used]
