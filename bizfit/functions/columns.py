@@ -11,9 +11,16 @@ from pyspark.sql import functions as F
 EARTH_KM = 6371.0
 
 # They must equal the reference's for the same keys to come out.
-LEGAL_SUFFIXES = "inc incorporated llc llp ltd limited corp corporation co company pllc pc pa plc gmbh sa dds dmd dvm md cpa".split()
-NOISE_WORDS = "the and of a an".split()
-COMPOUND_SUFFIXES = "co.uk com.au co.nz org.uk ac.uk com.br".split()
+LEGAL_SUFFIXES = [
+    "inc", "incorporated", "llc", "llp", "ltd", "limited", "corp", "corporation", "co", "company", "pllc", "pc", "pa", "plc", "gmbh", "sa", "dds",
+    "dmd", "dvm", "md", "cpa",
+]
+NOISE_WORDS = [
+    "the", "and", "of", "a", "an",
+]
+COMPOUND_SUFFIXES = [
+    "co.uk", "com.au", "co.nz", "org.uk", "ac.uk", "com.br",
+]
 
 
 def blank(c: Column) -> Column:

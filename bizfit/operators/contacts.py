@@ -14,11 +14,14 @@ from bizfit.functions import columns as C
 from bizfit.operators.score import ROLES
 
 # Fixed values.
-DISPOSABLE = (
-    "mailinator.com guerrillamail.com 10minutemail.com tempmail.com throwawaymail.com yopmail.com trashmail.com sharklasers.com"
-    " getnada.com temp-mail.org fakeinbox.com maildrop.cc dispostable.com mailnesia.com spamgourmet.com mytemp.email"
-).split()
-FREE_MAIL = "gmail.com yahoo.com hotmail.com outlook.com aol.com icloud.com me.com msn.com live.com comcast.net sbcglobal.net verizon.net att.net protonmail.com".split()
+DISPOSABLE = [
+    "mailinator.com", "guerrillamail.com", "10minutemail.com", "tempmail.com", "throwawaymail.com", "yopmail.com", "trashmail.com", "sharklasers.com",
+    "getnada.com", "temp-mail.org", "fakeinbox.com", "maildrop.cc", "dispostable.com", "mailnesia.com", "spamgourmet.com", "mytemp.email",
+]
+FREE_MAIL = [
+    "gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "aol.com", "icloud.com", "me.com", "msn.com", "live.com", "comcast.net", "sbcglobal.net",
+    "verizon.net", "att.net", "protonmail.com",
+]
 SYNTAX = r"^[a-z0-9!#$%&'*+/=?^_`{|}~-]+(\.[a-z0-9!#$%&'*+/=?^_`{|}~-]+)*@([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)+[a-z][a-z0-9-]*[a-z0-9]$"
 
 

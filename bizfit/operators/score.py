@@ -39,10 +39,15 @@ BACKED = [
     (r"\b(?:a|the)\s+(?:wholly[- ]owned\s+)?(?:subsidiary|division) of\b", "Subsidiary of a larger group"),
     (r"\b(?:nasdaq|nyse)\s*:", "Publicly listed"),
 ]
-MODERN = "next.js react gatsby nuxt svelte astro hubspot shopify webflow squarespace wix".split()
+MODERN = [
+    "next.js", "react", "gatsby", "nuxt", "svelte", "astro", "hubspot", "shopify", "webflow", "squarespace", "wix",
+]
 LEGACY = ["frontpage", "dreamweaver", "wordpress 4", "joomla", "flash", "jquery 1", "table-layout", "godaddy website builder"]
 DECISION = r"(?i)\b(owner|founder|president|ceo|principal|managing (?:director|partner)|proprietor|general manager)\b"
-ROLES = "info contact sales support hello admin office enquiries inquiries help team mail service billing accounts noreply no-reply webmaster postmaster".split()
+ROLES = [
+    "info", "contact", "sales", "support", "hello", "admin", "office", "enquiries", "inquiries", "help", "team", "mail", "service", "billing",
+    "accounts", "noreply", "no-reply", "webmaster", "postmaster",
+]
 
 
 @dataclass(frozen=True)

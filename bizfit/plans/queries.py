@@ -366,7 +366,7 @@ def what_if(s: SparkSession, d: str) -> DataFrame:
 
 
 # ---- contacts ----
-MAIL = r"'\b[\w.+-]+@[\w-]+\.[\w.-]+\b'"
+MAIL = f"'{pages.EMAIL}'"
 
 
 @query("J6_mail_facts", f"""WITH e AS (SELECT id, lower(email) AS email, string_split(lower(email), '@')[-1] AS dom FROM ({FLAT}) WHERE email IS NOT NULL), k AS (SELECT *, length(dom) % 5 AS kind FROM e)
