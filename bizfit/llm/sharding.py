@@ -54,6 +54,9 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fan: int = FAN):
         self.spark, self.root, self.target, self.fan = spark, root.rstrip("/"), target_bytes, fan
+        # unions of one-task reads must stay as many tasks, one a run
+        self._merging = spark.newSession()
+        self._merging.conf.set("spark.sql.unionOutputPartitioning", "false")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -166,7 +169,7 @@ class Store:
         folder = f"{self.root}/merged-{uuid.uuid4().hex}"
 
         def merge(at: int) -> list[Shard]:
-            parts = [self.spark.read.schema(schema).parquet(*[s.path for s in run]).coalesce(1) for run in runs[at : at + RUNS_PER_JOB]]
+            parts = [self._merging.read.schema(schema).parquet(*[s.path for s in run]).coalesce(1) for run in runs[at : at + RUNS_PER_JOB]]
             reduce(DataFrame.union, parts).write.parquet(f"{folder}/{at:09d}")
             # a file's number is that of its task, and so of its run
             level = lambda path: 1 + max(s.level for s in runs[at + int(path.rsplit("/part-", 1)[1][:5])])
