@@ -43,7 +43,7 @@ def test_scores_match_a_plain_sum(spark, monkeypatch):
     rows += [(500, None), (501, "only new words here"), (None, "w1 w2"), (502, "W1 " * 30_000), (0, rows[0][1])]
     kept = {}
     train = language_model.train
-    monkeypatch.setattr(language_model, "STEPS", 30)
+    monkeypatch.setattr(language_model, "LEAST", 120_000)
     monkeypatch.setattr(language_model, "FREQUENT", 150)  # the others go by the count table
     monkeypatch.setattr(language_model, "train", lambda *a: kept.setdefault("table", train(*a)))
     docs = spark.createDataFrame([(i, t, 0.5, 7) for i, t in rows], "doc_id long, text string, score double, n_tokens int")
