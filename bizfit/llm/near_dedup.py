@@ -39,10 +39,20 @@ from bizfit.operators.shared import cut
 MAX_BITS = 4
 SHINGLE = 4
 BLOCK = 1 << 15
+SCHEMA = "key long, fp long, part long"
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 
 
+def set_bits(h: np.ndarray) -> np.ndarray:
+    """In how many of the 64-bit hashes each bit is set."""
+    return np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def pack_bits(bits: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little", signed=True)
+
+
 def fingerprint(text: bytes, words: int = SHINGLE) -> int:
     """SimHash of the word shingles of a text: a bit is 1 if it is set in over half the hashes."""
     w = text.lower().split()
@@ -53,9 +63,8 @@ def fingerprint(text: bytes, words: int = SHINGLE) -> int:
     for at in range(0, n, BLOCK):
         part = w[at : at + BLOCK + words - 1]
         joined = map(b" ".join, zip(*(part[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-        h = np.array([digest(x, 42) for x in joined], dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little", signed=True)
+        ones += set_bits(np.array([digest(x, 42) for x in joined], np.uint64))
+    return pack_bits(ones * 2 > n)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,6 +151,13 @@ def _near(a: str, b: str) -> F.Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
 
 
+def hub_links(fps: DataFrame, total: int) -> DataFrame:
+    """(fp, hub) wherever a fingerprint is within MAX_BITS of the smallest that has one of its ``total`` x 6 index keys, itself excepted."""
+    index = cut(fps.select("fp", F.col("fp").alias("part")).mapInArrow(_emit("index"), SCHEMA).select("key", "fp"), "near-index")
+    hubs = cut(index.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("m")).filter("m > 1"), "near-hubs")
+    return join_groups(index, hubs, ["key"], "m", 6 * total).filter((F.col("fp") != F.col("hub")) & _near("fp", "hub")).select("fp", "hub").distinct()
+
+
 def link_fingerprints(fps: DataFrame, total: int) -> DataFrame:
     """(fp, part) for the ``total`` distinct fingerprints ``fps.fp``: part is the smallest fingerprint reachable by links.
 
@@ -149,14 +165,10 @@ def link_fingerprints(fps: DataFrame, total: int) -> DataFrame:
     parts. Keys have 21 to 24 bits, so at N fingerprints some N^2 / 2^22 pairs are
     tested by the join's condition; none of them is a row before it has passed.
     """
-    schema = "key long, fp long, part long"
-    index = cut(fps.select("fp", F.col("fp").alias("part")).mapInArrow(_emit("index"), schema).select("key", "fp"), "near-index")
-    hubs = cut(index.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("m")).filter("m > 1"), "near-hubs")
-    stars = join_groups(index, hubs, ["key"], "m", 6 * total).filter((F.col("fp") != F.col("hub")) & _near("fp", "hub")).select("fp", "hub").distinct()
-    first = connected_components(stars, "fp", "hub")
+    first = connected_components(hub_links(fps, total), "fp", "hub")
     parts = cut(fps.select("fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("part")), "near-parts")
-    left = parts.mapInArrow(_emit("probe"), schema)
-    right = parts.mapInArrow(_emit("index"), schema).toDF("key", "fp2", "part2")
+    left = parts.mapInArrow(_emit("probe"), SCHEMA)
+    right = parts.mapInArrow(_emit("index"), SCHEMA).toDF("key", "fp2", "part2")
     on = (left["key"] == right["key"]) & (left["fp"] < right["fp2"]) & (left["part"] != right["part2"]) & _near("fp", "fp2")
     more = connected_components(left.join(right, on).select("part", "part2").distinct(), "part", "part2")
     return relabel(parts, more.withColumnRenamed("node", "part"), "part", "component", total)
