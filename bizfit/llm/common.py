@@ -33,7 +33,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     most HOT_GROUPS groups can hold over total/HOT_GROUPS rows each, so those are
     broadcast; the others are joined by a shuffle in which no key is large.
     """
-    limit = max(1000, total // HOT_GROUPS)
+    limit = max(100, total // HOT_GROUPS)
     hot = groups.filter(F.col(size) > limit)
     cold = groups.filter(F.col(size) <= limit)
     there = F.broadcast(hot.select(*keys))

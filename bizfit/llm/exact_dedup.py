@@ -111,7 +111,7 @@ def chains(rows: DataFrame, keys: DataFrame, directory: Directory, best: Column)
     most HOT_GROUPS such keys.
     """
     total = rows.count()
-    hot = F.broadcast(keys.filter(F.col("n") > max(1000, total // HOT_GROUPS)).select("key"))
+    hot = F.broadcast(keys.filter(F.col("n") > max(100, total // HOT_GROUPS)).select("key"))
 
     def entries(members: DataFrame, by: list[str]) -> DataFrame:
         found = members.groupBy(*by, "body").agg(best.alias("keep"), F.count("*").alias("group_size"))
