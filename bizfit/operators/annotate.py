@@ -130,12 +130,17 @@ def facets(companies: DataFrame) -> DataFrame:
 def order_statistics(rows: DataFrame, column: str) -> DataFrame:
     """Min, element n/4, n/2, 3n/4 and max of a column in ascending order, counted from 0.
 
-    Values are counted first; the running count is over distinct values, which are at
-    most a thousand for scores with one decimal.
+    Values are counted first, dealt by range and counted up within their range; each
+    range starts after what the ranges before it hold.
     """
     counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    run = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v")))
-    total = run.agg(F.max("upto").alias("total"))
+    dealt = cut(counts.repartitionByRange("v").withColumn("_range", F.spark_partition_id()), "statistics")
+    held = dealt.groupBy("_range").agg(F.sum("n").alias("_held"))
+    before = F.sum("_held").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row per range
+    starts = held.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    inside = dealt.withColumn("_sum", F.sum("n").over(Window.partitionBy("_range").orderBy("v")))
+    run = inside.join(F.broadcast(starts), "_range").withColumn("upto", F.col("_start") + F.col("_sum"))
+    total = dealt.agg(F.sum("n").alias("total"))
     at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
     t = F.col("total")
     return run.crossJoin(F.broadcast(total)).agg(
