@@ -48,7 +48,7 @@ for _id, _key in (("N1_key_domain", "key_domain"), ("N2_key_reg_domain", "key_re
     query(_id, f"{KEYS} SELECT id, {_key} FROM n")(lambda s, d, k=_key: match.standardise(companies(s, d)).select("id", k))
 query("N6_key_email_domain", f"{KEYS} SELECT id, key_email_domain FROM n")(lambda s, d: flat(s, d).select("id", C.email_domain(F.col("email")).alias("key_email_domain")))
 query("N7_key_phone10", f"{KEYS} SELECT id, key_phone10 FROM n")(lambda s, d: flat(s, d).select("id", C.phone10(F.col("phone")).alias("key_phone10")))
-query("N8_display_name")(lambda s, d: flat(s, d).select("id", C.display_name(F.upper("name")).alias("display_name")))
+query("N8_display_name", f"SELECT id, array_to_string(list_transform(string_split(upper(name), ' '), lambda w: CASE WHEN w = 'LLC' THEN w ELSE w[1] || lower(w[2:]) END), ' ') AS display_name FROM ({FLAT})")(lambda s, d: flat(s, d).select("id", C.display_name(F.upper("name")).alias("display_name")))
 
 BLOCKS = f"""{KEYS}, b AS (
   SELECT pos, unnest(list_distinct(list_filter([
@@ -237,7 +237,12 @@ def distribution(s: SparkSession, d: str) -> DataFrame:
 
 query("A7_trade_counts", f"SELECT industry, count(*) AS companies FROM ({FLAT}) GROUP BY 1")(lambda s, d: annotate.trade_counts(companies(s, d)))
 query("W1_first_sighting", f"SELECT city, min(pos) AS pos FROM ({FLAT}) GROUP BY 1")(lambda s, d: match.first_sighting(companies(s, d), "city").select("city", "pos"))
-query("W2_stratified_sample")(lambda s, d: annotate.stratified_sample(companies(s, d), 250).select("id", "industry", "website"))
+SAMPLED = f"""WITH f AS (SELECT id, pos, industry, website, website IS NOT NULL AS site FROM ({FLAT})), t AS (SELECT industry, count(*) AS n, count(website) AS sites, min(pos) AS first FROM f GROUP BY 1),
+q AS (SELECT *, greatest(1, CAST(round_even(250e0 * n / sum(n) OVER (), 0) AS BIGINT)) AS quota, row_number() OVER (ORDER BY n DESC, first) AS turn FROM t), p AS (SELECT *, greatest(quota - sites, 0) AS rest FROM q),
+k AS (SELECT f.*, quota, rest, turn, greatest(1, (n - sites) // nullif(rest, 0)) AS step, row_number() OVER (PARTITION BY f.industry, site ORDER BY pos) - 1 AS k FROM f JOIN p USING (industry)),
+c AS (SELECT *, CASE WHEN site THEN k < quota ELSE coalesce(rest > 0 AND k % step = 0 AND k // step < rest, FALSE) END AS picked FROM k)
+SELECT id, industry, website FROM c ORDER BY CASE WHEN picked THEN turn ELSE 1000000 END, CASE WHEN picked AND NOT site THEN 1 ELSE 0 END, pos LIMIT 250"""
+query("W2_stratified_sample", SAMPLED)(lambda s, d: annotate.stratified_sample(companies(s, d), 250).select("id", "industry", "website"))
 
 # ---- search ----
 TERMS = [
@@ -326,13 +331,35 @@ def scored(s: SparkSession, d: str) -> DataFrame:
 query("E6_score_table", f"{TOTAL} SELECT id, score_raw, round(covered, 4) AS covered_weight FROM r")(lambda s, d: scored(s, d).select("id", "score_raw", "covered_weight"))
 query("E4_total_score", f"{TOTAL} SELECT id, score_raw, {', '.join(f'{k} * e_{k} AS c_{k}' for k in score.FACTORS)} FROM r")(lambda s, d: scored(s, d).select("id", "score_raw", *[F.col("contributions")[k].alias(f"c_{k}") for k in score.FACTORS]))
 query("E3_effective_weights", f"{TOTAL} SELECT id, {', '.join(f'e_{k}' for k in score.FACTORS)} FROM r")(lambda s, d: scored(s, d).select("id", *[F.col("effective_weights")[k].alias(f"e_{k}") for k in score.FACTORS]))
-query("E5_overall_confidence")(lambda s, d: scored(s, d).select("id", "confidence", *[F.col(f"f_{k}")["confidence"].alias(f"conf_{k}") for k in score.FACTORS]))
+_n = lambda *cs: " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c in cs)
+_told = "(b1 IS NULL AND b2 IS NULL AND has_employees IS NOT NULL)"
+_flags = ("https", "mobile_viewport", "has_analytics")
+#: What each factor has found, and what it missed.
+SIGNALS = {
+    "succession": (
+        _n("by_filing", "NOT by_filing AND claim IS NOT NULL", "young", "NOT young AND tenure IS NOT NULL AND tenure >= coalesce(told, -1e9)", "NOT young AND told IS NOT NULL AND coalesce(tenure < told, TRUE)", "sibling_location_count >= 3", "backed", "is_decision_maker"),
+        _n("NOT by_filing AND claim IS NULL", "age IS NULL", "coalesce(raw_text_excerpt, '') = ''", "NOT coalesce(is_decision_maker, FALSE)"),
+    ),
+    "buy_box": (_n("b1 IS NOT NULL", "b2 IS NOT NULL", _told), _n(f"b1 IS NULL AND NOT {_told}", f"b2 IS NULL AND NOT {_told}", _told, _told)),
+    "digital_gap": (
+        _n(*[f"{SITE} AND {f} IS NOT NULL" for f in _flags], f"{SITE} AND lower(tech) IN ('frontpage', 'joomla', 'next.js')", f"{SITE} AND stale IS NOT NULL"),
+        _n(*[f"{SITE} AND {f} IS NULL" for f in _flags], f"{SITE} AND tech IS NULL", f"{SITE} AND stale IS NULL", *[f"NOT ({SITE})"] * 3),
+    ),
+    "fragmentation": (_n("peer_count_in_niche IS NOT NULL"), _n("peer_count_in_niche IS NULL")),
+    "contactability": (_n("email IS NOT NULL", "phone IS NOT NULL", "contact_name IS NOT NULL", "linkedin_url IS NOT NULL"), _n("email IS NULL", "phone IS NULL", "contact_name IS NULL")),
+    "health": (_n("stale <= 1", "stale >= 4", "has_careers_page", "has_team_page", "crawled AND page_bytes < 2000"), _n("stale IS NULL", "NOT coalesce(has_careers_page, FALSE)", "NOT crawled")),
+}
+_sure = lambda found, missed: f"CASE WHEN ({found}) >= 2 AND ({found}) >= 0.66e0 * (({found}) + ({missed})) THEN 'high' WHEN ({found}) + ({missed}) > 0 AND ({found}) >= 0.34e0 * (({found}) + ({missed})) THEN 'medium' ELSE 'low' END"
+CONFIDENCE = f"""{TOTAL}, y AS (SELECT *, {', '.join(f'{_sure(*SIGNALS[k])} AS conf_{k}' for k in score.FACTORS)} FROM r),
+o AS (SELECT *, {' + '.join(f"CASE conf_{k} WHEN 'high' THEN 1e0 WHEN 'medium' THEN 0.55e0 ELSE 0.15e0 END * w_{k}" for k in score.FACTORS)} AS sure FROM y)"""
+SURE = "CASE WHEN sure >= 0.7e0 THEN 'high' WHEN sure >= 0.4e0 THEN 'medium' ELSE 'low' END"
+query("E5_overall_confidence", f"{CONFIDENCE} SELECT id, {SURE} AS confidence, {', '.join(f'conf_{k}' for k in score.FACTORS)} FROM o")(lambda s, d: scored(s, d).select("id", "confidence", *[F.col(f"f_{k}")["confidence"].alias(f"conf_{k}") for k in score.FACTORS]))
 query("E1h_evidence_excerpt")(lambda s, d: scored(s, d).select("id", F.explode("f_succession.evidence").alias("e")).select("id", "e.*"))
 query("E7_content_key")(lambda s, d: score.content_key(companies(s, d), AS_OF_YEAR).select("id", "cache_key"))
 query("W3_rank_by_score", f"{TOTAL} SELECT id, score_raw FROM r")(lambda s, d: score.ranked(scored(s, d)).select("id", "score_raw"))
 query("F5_min_score", f"{TOTAL} SELECT id FROM r WHERE round(score_raw, 1) >= 60")(lambda s, d: search.min_score(scored(s, d), 60.0).select("id"))
 query("W4_page_slice", f"{TOTAL} SELECT id, round(score_raw, 1) AS score, count(*) OVER () AS total FROM r ORDER BY score DESC, id LIMIT 20 OFFSET 20")(lambda s, d: search.page(scored(s, d), 20, 20).select("id", "score", "total"))
-query("W5_sort_modes")(lambda s, d: search.sort_modes(scored(s, d), "name").select("id", "name", "score"))
+query("W5_sort_modes", f"{TOTAL} SELECT id, name, round(score_raw, 1) AS score FROM r")(lambda s, d: search.sort_modes(scored(s, d), "name").select("id", "name", "score"))
 
 
 @query("E8_rescore_changed", f"{TOTAL} SELECT id, score_raw FROM r WHERE pos % 3 = 0")
@@ -456,7 +483,21 @@ f AS (SELECT url, host, place, said, href, CASE WHEN regexp_matches(ref, '^[A-Za
 k AS (SELECT url, link, place, CASE WHEN regexp_matches(said || ' ' || href, '{pages.ABOUT}') THEN 0 WHEN regexp_matches(said || ' ' || href, '{pages.CONTACT}') THEN 1 END AS kind FROM f WHERE lower(regexp_extract(link, '^[^:/?#]+://([^/?#]*)', 1)) = host)
 SELECT url, link, place, kind FROM k QUALIFY row_number() OVER (PARTITION BY url, link ORDER BY place) = 1"""
 query("P7_page_links", LINKS)(lambda s, d: pages.page_links(demo_pages(s, d)))
-query("P9_decision_maker")(lambda s, d: pages.page_contacts(pages.page_signals(_pages(s, d), AS_OF_YEAR)).select("page_id", "contact.name", "contact.title", "contact.email"))
+_quoted = lambda t: t.replace("'", "''")
+_FIRST, _SECOND = rf"'\b({_quoted(pages.PERSON)})\s*[,\-–—]\s*({pages.TITLES})\b'", rf"'\b({pages.TITLES})\s*[:\-–—]\s*({_quoted(pages.PERSON)})\b'"
+
+
+def contact_sql(table: str) -> str:
+    """P8 and P9 of a table of pages: page_id, id where there is one, name, title, email, phone, linkedin_url; null where a page has none."""
+    pairs = lambda p, n, t: f"list_filter(list_zip(regexp_extract_all(v, {p}, {n}), regexp_extract_all(v, {p}, {t})), lambda x: NOT regexp_matches(x[1], '{pages.NOT_A_NAME}'))"
+    return f"""SELECT * EXCLUDE (v, html, who), who[1] AS name, who[2] AS title, list_filter(list_transform(regexp_extract_all(html, {MAIL}), lambda e: lower(e)), lambda e: NOT regexp_matches(e, '{pages.ASSETS}'))[1] AS email,
+  nullif(regexp_extract(v, '{pages.PHONE}', 0), '') AS phone, nullif(regexp_extract(html, '{pages.LINKEDIN}', 0), '') AS linkedin_url
+  FROM (SELECT *, list_concat({pairs(_FIRST, 1, 2)}, {pairs(_SECOND, 2, 1)})[1] AS who FROM (SELECT *, {VISIBLE} AS v FROM ({table})))"""
+
+
+query("P9_decision_maker", f"SELECT page_id, name, title, email FROM ({contact_sql('SELECT page_id, html FROM pages')})")(
+    lambda s, d: pages.page_contacts(pages.page_signals(_pages(s, d), AS_OF_YEAR)).select("page_id", "contact.name", "contact.title", "contact.email")
+)
 
 
 def _documents_as_pages(s: SparkSession, d: str) -> DataFrame:
@@ -472,7 +513,9 @@ query("P8_document_emails", f"SELECT doc_id, email FROM ({FOUND}) WHERE email IS
 query("P8_document_phones", f"SELECT doc_id, phone FROM ({FOUND}) WHERE phone IS NOT NULL")(
     lambda s, d: pages.page_contacts(pages.page_signals(_documents_as_pages(s, d), AS_OF_YEAR)).select("doc_id", "contact.phone").filter("phone IS NOT NULL")
 )
-query("J8_secondary_pages")(lambda s, d: pages.secondary_pages(demo_pages(s, d), demo_pages(s, d)).select("page_id", F.length("html").alias("chars")))
+SECONDARY = f"""WITH g AS ({PAGES}), k AS (SELECT * FROM ({LINKS}) WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY kind, place) <= 2),
+m AS (SELECT k.url, sum(1 + length(g.html)) AS more FROM k JOIN g ON g.url = k.link GROUP BY 1) SELECT page_id, CAST(length(html) + coalesce(more, 0) AS INT) AS chars FROM g LEFT JOIN m USING (url)"""
+query("J8_secondary_pages", SECONDARY)(lambda s, d: pages.secondary_pages(demo_pages(s, d), demo_pages(s, d)).select("page_id", F.length("html").alias("chars")))
 
 #: No demo name has a word of a trade, so a name gives two spellings at most: with and without generic and short words.
 TOKENS = "list_filter(string_split(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '')"
@@ -508,11 +551,11 @@ query("A8_match_tally", f"{PROVEN} SELECT coalesce(method, 'unproven') AS method
 
 # ---- sinks, streams ----
 _text = lambda c: f"coalesce(CAST({c} AS STRING), '')"
-EXPORTED = f"""{TOTAL}, x AS (SELECT *, least(sure, 1e0) AS s1 FROM (SELECT *, round(covered, 4) AS share, 0e0 AS sure FROM r))
-SELECT name AS "Company", printf('%.1f', round(score_raw, 1)) AS "Acquisition Fit", printf('%.2f', share) AS "Thesis Coverage", {_text('industry')} AS "Industry", {_text('city')} AS "City", {_text('state')} AS "State",
-  {_text('postcode')} AS "Postcode", {_text('phone')} AS "Phone", {_text('email')} AS "Email", {_text('contact_name')} AS "Contact Name", {_text('contact_title')} AS "Contact Title", {_text('website')} AS "Website",
-  {_text('business_type')} AS "Ownership Form", '' AS "Licensed Since", '' AS "Source" FROM x"""
-query("K5_crm_export", EXPORTED)(lambda s, d: sinks.crm_export(scored(s, d)).drop("Confidence"))
+EXPORTED = f"""{CONFIDENCE}
+SELECT name AS "Company", printf('%.1f', round(score_raw, 1)) AS "Acquisition Fit", {SURE} AS "Confidence", printf('%.2f', round(covered, 4)) AS "Thesis Coverage", {_text('industry')} AS "Industry", {_text('city')} AS "City",
+  {_text('state')} AS "State", {_text('postcode')} AS "Postcode", {_text('phone')} AS "Phone", {_text('email')} AS "Email", {_text('contact_name')} AS "Contact Name", {_text('contact_title')} AS "Contact Title",
+  {_text('website')} AS "Website", {_text('business_type')} AS "Ownership Form", '' AS "Licensed Since", '' AS "Source" FROM o"""
+query("K5_crm_export", EXPORTED)(lambda s, d: sinks.crm_export(scored(s, d)))
 
 
 @query("K1_company_upsert", f"SELECT id, CASE WHEN pos % 5 = 0 THEN upper(name) ELSE name END AS name FROM ({FLAT})")

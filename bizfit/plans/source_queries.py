@@ -13,7 +13,7 @@ from bizfit.operators.shared import fresh_path
 from bizfit.plans import flows
 from bizfit.plans.demo import AS_OF_YEAR, FLAT, PAGES, companies, flat
 from bizfit.plans.demo import pages as demo_pages
-from bizfit.plans.queries import TOTAL, mail_facts, proof_sql, query, scored
+from bizfit.plans.queries import TOTAL, contact_sql, mail_facts, proof_sql, query, scored
 from bizfit.sources import readers
 from bizfit.streaming.refresh import stream_refreshes
 
@@ -166,7 +166,13 @@ def snapshot_write(s: SparkSession, d: str) -> DataFrame:
     return s.read.schema("id string, score_raw double").json(f"{path}/companies")
 
 
-@query("P10_fold_contacts")
+FOLDED = f"""WITH f AS ({FLAT}), c AS ({contact_sql(f"SELECT id, html FROM ({PAGES})")}), k AS (SELECT * FROM c WHERE coalesce(name, email, phone, linkedin_url) IS NOT NULL)
+SELECT f.id, 0 AS place, coalesce(contact_name, k.name) AS name, coalesce(contact_title, k.title) AS title, coalesce(f.email, k.email) AS email, email_status, f.phone, phone_valid, f.linkedin_url,
+  is_decision_maker OR k.name IS NOT NULL AS is_decision_maker FROM f LEFT JOIN k USING (id) WHERE has_contact
+UNION ALL SELECT f.id, 0, k.name, k.title, k.email, 'unknown', k.phone, NULL, k.linkedin_url, k.name IS NOT NULL FROM f JOIN k USING (id) WHERE NOT has_contact"""
+
+
+@query("P10_fold_contacts", FOLDED)
 def fold_contacts(s: SparkSession, d: str) -> DataFrame:
     found = pages.page_contacts(pages.page_signals(demo_pages(s, d), AS_OF_YEAR))
     return contacts.flat_contacts(pages.fold_contacts(companies(s, d), found))
@@ -192,6 +198,12 @@ def refreshed(s: SparkSession, d: str) -> DataFrame:
     return updated.join(kept, "id").select("id", "website", "score", "confidence", F.size("contacts").alias("n_contacts"), "cache_key")
 
 
+REFRESHED = f"""WITH f AS ({FLAT}), c AS ({contact_sql(f"SELECT id, html FROM ({PAGES})")}), g AS ({PAGES}),
+m AS (SELECT f.id, website, has_contact, g.url, {proof_sql('f.name', 'f.city', 'f.phone', 'g.html')} AS method, coalesce(c.name, c.email, c.phone, c.linkedin_url) IS NOT NULL AS found FROM f JOIN g USING (id) JOIN c USING (id))
+SELECT id, coalesce(website, CASE WHEN method IS NOT NULL THEN url END) AS website, CASE WHEN has_contact OR found AND (website IS NOT NULL OR method IS NOT NULL) THEN 1 ELSE 0 END AS n_contacts FROM m"""
+query("X3_refresh_contacts", REFRESHED)(lambda s, d: refreshed(s, d).select("id", "website", "n_contacts"))
+
+
 @query("X4_refresh_flow", f"SELECT DISTINCT 'cust:' || CAST(user_id AS STRING) AS company_id FROM events SEMI JOIN ({PAGES}) g ON g.id = 'cust:' || CAST(user_id AS STRING)")
 def refresh_flow(s: SparkSession, d: str) -> DataFrame:
     """The stream of refreshes runs X3 on each batch; what it left in the history."""
@@ -232,7 +244,12 @@ query("X1_collect")(lambda s, d: _collected(s, d)[0].select("id", "industry", "w
 query("X1_summary")(lambda s, d: _collected(s, d)[1])
 
 
-@query("X1_collect_licensed")
+LICENSED = f"""WITH c AS ({COMPANY} SELECT id, name, industry, postcode, phone FROM s), p AS ({PRINCIPALS}), k AS (SELECT name, count(DISTINCT id) AS premises FROM c GROUP BY 1)
+SELECT id, name, industry, CASE WHEN postcode IS NOT NULL THEN count(*) OVER (PARTITION BY industry, postcode) - 1 END AS peer_count_in_niche, premises AS sibling_location_count,
+  CASE WHEN phone IS NOT NULL THEN person END AS contact_name FROM c JOIN k USING (name) LEFT JOIN p ON id = 'cslb:' || licence_number"""
+
+
+@query("X1_collect_licensed", LICENSED)
 def collect_licensed(s: SparkSession, d: str) -> DataFrame:
     """The register's companies with their principals, peers and chains, as the collecting job starts."""
     rows = match.attach_principal(_licensed(s, d), principal_best(s, d))
