@@ -10,7 +10,7 @@ from bizfit.llm.chat import chat_digests
 from bizfit.llm.common import table
 from bizfit.llm.decontaminate import find_leaks
 from bizfit.llm.exact_dedup import exact_dedup
-from bizfit.llm.html_text import extract_pages
+from bizfit.llm.html_text import BLOCKS, extract_pages
 from bizfit.llm.language_id import language_id
 from bizfit.llm.language_model import score_documents
 from bizfit.llm.near_dedup import near_dedup
@@ -67,7 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat": CHAT_SQL, "op10_exact_dedup": EXACT_SQL}
+    return {"op1_html_text": HTML_SQL, "op9_chat": CHAT_SQL, "op10_exact_dedup": EXACT_SQL}
 
 
 #: What both turns of conversation -7 say.
@@ -83,6 +83,17 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY body)
 """
 
+_TEXT = "regexp_replace(raw, '&copy;?', '©', 'g')"
+for _name, _char in (("middot", "·"), ("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
+    _TEXT = f"regexp_replace({_TEXT}, '&{_name};?', '{_char}', 'g')"
+#: What the article of a page says, for pages that have one, as all of the given tables do.
+HTML_SQL = rf"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?is)<article[^>]*>(.*)</article>', 1) AS body FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(body, '(?i)</?({"|".join(sorted(BLOCKS))})(\s[^>]*)?/?>', ' ', 'g'), '<[^>]*>', '', 'g') AS raw FROM a),
+t AS (SELECT page_id, url, trim(regexp_replace({_TEXT}, '\s+', ' ', 'g')) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM t
+"""
+
 CHAT_SQL = f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
