@@ -14,11 +14,13 @@ from bizfit.llm.html_text import BLOCKS, extract_pages
 from bizfit.llm.language_id import language_id
 from bizfit.llm.language_model import score_documents
 from bizfit.llm.near_dedup import near_dedup
-from bizfit.llm.oracles import REPAIR_SQL
+from bizfit.llm.oracles import CODES_SQL, QUALITY_SQL, REPAIR_SQL
 from bizfit.llm.packing import pack_documents
+from bizfit.llm.quality import filter_quality
 from bizfit.llm.repair import damaged, repair_conversations
 from bizfit.llm.secrets import scan
 from bizfit.llm.sharding import shard_documents
+from bizfit.llm.vector_codes import compress
 from bizfit.operators.shared import fresh_path
 
 
@@ -63,17 +65,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_quality(table(spark, sf_dir, "documents"))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damaged(table(spark, sf_dir, "conversations")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_html_text, op2_lm_scores, op3_secrets, op4_language_id, op5_decontaminate, op6_simhash, op7_sharding, op8_best_fit, op9_chat, op10_exact_dedup, op13_repair)
+    named = (op1_html_text, op2_lm_scores, op3_secrets, op4_language_id, op5_decontaminate, op6_simhash, op7_sharding, op8_best_fit, op9_chat, op10_exact_dedup, op11_vector_codes, op12_quality, op13_repair)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_html_text": HTML_SQL, "op9_chat": CHAT_SQL, "op10_exact_dedup": EXACT_SQL, "op13_repair": REPAIR_SQL}
+    return {"op1_html_text": HTML_SQL, "op9_chat": CHAT_SQL, "op10_exact_dedup": EXACT_SQL, "op11_vector_codes": CODES_SQL, "op12_quality": QUALITY_SQL, "op13_repair": REPAIR_SQL}
 
 
 #: What both turns of conversation -7 say.
