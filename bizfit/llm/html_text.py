@@ -1,29 +1,33 @@
 """Main text of web pages from parser events and text-to-tag ratios.
 
-The standard library's HTML parser streams tags and text. Block tags end a line; a
-line has its text, the tags seen in it, its container (the article or main part it
-is in, else the nearest section of the page) and a weight. The logarithm of text per
-tag is smoothed over neighbouring lines with a Gaussian; times the line's weight it is
-the line's score, and a threshold at a share of the scores' standard deviation parts
-dense lines from sparse ones. The text is all dense lines, and the lines of weight one
-that lie between dense lines of one container, since an article's one-word paragraph
-belongs to it. A page without a dense line gives its lines of weight one.
-
-Weights are features of the ratio and drop nothing by themselves: a page that has an
-article or main part gives what lies outside it OUTSIDE; navigation, forms, footers
-and the like weigh APART, as do elements of which a whole role, class or id says
-that they are a menu, header, footer, sidebar, notice, advert or reader comments;
-weaker words (related, share, tags) weigh WEAK. A word counts only if all words
-of its token do, so "social-study" and "search-history" say nothing. Since the
-threshold is relative, an article inside an element so marked is still the densest.
-
-Nothing is shuffled; each page is one row's work, in time linear in its length, and
-batches are taken 64 pages at a time.
-
-Nulls: null or empty html has empty text; null ids and urls are carried through.
-Containers with the same votes don't compete, so there are no ties to break. Rows that
-repeat each get a row; an empty table gives an empty result. Other columns, whatever
-their names, are ignored.
+The standard library's HTML parser streams tags and text. Block tags end a line; a line
+has its text, the tags seen in it, how much of it is links and the innermost section or
+marked element that it is in. The logarithm of text per tag is smoothed over neighbouring
+lines with a Gaussian, and the threshold that best parts a page's scores into two clusters
+(the largest variance between them) makes lines dense or sparse. Clusters whose ratios
+differ by less than e^APART are one, so a page of even paragraphs is dense throughout.
+
+The dense text elects a container: an article or main part with half of it, else the
+innermost section with nearly all of it. What lies in the elected container is content:
+tables, lists and one-word paragraphs are sparse but belong to it. Outside of an article
+nothing is content; outside of another container lines that are dense by themselves, too,
+so that a list of links or a line of advertising beside it goes without being marked. In a
+container that is no article the links before the first dense line go, and on a page
+without any container also those after the last.
+
+Marks. Navigation, footers and the like, and elements of which a whole role, class or id
+says that they are a menu, header, footer, sidebar, notice, advert or reader comments,
+count little when the container is elected, and go, unless the elected container is in
+them: an article in an element marked as a sidebar stays. Of elements that weaker words
+(related, share, tags) mark, dense lines of text stay. A word counts only if all words of
+its token do, so "social-study" and "search-history" say nothing.
+
+Nothing is shuffled; each page is one row's work, in time linear in its length (and a sort
+of its lines), and batches are taken 64 pages at a time.
+
+Nulls: null or empty html has empty text; null ids and urls are carried through. Of nested
+parts with the same claim the innermost is elected. Rows that repeat each get a row; an
+empty table gives an empty result. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,19 +36,23 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SIGMA = 2.0
-THRESHOLD = 0.5
-FLOOR = 0.6  # no line of a lower score is dense, however alike the lines are
-OUTSIDE, APART, WEAK = 0.12, 0.1, 0.3
+#: Clusters nearer than this, in logarithms, are one; shares of the dense text that elect an article and another container; from what share on a line is links.
+APART, ARTICLE_SHARE, SHARE, LINKS = 1.0, 0.5, 0.95, 0.5
+#: What a mark leaves of the text's say in the election: weak words, strong ones, elements that aren't shown, tags that never hold an article; an article in any of them.
+SAY = {"": 1.0, "weak": 0.3, "strong": 0.1, "header": 0.1, "hidden": 0.01, "hard": 0.0}
+ARTICLE_SAY = 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIP = frozenset("script style noscript template svg head title iframe object canvas math datalist audio video".split())
-APART_TAGS = frozenset("nav footer aside form button select textarea dialog menu fieldset".split())
+HARD_TAGS = frozenset("nav footer button select textarea dialog menu".split())
+STRONG_TAGS = frozenset("aside form fieldset".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -66,48 +74,62 @@ _SPACE = re.compile(r"\s+")
 _NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-def token_weight(token: str) -> float:
+def token_mark(token: str) -> str:
     """What a class, id or role says of its element."""
     words = [w.lower() for w in _WORD.findall(token)]
     if not words or not all(w in STRONG or w in HINTS or w in FILLER for w in words):
-        return 1.0
-    return APART if any(w in STRONG for w in words) else WEAK if any(w in HINTS for w in words) else 1.0
+        return ""
+    return "strong" if any(w in STRONG for w in words) else "weak" if any(w in HINTS for w in words) else ""
 
 
-def element_weight(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> float:
-    """The weight of an element by its own tag and attributes; 0 if it isn't shown."""
+def element_mark(tag: str, attrs: list[tuple[str, str | None]]) -> str:
+    """The mark of an element by its own tag and attributes."""
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and _NOT_SHOWN.search(value):
-            return 0.0
-    if tag in APART_TAGS or tag == "header" and not in_article:
-        return APART
-    if tag in ("html", "body", "main", "article"):
-        return 1.0
-    if tag == "header":
-        return 1.0
-    return min((token_weight(t) for name, value in attrs if name in ("class", "id", "role") and value for t in value.split()), default=1.0)
+            return "hidden"
+    if tag in HARD_TAGS:
+        return "hard"
+    if tag in STRONG_TAGS:
+        return "strong"
+    if tag in ("html", "body", "main"):
+        return ""
+    said = {token_mark(t) for name, value in attrs if name in ("class", "id", "role") and value for t in value.split()}
+    return "strong" if "strong" in said else "header" if tag == "header" else "weak" if "weak" in said else ""
+
+
+class Part(NamedTuple):
+    """A section or a marked element; its parent is an earlier one."""
+
+    parent: int
+    tag: str
+    mark: str
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    links: int
+    part: int
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, tags, container number, weight)."""
+    """Collects the lines of a page and the parts they are in."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, float]] = []
-        self.stack: list[tuple[str, int, float, bool]] = []  # tag, container, weight, skipped
-        self.articles = 0
-        self.count, self.buffer, self.tags = 0, [], 0
+        self.lines: list[Line] = []
+        self.parts = [Part(0, "", "")]
+        self.stack: list[tuple[str, int, bool]] = []  # tag, part, skipped
+        self.buffer, self.tags, self.links = [], 0, 0
         self.where: dict[str, list[int]] = defaultdict(list)  # places of each tag on the stack
         self.sections: list[int] = []  # places of sections on the stack
-        self.within: list[bool] = []  # for each line, whether it is in an article or main part
 
     def _end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.buffer)).strip()
         if text:
-            top = self.stack[-1] if self.stack else ("", 0, 1.0, False)
-            self.lines.append((text, self.tags, top[1], top[2]))
-            self.within.append(self.articles > 0)
+            self.lines.append(Line(text, self.tags, min(self.links, len(text)), self.stack[-1][1] if self.stack else 0))
             self.tags = 0
+        self.links = 0
         self.buffer.clear()
 
     def _pop(self) -> None:
@@ -115,7 +137,6 @@ class Lines(HTMLParser):
         self.where[tag].pop()
         if tag in SECTIONS:
             self.sections.pop()
-        self.articles -= tag in ("article", "main")
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS or tag in SKIP:
@@ -125,16 +146,15 @@ class Lines(HTMLParser):
             return
         if tag in ("p", "li", "option") and self.stack and self.stack[-1][0] == tag:
             self._pop()
-        _, container, weight, skip = self.stack[-1] if self.stack else ("", 0, 1.0, False)
+        _, part, skip = self.stack[-1] if self.stack else ("", 0, False)
+        mark = element_mark(tag, attrs)
+        if mark or tag in SECTIONS:
+            self.parts.append(Part(part, tag, mark))
+            part = len(self.parts) - 1
         if tag in SECTIONS:
-            if not self.articles:  # an article is one container, whatever is in it
-                self.count += 1
-                container = self.count
             self.sections.append(len(self.stack))
-        weight = min(weight, element_weight(tag, attrs, self.articles > 0))
-        self.articles += tag in ("article", "main")
         self.where[tag].append(len(self.stack))
-        self.stack.append((tag, container, weight, skip or tag in SKIP))
+        self.stack.append((tag, part, skip or tag in SKIP))
 
     def handle_startendtag(self, tag, attrs):
         if tag in BLOCKS:
@@ -154,8 +174,10 @@ class Lines(HTMLParser):
             self._pop()
 
     def handle_data(self, data):
-        if not (self.stack and self.stack[-1][3]):
+        if not (self.stack and self.stack[-1][2]):
             self.buffer.append(data)
+            if self.where.get("a"):
+                self.links += len(_SPACE.sub(" ", data).strip())
 
     def close(self):
         super().close()
@@ -172,38 +194,72 @@ def smooth(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return pad(ratio) / pad(np.ones(len(ratio)))
 
 
-def weights(lines: list[tuple[str, int, int, float]], within: list[bool]) -> np.ndarray:
-    """The lines' weights, those outside an article or main part lowered if it has a line of weight one."""
-    w = np.array([x[3] for x in lines], float)
-    inside = np.array(within, bool)
-    if (inside & (w == 1)).any():
-        w = np.where(inside, w, np.minimum(w, OUTSIDE))
-    return w
+def threshold(scores: np.ndarray) -> float:
+    """The least score of the upper of two clusters; minus infinity where there is only one."""
+    x = np.sort(scores)
+    n, sums = np.arange(1, len(x)), np.cumsum(x)
+    if not len(n):
+        return -np.inf
+    below, above = sums[:-1] / n, (sums[-1] - sums[:-1]) / (len(x) - n)
+    k = int(np.argmax(n * (len(x) - n) * (above - below) ** 2))
+    return float(x[k + 1]) if above[k] - below[k] >= APART else -np.inf
 
 
-def scores(lines: list[tuple[str, int, int, float]], weight: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
-    """Smoothed log of text per tag, weighted."""
-    ratio = np.array([len(x[0]) / max(1, x[1]) for x in lines])
-    return weight * smooth(np.log1p(ratio), sigma)
+def elect(parts: list[Part], say: np.ndarray) -> int:
+    """The part whose text is the content; ``say`` is what the dense lines of each part, with those inside it, have to say. -1 if nothing has."""
+    total = say[0]
+    if total <= 0:
+        return -1
+    articles = [k for k, p in enumerate(parts) if p.tag in ("article", "main") and say[k] >= ARTICLE_SHARE * total]
+    if articles:
+        return articles[-1]  # they are nested, and the inner is later
+    return max(k for k, p in enumerate(parts) if say[k] >= SHARE * total and (k == 0 or p.tag in SECTIONS))
 
 
-def region(lines: list[tuple[str, int, int, float]], within: list[bool], sigma: float = SIGMA, threshold: float = THRESHOLD) -> list[bool]:
+def region(lines: list[Line], parts: list[Part], sigma: float = SIGMA) -> list[bool]:
     """Which lines belong to the content."""
-    weight = weights(lines, within)
-    score = scores(lines, weight, sigma)
-    dense = score >= max(FLOOR if threshold else 0.0, threshold * score.std())
-    if not dense.any():
-        return [w == 1 for w in weight.tolist()]
-    first: dict[int, int] = {}
-    last: dict[int, int] = {}
-    for k in np.nonzero(dense & (weight == 1))[0].tolist():
-        container = lines[k][2]
-        first.setdefault(container, k)
-        last[container] = k
-    return [bool(d) or weight[k] == 1 and first.get(x[2], k + 1) <= k <= last.get(x[2], -1) for k, (x, d) in enumerate(zip(lines, dense, strict=True))]
-
-
-def extract(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD) -> str:
+    raw = np.log1p([len(x.text) / max(1, x.tags) for x in lines])
+    score = smooth(raw, sigma)
+    bound = threshold(score)
+    weight, say = np.ones(len(parts)), np.zeros(len(parts))
+    for k, p in enumerate(parts[1:], 1):
+        weight[k] = weight[p.parent] * SAY[p.mark]
+        if p.tag in ("article", "main") and not p.mark and weight[k] < ARTICLE_SAY:
+            weight[k] = ARTICLE_SAY
+    for x, dense in zip(lines, score >= bound, strict=True):
+        say[x.part] += weight[x.part] * len(x.text) * dense
+    for k in range(len(parts) - 1, 0, -1):
+        say[parts[k].parent] += say[k]
+    chosen = elect(parts, say)
+    if chosen < 0:
+        return [False] * len(lines)
+    around, up = {0, chosen}, chosen
+    while up:
+        up = parts[up].parent
+        around.add(up)
+    is_article, is_page = parts[chosen].tag in ("article", "main"), parts[chosen].tag in ("", "html", "body")
+    inside, gone, weak = ([False] * len(parts) for _ in range(3))
+    inside[0] = chosen == 0
+    for k, p in enumerate(parts[1:], 1):
+        inside[k] = k == chosen or inside[p.parent]
+        if k not in around:
+            soft = p.mark == "header" and inside[k] and not is_page  # a heading of the article itself
+            gone[k] = gone[p.parent] or p.mark in ("hard", "strong", "hidden") or p.mark == "header" and not soft
+            weak[k] = weak[p.parent] or p.mark == "weak"
+    links = [x.links >= LINKS * len(x.text) for x in lines]
+    solid = [bool(r >= bound and s >= bound) and not a for r, s, a in zip(raw, score, links, strict=True)]
+    keep = [not gone[x.part] and (solid[k] if weak[x.part] or not inside[x.part] else True) and (inside[x.part] or not is_article) for k, x in enumerate(lines)]
+    if not is_article and bound > -np.inf:
+        ends = [range(len(lines))] + [range(len(lines) - 1, -1, -1)] * is_page
+        for end in ends:  # links before the first solid line
+            for k in end:
+                if keep[k] and solid[k]:
+                    break
+                keep[k] = keep[k] and not links[k]
+    return keep
+
+
+def extract(html: str | None, sigma: float = SIGMA) -> str:
     """Main text of one page."""
     if not html:
         return ""
@@ -212,8 +268,8 @@ def extract(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD
     parser.close()
     if not parser.lines:
         return ""
-    keep = region(parser.lines, parser.within, sigma, threshold)
-    return " ".join(x[0] for x, k in zip(parser.lines, keep, strict=True) if k)
+    keep = region(parser.lines, parser.parts, sigma)
+    return " ".join(x.text for x, k in zip(parser.lines, keep, strict=True) if k)
 
 
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
