@@ -4,8 +4,6 @@ import random
 import sys
 from pathlib import Path
 
-import xxhash
-
 sys.path.insert(0, str(Path(__file__).parents[2]))
 import corpus_pipeline
 
@@ -14,13 +12,9 @@ from bizfit.llm.packing import CAPACITIES
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def plain_fingerprint(text):
+def shingle_set(text):
     w = text.encode().lower().split()
-    if not w:
-        return 0
-    shingles = [b" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or [b" ".join(w)]
-    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)])
 
 
 def plain_survivors(rows, items):
@@ -31,13 +25,13 @@ def plain_survivors(rows, items):
         key = t.encode().lower()
         largest[key] = max(i, largest.get(key, i))
     kept = {i: kept[i] for i in largest.values()}
-    fps, label = {i: plain_fingerprint(t) for i, t in kept.items()}, {i: i for i in kept}
+    sets, label = {i: shingle_set(t) for i, t in kept.items()}, {i: i for i in kept}
     moved = True
     while moved:
         moved = False
         for a in kept:
             for b in kept:
-                if label[b] < label[a] and (fps[a] ^ fps[b]).bit_count() <= 4:
+                if label[b] < label[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
                     label[a], moved = label[b], True
     kept = {i: t for i, t in kept.items() if label[i] == i}
     return {i: t for i, t in kept.items() if not any(f" {item} " in f" {t.lower()} " for item in items)}
@@ -51,6 +45,9 @@ def make(rng):
     rows += [(100 + k, rows[k][1].upper()) for k in range(5)]  # exact copies, some of them of one another
     rows += [(110, rows[0][1]), (111, rows[0][1])]
     long = prose(2000, "e")
+    words = prose(400, "o").split()
+    for k in range(12):  # from near 1 down to under 0.8: at 4 bits of a fingerprint most of these are apart
+        rows.append((500 + k, " ".join("oxx" if j % (400 // (3 * k + 1)) == 7 else w for j, w in enumerate(words))))
     rows += [(200, long), (201, long + " tail"), (202, "head " + long), (203, long.replace(" e", " o", 1))]
     rows += [(300 + k, f"{prose(60, 'o')} {items[k]} {prose(60, 'o')}") for k in range(3)]
     rows += [(400, None), (401, ""), (402, " 12 .. 34"), (403, prose(9000, "e"))]
