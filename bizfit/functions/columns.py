@@ -104,20 +104,30 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.when(a > 1.0, 1.0).otherwise(a)))
 
 
+def _number(clean: Column) -> Column:
+    """A decimal number written out in full or with an exponent; null for anything else."""
+    return F.when(clean.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), clean).try_cast("double")
+
+
 def whole_number(text: Column) -> Column:
-    """An integer from text such as 1,250, 12.0 or the size band 11-50, which gives its upper end."""
-    clean = F.regexp_replace(F.trim(text), "[, ]", "")
-    upper = F.regexp_extract(clean, r"^\d+(?:-|–|to)(\d+)$", 1)
-    number = F.when(upper != "", upper).otherwise(F.regexp_replace(clean, r"\+$", ""))
-    return number.try_cast("double").try_cast("int")
+    """An integer from text such as 1,250, 12.9 (cut off) or the size band 11-50, which gives its upper end; so a minus sign is a band's, too."""
+    clean = F.translate(F.trim(text), "$,€£ ", "")
+    return _number(F.substring_index(clean, "-", -1)).try_cast("int")
 
 
 def money(text: Column) -> Column:
     """A sum from text such as $5.2M, 900K, 2B or 1,250,000."""
-    clean = F.upper(F.regexp_replace(F.trim(text), "[$,€£ ]", ""))
-    scale = F.when(clean.endswith("B"), 1e9).when(clean.endswith("M"), 1e6).when(clean.endswith("K"), 1e3).otherwise(1.0)
-    value = F.regexp_replace(clean, "[KMB]$", "").try_cast("double") * scale
-    return F.when(~F.isnan(value) & (F.abs(value) < 1e300), value)
+    clean = F.lower(F.translate(F.trim(text), "$,€£ ", ""))
+    scale = F.when(clean.endswith("b"), 1e9).when(clean.endswith("m"), 1e6).when(clean.endswith("k"), 1e3).otherwise(1.0)
+    value = _number(F.regexp_replace(clean, "[kmb]$", "")) * scale
+    return F.when(F.abs(value) < 1e300, value)
+
+
+def founding_year(text: Column, low: int, high: Column) -> Column:
+    """The first four of all digits in the text, if they are a year from low to high."""
+    digits = F.left(F.regexp_replace(text, r"\D", ""), F.lit(4))
+    y = F.when(F.char_length(digits) == 4, digits).try_cast("int")
+    return F.when((y >= low) & (y <= high), y)
 
 
 def year_between(text: Column, low: int, high: Column) -> Column:

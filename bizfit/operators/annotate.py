@@ -66,12 +66,16 @@ def radius_counts(points: DataFrame, group: str, radius_km: float = RADIUS_KM) -
 
 
 def peer_density(companies: DataFrame, radius_km: float = RADIUS_KM) -> DataFrame:
-    """A1: sets peer_count_in_niche: same industry within the radius, or at the postcode where a row has no coordinates; null where neither is known."""
-    rows = companies.drop("peer_count_in_niche").withColumns({"_industry": C.blank(F.col("industry")), "_code": C.postcode5(F.col("postcode"))})
+    """A1: sets peer_count_in_niche: same industry within the radius, or at the postcode where a row has no coordinates.
+
+    A row without an industry, or with neither place, keeps the count that it has, which is null unless it came with one.
+    """
+    had = F.col("peer_count_in_niche") if "peer_count_in_niche" in companies.columns else F.lit(None)
+    rows = companies.withColumn("_had", had.cast("long")).drop("peer_count_in_niche").withColumns({"_industry": C.blank(F.col("industry")), "_code": C.postcode5(F.col("postcode"))})
     near = radius_counts(rows, "_industry", radius_km)
     by_code = rows.filter("_code IS NOT NULL").groupBy("_industry", "_code").agg(F.count("*").alias("_there"))
     out = rows.join(near, ["_industry", "latitude", "longitude"], "left").join(by_code, ["_industry", "_code"], "left")
-    return out.withColumn("peer_count_in_niche", F.coalesce(F.col("within") - 1, F.col("_there") - 1)).drop("within", "_there", "_industry", "_code")
+    return out.withColumn("peer_count_in_niche", F.coalesce(F.col("within") - 1, F.col("_there") - 1, "_had")).drop("within", "_there", "_industry", "_code", "_had")
 
 
 def peers_unmeasured(annotated: DataFrame) -> DataFrame:

@@ -113,7 +113,8 @@ def completeness() -> Column:
     return F.struct(F.coalesce(contacts, F.lit(0)).alias("contact_fields"), F.col("web")["fetched_at"].isNotNull().cast("int").alias("crawled"), fields.alias("fields"))
 
 
-FILLED = ["domain", "website", "industry", "city", "state", "postcode", "employee_count", "revenue_usd", "founded_year", "source_url"]
+#: What a survivor learns from the others, besides coordinates, contacts and the page's signals.
+FILLED = ["website", "domain", "industry", "naics", "city", "state", "postcode", "founded_year", "employee_count", "revenue_usd", "peer_count_in_niche"]
 
 
 def dedupe(companies: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -128,18 +129,18 @@ def dedupe(companies: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = cut(connected_components(edges, "a", "b"), "dedupe-groups").withColumnRenamed("node", "pos").withColumnRenamed("component", "group")
     grouped = companies.join(groups, "pos")
     alone = companies.join(groups.select("pos"), "pos", "left_anti")
-    order = F.col("pos")
+    order, filled = F.col("pos"), [c for c in FILLED if c in companies.columns]
     first = lambda c: F.min_by(c, F.when(c.isNotNull(), order))
     best = F.struct(completeness().alias("k"), (-order).alias("p"))
     where = F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), F.struct("latitude", "longitude"))
     some = F.when(F.size("contacts") > 0, F.col("contacts"))
     crawled = F.when(F.col("web")["fetched_at"].isNotNull(), F.col("web"))
     merged = grouped.groupBy("group").agg(
-        F.max_by(F.struct(*companies.columns), best).alias("top"), *[first(F.col(c)).alias(f"_{c}") for c in FILLED],
+        F.max_by(F.struct(*companies.columns), best).alias("top"), *[first(F.col(c)).alias(f"_{c}") for c in filled],
         first(where).alias("_where"), first(some).alias("_contacts"), first(crawled).alias("_web"),
     )
     top = F.col("top")
-    fill = {c: F.coalesce(top[c], F.col(f"_{c}")) for c in FILLED}
+    fill = {c: F.coalesce(top[c], F.col(f"_{c}")) for c in filled}
     has_place = top["latitude"].isNotNull() & top["longitude"].isNotNull()
     fill |= {c: F.when(has_place, top[c]).otherwise(F.coalesce(F.col("_where")[c], top[c])) for c in ("latitude", "longitude")}
     fill |= {"contacts": F.when(F.size(top["contacts"]) > 0, top["contacts"]).otherwise(F.coalesce("_contacts", top["contacts"])), "web": F.when(top["web"]["fetched_at"].isNotNull(), top["web"]).otherwise(F.coalesce("_web", top["web"]))}

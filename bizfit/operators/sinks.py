@@ -1,8 +1,4 @@
-"""Writers: versioned upserts, append-once history, payloads, CRM exports, snapshots.
-
-There is no table format here, so an upsert writes a new version into a new folder;
-readers take the folder they are given. Paths are the caller's.
-"""
+"""Writers of CRM exports and snapshots. Paths are the caller's."""
 
 from __future__ import annotations
 
@@ -20,40 +16,6 @@ PRESETS = {
 }
 
 
-def upsert(base: DataFrame, new: DataFrame, key: str, path: str, order: str | None = None) -> DataFrame:
-    """K1, K2: base with the rows of new put in place by key, nested contacts replaced whole; written to path and read back.
-
-    Of several new rows with a key the one with the highest ``order`` is taken, or,
-    without an order, the one that sorts last by its own contents.
-    """
-    values = F.struct(*[F.col(c) for c in base.columns])
-    rank = F.col(order) if order else F.to_json(values)
-    newest = new.groupBy(F.col(key).alias("_key")).agg(F.max_by(values, rank).alias("_row")).select("_row.*")
-    base.join(newest.select(key), key, "left_anti").select(*base.columns).unionByName(newest).write.parquet(path)
-    return base.sparkSession.read.schema(base.schema).parquet(path)
-
-
-def append_payloads(rows: DataFrame, key: str, path: str, at: str) -> DataFrame:
-    """K3: one JSON payload per row, appended."""
-    out = rows.select(F.col(key).alias("company_id"), F.to_json(F.struct(*[c for c in rows.columns if c != key])).alias("payload"), F.lit(at).alias("fetched_at"))
-    out.write.mode("append").parquet(path)
-    return rows.sparkSession.read.schema(out.schema).parquet(path)
-
-
-def append_scores(scores: DataFrame, path: str, key: str = "cache_key") -> DataFrame:
-    """K4: the history in the folder ``path``, after those scores were appended whose key it doesn't have; of equal keys one.
-
-    Appending the same scores again changes nothing.
-    """
-    spark = scores.sparkSession
-    fresh = scores.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*scores.columns), F.to_json(F.struct(*scores.columns))).alias("_row")).select("_row.*")
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
-        fresh = fresh.join(spark.read.schema(scores.schema).parquet(path).select(key), key, "left_anti")
-    fresh.select(*scores.columns).write.mode("append").parquet(path)
-    return spark.read.schema(scores.schema).parquet(path)
-
-
 def crm_export(scored: DataFrame, preset: str = "generic", ids: DataFrame | None = None, weights: dict[str, float] | None = None) -> DataFrame:
     """K5: sixteen text columns under a preset's headers; null is empty; best score first when written.
 

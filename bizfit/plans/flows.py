@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bizfit.functions import columns as C
-from bizfit.operators import annotate, contacts, match, pages, score, sinks
+from bizfit.operators import annotate, contacts, match, pages, score, store
 from bizfit.operators.shared import cut
+from bizfit.operators.store import KeyedTable
 from bizfit.sources import readers
 
 
@@ -43,10 +44,10 @@ def refresh_batch(companies: DataFrame, fetched: DataFrame, facts: DataFrame, as
 
 
 @dataclass(frozen=True)
-class Store:
-    """Folders that a refresh writes: a new version of the companies, raw payloads and the score history."""
+class Stores:
+    """What a refresh writes: the companies, and the folders of raw payloads and of the score history."""
 
-    companies: str
+    companies: KeyedTable
     payloads: str
     scores: str
 
@@ -54,16 +55,27 @@ class Store:
 HISTORY = ["company_id", "cache_key", "score", "confidence", "covered_weight", "scored_at"]
 
 
-def save_refresh(companies: DataFrame, scored: DataFrame, store: Store, at: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def save_refresh(scored: DataFrame, stores: Stores, at: str, writer: str = "refresh", epoch: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """X3's writes: (K1 companies with the batch in place, K3 raw payloads, K4 score history), as they are after it.
 
-    A replay of the batch adds no score, since its keys are there.
+    The companies are the last to change, and their version is the commit. A batch with
+    an epoch that is replayed after it, or after it broke off before, leaves what one
+    run would: its payloads replace their own, its scores' keys are there, its version is.
     """
-    scored = cut(scored, "refresh-scored")
-    updated = sinks.upsert(companies, scored.select(*companies.columns), "id", store.companies)
-    payloads = sinks.append_payloads(scored.select("id", "website", "web", "contacts"), "id", store.payloads, at)
+    scored, table = cut(scored, "refresh-scored"), stores.companies
+    label = None if epoch is None else f"{writer}-{epoch}"
+    payloads = store.append_payloads(scored.select("id", "website", "web", "contacts"), "id", stores.payloads, at, label)
     rows = scored.select(F.col("id").alias("company_id"), "cache_key", "score", "confidence", "covered_weight", F.lit(at).alias("scored_at"))
-    return updated, payloads, sinks.append_scores(rows.select(*HISTORY), store.scores)
+    history = store.append_scores(rows.select(*HISTORY), stores.scores)
+    return table.upsert(scored.select(*table.schema.names), writer=writer, epoch=epoch), payloads, history
+
+
+def refresh_stored(ids: DataFrame, stores: Stores, fetched: DataFrame, facts: DataFrame, as_of_year: int, at: str, writer: str, epoch: int) -> None:
+    """X4's step: the companies with these ids, as the last step left them, are refreshed and saved, once an epoch."""
+    if stores.companies.epoch(writer) >= epoch:
+        return
+    batch = stores.companies.read().join(ids.select("id").distinct(), "id", "left_semi")
+    save_refresh(refresh_batch(batch, fetched, facts, as_of_year), stores, at, writer, epoch)
 
 
 def score_list(lists: DataFrame, facts: DataFrame, as_of_year: int) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bizfit.functions import columns as C
-from bizfit.operators import annotate, contacts, match, pages, score, search, sinks
+from bizfit.operators import annotate, contacts, match, pages, score, search, sinks, store
 from bizfit.operators.shared import cut, fresh_path
 from bizfit.plans.demo import AS_OF_YEAR, FLAT, PAGES, companies, flat, nest
 from bizfit.plans.demo import pages as demo_pages
@@ -122,15 +122,22 @@ k AS (SELECT f.*, m.grp, row_number() OVER (PARTITION BY m.grp ORDER BY {COMPLET
   CAST(website IS NOT NULL AS INT) + CAST(founded_year IS NOT NULL AS INT) + CAST(employee_count IS NOT NULL AS INT) DESC, f.pos) AS turn FROM m JOIN f ON f.pos = m.pos)"""
 SURVIVORS = f"""{GROUPED.replace("k AS (SELECT f.*", "k0 AS (SELECT f.*", 1)}, top AS (SELECT * FROM k0 WHERE turn = 1),
 given AS (SELECT grp, arg_min(website, pos) FILTER (WHERE website IS NOT NULL) AS site, arg_min(founded_year, pos) FILTER (WHERE founded_year IS NOT NULL) AS founded,
-  arg_min({{'a': latitude, 'b': longitude}}, pos) FILTER (WHERE latitude IS NOT NULL AND longitude IS NOT NULL) AS place, max(CAST(has_contact AS INT)) AS contacts FROM k0 GROUP BY grp)
-SELECT id, pos, name, coalesce(website, site) AS website, coalesce(founded_year, founded) AS founded_year, coalesce(latitude, place.a) AS latitude, coalesce(longitude, place.b) AS longitude, contacts AS n_contacts
+  arg_min({{'a': latitude, 'b': longitude}}, pos) FILTER (WHERE latitude IS NOT NULL AND longitude IS NOT NULL) AS place, max(CAST(has_contact AS INT)) AS contacts,
+  arg_min(employee_count, pos) FILTER (WHERE employee_count IS NOT NULL) AS staff, arg_min(revenue_usd, pos) FILTER (WHERE revenue_usd IS NOT NULL) AS sales, arg_min(peer_count_in_niche, pos) FILTER (WHERE peer_count_in_niche IS NOT NULL) AS peers,
+  arg_min({{'y': latest_content_year, 'b': page_bytes}}, pos) FILTER (WHERE crawled) AS page, arg_min({{'n': contact_name, 'e': email, 'p': phone}}, pos) FILTER (WHERE has_contact) AS person FROM k0 GROUP BY grp)
+SELECT id, pos, name, coalesce(website, site) AS website, industry, city, state, postcode, coalesce(founded_year, founded) AS founded_year, coalesce(employee_count, staff) AS employee_count, coalesce(revenue_usd, sales) AS revenue_usd,
+  coalesce(peer_count_in_niche, peers) AS peer_count_in_niche, coalesce(latitude, place.a) AS latitude, coalesce(longitude, place.b) AS longitude, contacts AS n_contacts, CASE WHEN has_contact THEN contact_name ELSE person.n END AS contact_name,
+  CASE WHEN has_contact THEN email ELSE person.e END AS email, CASE WHEN has_contact THEN phone ELSE person.p END AS phone, CASE WHEN crawled THEN latest_content_year ELSE page.y END AS latest_content_year, CASE WHEN crawled THEN page_bytes ELSE page.b END AS page_bytes
   FROM top JOIN given USING (grp)
-UNION ALL SELECT id, pos, name, website, founded_year, latitude, longitude, CAST(has_contact AS INT) FROM f WHERE pos NOT IN (SELECT pos FROM m)"""
+UNION ALL SELECT id, pos, name, website, industry, city, state, postcode, founded_year, employee_count, revenue_usd, peer_count_in_niche, latitude, longitude, CAST(has_contact AS INT), contact_name, email, phone, latest_content_year, page_bytes FROM f WHERE pos NOT IN (SELECT pos FROM m)"""
 
 
 @query("D8_survivorship", SURVIVORS)
 def survivorship(s: SparkSession, d: str) -> DataFrame:
-    return match.dedupe(companies(s, d))[0].select("id", "pos", "name", "website", "founded_year", "latitude", "longitude", F.size("contacts").alias("n_contacts"))
+    rows = match.dedupe(companies(s, d))[0]
+    first = F.get("contacts", F.lit(0))
+    columns = ["id", "pos", "name", "website", "industry", "city", "state", "postcode", "founded_year", "employee_count", "revenue_usd", "peer_count_in_niche", "latitude", "longitude"]
+    return rows.select(*columns, F.size("contacts").alias("n_contacts"), first["name"].alias("contact_name"), first["email"].alias("email"), first["phone"].alias("phone"), "web.latest_content_year", "web.page_bytes")
 
 
 AUDIT = f"""{GROUPED.replace("k AS (SELECT f.*", "k0 AS (SELECT f.*", 1)}, links AS (SELECT a AS pos, similarity, reason FROM accepted UNION ALL SELECT b, similarity, reason FROM accepted),
@@ -207,7 +214,15 @@ def peers_radius(s: SparkSession, d: str) -> DataFrame:
 PEERS = f"""WITH f AS ({FLAT}), g AS (SELECT x.id, count(y.id) - 1 AS peers FROM f x JOIN f y ON x.industry = y.industry AND {HAVERSINE.format(a='x', b='y')} <= 15 WHERE x.latitude IS NOT NULL AND y.latitude IS NOT NULL GROUP BY x.id)
 SELECT f.id, coalesce(g.peers, count(*) OVER (PARTITION BY industry, postcode) - 1) AS peer_count_in_niche FROM f LEFT JOIN g USING (id)"""
 query("A1_peer_density", PEERS)(lambda s, d: annotate.peer_density(companies(s, d)).select("id", "peer_count_in_niche"))
-query("A9_peers_unmeasured", f"SELECT count(*) FILTER (WHERE industry IS NULL) AS unmeasured FROM ({FLAT})")(lambda s, d: annotate.peers_unmeasured(annotate.peer_density(companies(s, d))))
+
+
+@query("A9_peers_unmeasured", f"SELECT count(*) FILTER (WHERE pos % 10 = 0 OR pos % 6 = 0 AND latitude IS NULL) AS unmeasured FROM ({FLAT})")
+def peers_unmeasured(s: SparkSession, d: str) -> DataFrame:
+    """Over companies some of which have no industry, or neither coordinates nor a postcode."""
+    lost = {"industry": F.when(F.expr("pos % 10 <> 0"), F.col("industry")), "postcode": F.when(F.expr("pos % 6 <> 0"), F.col("postcode")), "peer_count_in_niche": F.lit(None).cast("long")}
+    return annotate.peers_unmeasured(annotate.peer_density(companies(s, d).withColumns(lost)))
+
+
 CHAINS = f"{KEYS}, c AS (SELECT key_name, count(DISTINCT CASE WHEN latitude IS NOT NULL THEN CAST(round(latitude, 3) AS STRING) || ',' || CAST(round(longitude, 3) AS STRING) ELSE id END) AS k FROM n GROUP BY 1) SELECT id, k AS sibling_location_count FROM n JOIN c USING (key_name)"
 query("A2_chain_locations", CHAINS)(lambda s, d: annotate.chain_locations(companies(s, d)).select("id", "sibling_location_count"))
 query("A3_chain_flag_count", f"SELECT count(*) FILTER (WHERE sibling_location_count >= 3) AS in_chains FROM ({CHAINS})")(lambda s, d: annotate.chain_flag_count(annotate.chain_locations(companies(s, d))))
@@ -328,6 +343,15 @@ def scored(s: SparkSession, d: str) -> DataFrame:
     return score.score_table(companies(s, d), AS_OF_YEAR)
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """Sorted rows with their place from 1: numbered within each sorted file, then by the files' sizes, so no rows meet in one task."""
+    rows = cut(rows.select("id", *[c for c in ("name", "score", "score_raw", "company_id") if c in rows.columns and c != "id"], F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_k")), "in-order")
+    ends = rows.groupBy("_part").agg(F.min("_k").alias("_low"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a task
+    starts = F.broadcast(ends.select("_part", "_low", before.alias("_before")))
+    return rows.join(starts, "_part").withColumn("place", F.col("_before") + F.col("_k") - F.col("_low") + 1).drop("_part", "_k", "_low", "_before")
+
+
 query("E6_score_table", f"{TOTAL} SELECT id, score_raw, round(covered, 4) AS covered_weight FROM r")(lambda s, d: scored(s, d).select("id", "score_raw", "covered_weight"))
 query("E4_total_score", f"{TOTAL} SELECT id, score_raw, {', '.join(f'{k} * e_{k} AS c_{k}' for k in score.FACTORS)} FROM r")(lambda s, d: scored(s, d).select("id", "score_raw", *[F.col("contributions")[k].alias(f"c_{k}") for k in score.FACTORS]))
 query("E3_effective_weights", f"{TOTAL} SELECT id, {', '.join(f'e_{k}' for k in score.FACTORS)} FROM r")(lambda s, d: scored(s, d).select("id", *[F.col("effective_weights")[k].alias(f"e_{k}") for k in score.FACTORS]))
@@ -356,10 +380,11 @@ SURE = "CASE WHEN sure >= 0.7e0 THEN 'high' WHEN sure >= 0.4e0 THEN 'medium' ELS
 query("E5_overall_confidence", f"{CONFIDENCE} SELECT id, {SURE} AS confidence, {', '.join(f'conf_{k}' for k in score.FACTORS)} FROM o")(lambda s, d: scored(s, d).select("id", "confidence", *[F.col(f"f_{k}")["confidence"].alias(f"conf_{k}") for k in score.FACTORS]))
 query("E1h_evidence_excerpt")(lambda s, d: scored(s, d).select("id", F.explode("f_succession.evidence").alias("e")).select("id", "e.*"))
 query("E7_content_key")(lambda s, d: score.content_key(companies(s, d), AS_OF_YEAR).select("id", "cache_key"))
-query("W3_rank_by_score", f"{TOTAL} SELECT id, score_raw FROM r")(lambda s, d: score.ranked(scored(s, d)).select("id", "score_raw"))
+query("W3_rank_by_score", f"{TOTAL} SELECT id, score_raw, row_number() OVER (ORDER BY round(score_raw, 1) DESC, id) AS place FROM r")(lambda s, d: in_order(score.ranked(scored(s, d))).select("id", "score_raw", "place"))
 query("F5_min_score", f"{TOTAL} SELECT id FROM r WHERE round(score_raw, 1) >= 60")(lambda s, d: search.min_score(scored(s, d), 60.0).select("id"))
 query("W4_page_slice", f"{TOTAL} SELECT id, round(score_raw, 1) AS score, count(*) OVER () AS total FROM r ORDER BY score DESC, id LIMIT 20 OFFSET 20")(lambda s, d: search.page(scored(s, d), 20, 20).select("id", "score", "total"))
-query("W5_sort_modes", f"{TOTAL} SELECT id, name, round(score_raw, 1) AS score FROM r")(lambda s, d: search.sort_modes(scored(s, d), "name").select("id", "name", "score"))
+_natural = r"regexp_replace(regexp_replace(lower(name), '([0-9]+)', '000000000000000000\1', 'g'), '0+([0-9]{18})', '\1', 'g')"
+query("W5_sort_modes", f"{TOTAL} SELECT id, name, round(score_raw, 1) AS score, row_number() OVER (ORDER BY {_natural}, round(score_raw, 1) DESC, id) AS place FROM r")(lambda s, d: in_order(search.sort_modes(scored(s, d), "name")).select("id", "name", "score", "place"))
 
 
 @query("E8_rescore_changed", f"{TOTAL} SELECT id, score_raw FROM r WHERE pos % 3 = 0")
@@ -514,8 +539,8 @@ query("P8_document_phones", f"SELECT doc_id, phone FROM ({FOUND}) WHERE phone IS
     lambda s, d: pages.page_contacts(pages.page_signals(_documents_as_pages(s, d), AS_OF_YEAR)).select("doc_id", "contact.phone").filter("phone IS NOT NULL")
 )
 SECONDARY = f"""WITH g AS ({PAGES}), k AS (SELECT * FROM ({LINKS}) WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY kind, place) <= 2),
-m AS (SELECT k.url, sum(1 + length(g.html)) AS more FROM k JOIN g ON g.url = k.link GROUP BY 1) SELECT page_id, CAST(length(html) + coalesce(more, 0) AS INT) AS chars FROM g LEFT JOIN m USING (url)"""
-query("J8_secondary_pages", SECONDARY)(lambda s, d: pages.secondary_pages(demo_pages(s, d), demo_pages(s, d)).select("page_id", F.length("html").alias("chars")))
+m AS (SELECT k.url, string_agg(g.html, chr(10) ORDER BY k.kind, k.place, g.html) AS more FROM k JOIN g ON g.url = k.link GROUP BY 1) SELECT page_id, sha256(html || coalesce(chr(10) || more, '')) AS html_sha256 FROM g LEFT JOIN m USING (url)"""
+query("J8_secondary_pages", SECONDARY)(lambda s, d: pages.secondary_pages(demo_pages(s, d), demo_pages(s, d)).select("page_id", F.sha2("html", 256).alias("html_sha256")))
 
 #: No demo name has a word of a trade, so a name gives two spellings at most: with and without generic and short words.
 TOKENS = "list_filter(string_split(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '')"
@@ -561,18 +586,19 @@ query("K5_crm_export", EXPORTED)(lambda s, d: sinks.crm_export(scored(s, d)))
 @query("K1_company_upsert", f"SELECT id, CASE WHEN pos % 5 = 0 THEN upper(name) ELSE name END AS name FROM ({FLAT})")
 def company_upsert(s: SparkSession, d: str) -> DataFrame:
     rows = companies(s, d)
-    return sinks.upsert(rows, rows.filter("pos % 5 = 0").withColumn("name", F.upper("name")), "id", fresh_path(s, "companies")).select("id", "name")
+    table = store.keyed_table(rows, fresh_path(s, "companies"), "id")
+    return table.upsert(rows.filter("pos % 5 = 0").withColumn("name", F.upper("name"))).select("id", "name")
 
 
 @query("K4_score_append", f"{TOTAL} SELECT id FROM r")
 def score_append(s: SparkSession, d: str) -> DataFrame:
     rows, path = score.content_key(companies(s, d), AS_OF_YEAR).select("id", "pos", "cache_key"), fresh_path(s, "scores")
     for part in (rows.filter("pos % 2 = 0"), rows, rows):
-        history = sinks.append_scores(part, path)
+        history = store.append_scores(part, path)
     return history.select("id")
 
 
-query("K3_raw_payload_append", f"SELECT id AS company_id, '2026-09-01' AS fetched_at, CAST(has_contact AS INT) AS n_contacts, raw_text_excerpt AS excerpt FROM ({FLAT})")(lambda s, d: sinks.append_payloads(companies(s, d).select("id", "web", "contacts"), "id", fresh_path(s, "payloads"), "2026-09-01").select(
+query("K3_raw_payload_append", f"SELECT id AS company_id, '2026-09-01' AS fetched_at, CAST(has_contact AS INT) AS n_contacts, raw_text_excerpt AS excerpt FROM ({FLAT})")(lambda s, d: store.append_payloads(companies(s, d).select("id", "web", "contacts"), "id", fresh_path(s, "payloads"), "2026-09-01").select(
     "company_id", "fetched_at", F.coalesce(F.json_array_length(F.get_json_object("payload", "$.contacts")), F.lit(0)).alias("n_contacts"), F.get_json_object("payload", "$.web.raw_text_excerpt").alias("excerpt")))
 EVENTS = "SELECT DISTINCT user_id AS company_id, event_type, value FROM events"
 

@@ -5,15 +5,17 @@ The rows are derived in SQL that Spark and DuckDB read alike, so both start from
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bizfit.operators import annotate, contacts, match, pages, sinks
+from bizfit.operators import annotate, contacts, match, pages, sinks, store
 from bizfit.operators.shared import fresh_path
 from bizfit.plans import flows
 from bizfit.plans.demo import AS_OF_YEAR, FLAT, PAGES, companies, flat
 from bizfit.plans.demo import pages as demo_pages
-from bizfit.plans.queries import TOTAL, contact_sql, mail_facts, proof_sql, query, scored
+from bizfit.plans.queries import QUALITY, SQL, TOTAL, contact_sql, mail_facts, proof_sql, query, scored
 from bizfit.sources import readers
 from bizfit.streaming.refresh import stream_refreshes
 
@@ -54,10 +56,12 @@ LEADS_SQL = """
 SELECT c_custkey AS pos, CASE WHEN c_custkey % 11 <> 0 THEN c_name END AS name, CASE WHEN c_custkey % 2 = 0 THEN 'www.x' || CAST(c_custkey AS STRING) || '.com' END AS site,
   CASE c_custkey % 4 WHEN 0 THEN '11-50' WHEN 1 THEN '1,200' WHEN 2 THEN 'n/a' END AS staff,
   CASE c_custkey % 5 WHEN 0 THEN '$5.2M' WHEN 1 THEN '1,250,000' WHEN 2 THEN '900K' WHEN 3 THEN '2B' END AS money,
-  CASE c_custkey % 3 WHEN 0 THEN '1999' WHEN 1 THEN 'unknown' END AS founded, c_mktsegment AS sector, 'x' AS notes
+  CASE c_custkey % 3 WHEN 0 THEN '1999' WHEN 1 THEN 'unknown' END AS founded, c_mktsegment AS sector, 'x' AS notes,
+  CASE c_custkey % 4 WHEN 0 THEN 'Pat Doe' || CAST(c_custkey AS STRING) WHEN 1 THEN ' ' END AS person, CASE c_custkey % 3 WHEN 0 THEN 'Owner' WHEN 1 THEN 'Clerk' END AS job,
+  CASE WHEN c_custkey % 3 <> 1 THEN 'Lead' || CAST(c_custkey AS STRING) || '@Mail' || CAST(c_custkey % 300 AS STRING) || '.com' END AS mail, CASE WHEN c_custkey % 5 < 3 THEN '(614) ' || CAST(150 + c_custkey % 700 AS STRING) || '-' || CAST(1000 + c_custkey % 9000 AS STRING) END AS phone
 FROM {customer}
 """
-LEAD_HEADERS = ["pos", "Company Name", "Web-Site", "Employees", "Estimated Revenue", "Year Founded", "Sector", "Notes"]
+LEAD_HEADERS = ["pos", "Company Name", "Web-Site", "Employees", "Estimated Revenue", "Year Founded", "Sector", "Notes", "Decision-Maker", "Job Title", "E-Mail", "Phone Number"]
 FETCHES_SQL = """
 SELECT 'HTTPS://Site' || CAST(user_id % 50 AS STRING) || '.Example.com/Page#' || CAST(event_id AS STRING) AS url, ts AS fetched_at,
   CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2020-01-01 00:00:00' ELSE TIMESTAMP '2030-01-01 00:00:00' END AS expires_at,
@@ -115,6 +119,17 @@ def map_elements(s: SparkSession, d: str) -> DataFrame:
     return readers.map_elements(_elements(s, d), AS_OF_YEAR, "OH").select("id", "name", "industry", "website", "state", "latitude", "founded_year")
 
 
+query("S5_element_files", SQL["S5_map_elements"])(lambda s, d: readers.map_elements(readers.element_files(s, _element_folder(s, d), multi_line=False), AS_OF_YEAR, "OH").select("id", "name", "industry", "website", "state", "latitude", "founded_year"))
+
+
+def _element_folder(s: SparkSession, d: str) -> str:
+    """The elements as responses of the map service, of at most 500 elements each, one a line."""
+    path = fresh_path(s, "elements")
+    element = F.struct("type", "id", "lat", "lon", "center", F.map_filter("tags", lambda _, v: v.isNotNull()).alias("tags"))
+    _elements(s, d).groupBy(F.floor(F.col("pos") / 500).alias("_part")).agg(F.collect_list(element).alias("elements")).select(F.lit(0.6).alias("version"), "elements").write.json(path)
+    return path
+
+
 def _elements(s: SparkSession, d: str) -> DataFrame:
     rows = s.sql(ELEMENTS_SQL, customer=_table(s, d, "customer"))
     keys = {"name": "t_name", "operator": "t_operator", "amenity": "t_amenity", "shop": "t_shop", "url": "t_url", "website": "t_website", "start_date": "t_start"}
@@ -128,11 +143,40 @@ def _leads(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 LEADS = LEADS_SQL.format(customer="customer")
-query("S6_lead_list", f"""SELECT 'import:' || CAST(pos AS STRING) AS id, name, 'https://' || site AS website, sector AS industry,
+LEAD_COLUMNS = """name, 'https://' || site AS website, sector AS industry,
   CASE staff WHEN '11-50' THEN 50 WHEN '1,200' THEN 1200 END AS employee_count, CASE money WHEN '$5.2M' THEN 5.2e6 WHEN '1,250,000' THEN 1.25e6 WHEN '900K' THEN 9e5 WHEN '2B' THEN 2e9 END AS revenue_usd,
-  CASE founded WHEN '1999' THEN 1999 END AS founded_year FROM ({LEADS}) WHERE name IS NOT NULL""")(
-    lambda s, d: _leads(s, d)[0].select("id", "name", "website", "industry", "employee_count", "revenue_usd", "founded_year")
-)
+  CASE founded WHEN '1999' THEN 1999 END AS founded_year, nullif(trim(person), '') AS contact_name, CASE WHEN coalesce(nullif(trim(person), ''), mail, phone) IS NOT NULL THEN job END AS contact_title, mail AS email, phone,
+  CASE WHEN coalesce(nullif(trim(person), ''), mail, phone) IS NOT NULL THEN nullif(trim(person), '') IS NOT NULL END AS is_decision_maker"""
+
+
+def _lead_columns(rows: DataFrame) -> DataFrame:
+    first = F.get("contacts", F.lit(0))
+    contact = [first[c].alias(f"contact_{c}" if c in ("name", "title") else c) for c in ("name", "title", "email", "phone", "is_decision_maker")]
+    return rows.select("name", "website", "industry", "employee_count", "revenue_usd", "founded_year", *contact)
+
+
+query("S6_lead_list", f"SELECT {LEAD_COLUMNS} FROM ({LEADS}) WHERE name IS NOT NULL")(lambda s, d: _lead_columns(_leads(s, d)[0]))
+
+
+def _lead_folder(s: SparkSession, d: str) -> str:
+    """The leads as CSV files of two kinds: the second has other headers in another order, and rows that end early."""
+    rows, path = s.sql(LEADS_SQL, customer=_table(s, d, "customer")).toDF(*LEAD_HEADERS), fresh_path(s, "leads")
+    rows.filter("pos % 2 = 0").drop("pos").write.option("header", True).csv(f"{path}/one")
+    other = {"Company Name": "organization", "Web-Site": "URL", "Employees": "headcount", "Sector": "vertical", "Decision-Maker": "owner name", "E-Mail": "work_email", "Estimated Revenue": "sales", "Year Founded": "established"}
+    second = rows.filter("pos % 2 = 1").drop("pos", "Notes").withColumnsRenamed(other)
+    second.select(*reversed(second.columns)).write.option("header", True).csv(f"{path}/two")
+    return f"{path}/*"
+
+
+query("S6_lead_files", f"SELECT {LEAD_COLUMNS} FROM ({LEADS}) WHERE name IS NOT NULL")(lambda s, d: _lead_columns(readers.lead_files(s, _lead_folder(s, d), AS_OF_YEAR)[0]))
+
+
+@query("A10_file_reports", f"SELECT count(name) AS kept, count(*) - count(name) AS skipped, 0 AS malformed, CASE WHEN pos % 2 = 0 THEN 'Notes' ELSE '' END AS unmapped FROM ({LEADS}) GROUP BY pos % 2")
+def file_reports(s: SparkSession, d: str) -> DataFrame:
+    report = readers.lead_files(s, _lead_folder(s, d), AS_OF_YEAR)[1]
+    return report.groupBy("unmapped").agg(*[F.sum(c).alias(c) for c in ("kept", "skipped", "malformed")])
+
+
 query("A10_ingest_report", f"SELECT count(name) AS kept, count(*) - count(name) AS skipped, 'Notes' AS unmapped FROM ({LEADS})")(lambda s, d: _leads(s, d)[1])
 
 
@@ -153,10 +197,23 @@ WHERE expires_at > TIMESTAMP '2026-09-01 00:00:00' AND status = 200 QUALIFY row_
 )
 
 
+PURGE_AT = "2024-02-10 07:30:00"
+STORED_SQL = """SELECT 'https://s' || CAST(user_id AS STRING) || '.com/' || CAST(event_id AS STRING) AS url, ts AS fetched_at, ts + make_dt_interval(CAST(event_id % 60 AS INT)) AS expires_at, 200 AS status, event_type AS body FROM {events}"""
+
+
+@query("S9_page_purge", f"SELECT 'https://s' || CAST(user_id AS STRING) || '.com/' || CAST(event_id AS STRING) AS url, event_type AS body, count(*) FILTER (WHERE gone) OVER () AS removed FROM (SELECT *, ts + to_days(CAST(event_id % 60 AS INT)) <= TIMESTAMP '{PURGE_AT}' AS gone FROM events) QUALIFY NOT gone")
+def page_purge(s: SparkSession, d: str) -> DataFrame:
+    """The pages that are left of a store after a purge."""
+    fetches, path = s.sql(STORED_SQL, events=_table(s, d, "events")), fresh_path(s, "pages")
+    store.write_pages(fetches, path)
+    removed = store.purge_pages(s, path, fetches.schema, dt.datetime.fromisoformat(PURGE_AT))
+    return s.read.schema(fetches.schema).parquet(path).select("url", "body", F.lit(removed).cast("long").alias("removed"))
+
+
 @query("K2_market_upsert", f"SELECT state AS market, CASE WHEN starts_with(state, 'A') THEN 'new' ELSE 'old' END AS generated_at, count(*) AS companies FROM ({FLAT}) GROUP BY 1, 2")
 def market_upsert(s: SparkSession, d: str) -> DataFrame:
     base = flat(s, d).groupBy(F.col("state").alias("market")).agg(F.lit("old").alias("generated_at"), F.count("*").alias("companies"))
-    return sinks.upsert(base, base.filter("market LIKE 'A%'").withColumn("generated_at", F.lit("new")), "market", fresh_path(s, "markets"))
+    return store.keyed_table(base, fresh_path(s, "markets"), "market", buckets=8).upsert(base.filter("market LIKE 'A%'").withColumn("generated_at", F.lit("new")))
 
 
 @query("K6_snapshot_write", f"{TOTAL} SELECT id, score_raw FROM r")
@@ -184,8 +241,8 @@ def site_proof(s: SparkSession, d: str) -> DataFrame:
     return pages.site_proof(demo_pages(s, d).join(facts, "id")).select("id", "page_id", "method")
 
 
-def _store(s: SparkSession) -> flows.Store:
-    return flows.Store(*(fresh_path(s, f"refresh-{k}") for k in ("companies", "payloads", "scores")))
+def _stores(s: SparkSession, rows: DataFrame) -> flows.Stores:
+    return flows.Stores(store.keyed_table(rows, fresh_path(s, "refresh-companies"), "id"), fresh_path(s, "refresh-payloads"), fresh_path(s, "refresh-scores"))
 
 
 @query("X3_refresh_batch")
@@ -193,7 +250,7 @@ def refreshed(s: SparkSession, d: str) -> DataFrame:
     """The batch's companies after all three writes, with what history and payloads hold of them."""
     rows = companies(s, d)
     scored_ = flows.refresh_batch(rows, demo_pages(s, d), mail_facts(s, d), AS_OF_YEAR)
-    updated, payloads, history = flows.save_refresh(rows, scored_, _store(s), "2026-09-01")
+    updated, payloads, history = flows.save_refresh(scored_, _stores(s, rows), "2026-09-01")
     kept = history.join(payloads.select("company_id"), "company_id").withColumnRenamed("company_id", "id")
     return updated.join(kept, "id").select("id", "website", "score", "confidence", F.size("contacts").alias("n_contacts"), "cache_key")
 
@@ -204,18 +261,24 @@ SELECT id, coalesce(website, CASE WHEN method IS NOT NULL THEN url END) AS websi
 query("X3_refresh_contacts", REFRESHED)(lambda s, d: refreshed(s, d).select("id", "website", "n_contacts"))
 
 
-@query("X4_refresh_flow", f"SELECT DISTINCT 'cust:' || CAST(user_id AS STRING) AS company_id FROM events SEMI JOIN ({PAGES}) g ON g.id = 'cust:' || CAST(user_id AS STRING)")
+STREAMED = f"""WITH r AS ({REFRESHED}), e AS (SELECT DISTINCT 'cust:' || CAST(user_id AS STRING) AS id FROM events)
+SELECT f.id, CASE WHEN e.id IS NOT NULL AND r.id IS NOT NULL THEN r.website ELSE f.website END AS website, CASE WHEN e.id IS NOT NULL AND r.id IS NOT NULL THEN n_contacts ELSE CAST(has_contact AS INT) END AS n_contacts,
+  CAST(e.id IS NOT NULL AND r.id IS NOT NULL AS INT) AS n_scores FROM ({FLAT}) f LEFT JOIN r USING (id) LEFT JOIN e USING (id)"""
+
+
+@query("X4_refresh_flow", STREAMED)
 def refresh_flow(s: SparkSession, d: str) -> DataFrame:
-    """The stream of refreshes runs X3 on each batch; what it left in the history."""
-    rows, fetched, facts, store = companies(s, d), demo_pages(s, d), mail_facts(s, d), _store(s)
+    """The stream of refreshes runs X3 on each batch, over what the batches before it left; the companies and their history after it."""
+    rows, fetched, facts = companies(s, d), demo_pages(s, d), mail_facts(s, d)
+    stores = _stores(s, rows)
 
-    def refresh(batch: DataFrame) -> None:
+    def refresh(batch: DataFrame, epoch: int) -> None:
         ids = batch.select(F.concat(F.lit("cust:"), F.col("company_id").cast("string")).alias("id"))
-        place = flows.Store(fresh_path(s, "refresh-companies"), store.payloads, store.scores)
-        flows.save_refresh(rows, flows.refresh_batch(rows.join(ids, "id", "left_semi"), fetched, facts, AS_OF_YEAR), place, "2026-09-01")
+        flows.refresh_stored(ids, stores, fetched, facts, AS_OF_YEAR, "2026-09-01", "stream", epoch)
 
     stream_refreshes(s, d, _table(s, d, "events").schema, refresh)
-    return s.read.parquet(store.scores).select("company_id")
+    times = s.read.parquet(stores.scores).groupBy(F.col("company_id").alias("id")).agg(F.count("*").cast("int").alias("n_scores"))
+    return stores.companies.read().join(times, "id", "left").select("id", "website", F.size("contacts").alias("n_contacts"), F.coalesce("n_scores", F.lit(0)).alias("n_scores"))
 
 
 @query("X2_score_list", f"SELECT 'import:' || CAST(pos AS STRING) AS id, name, kept, skipped, unmapped FROM ({LEADS}), (SELECT count(name) AS kept, count(*) - count(name) AS skipped, 'Notes' AS unmapped FROM ({LEADS})) WHERE name IS NOT NULL")

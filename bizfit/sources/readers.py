@@ -6,7 +6,9 @@ it, it is file order, then the reader's own row order within the file.
 
 from __future__ import annotations
 
+import csv
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -68,19 +70,27 @@ def complete(rows: DataFrame) -> DataFrame:
     return rows.select(*[v.alias(c) for c, v in known.items()], *[c for c in rows.columns if c not in COMPANY])
 
 
-def with_pos(rows: DataFrame) -> DataFrame:
-    """Adds pos, from 0, to rows read from files: by file name, then place in the file.
+def _tagged(rows: DataFrame) -> DataFrame:
+    """Rows read from files, with where each was read: file, block of the file, order in which the block was read."""
+    return rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_read"))
+
 
-    A file is read in blocks; rows are numbered within their block, in the order they
-    are read, and blocks by where they begin. How blocks are dealt to tasks is of no matter.
+def numbered(tagged: DataFrame) -> DataFrame:
+    """Adds pos, from 0, to tagged rows: by file name, then block, then order within the block; _file stays.
+
+    How blocks are dealt to tasks is of no matter.
     """
-    tagged = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_read"))
     tagged = cut(tagged, "source-rows")
     sizes = tagged.groupBy("_file", "_block").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1))  # a row per block
     starts = sizes.select("_file", "_block", F.coalesce(before, F.lit(0)).alias("_start"))
     inside = tagged.withColumn("_k", F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_read")))
-    return inside.join(starts, ["_file", "_block"]).withColumn("pos", F.col("_start") + F.col("_k") - 1).drop("_file", "_block", "_read", "_k", "_start")
+    return inside.join(starts, ["_file", "_block"]).withColumn("pos", F.col("_start") + F.col("_k") - 1).drop("_block", "_read", "_k", "_start")
+
+
+def with_pos(rows: DataFrame) -> DataFrame:
+    """Adds pos, from 0, to rows read from files: by file name, then place in the file."""
+    return numbered(_tagged(rows)).drop("_file")
 
 
 def licence_scan(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -88,12 +98,12 @@ def licence_scan(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Dat
     return with_pos(spark.read.option("header", True).option("encoding", encoding).option("quote", '"').option("escape", '"').csv(path))
 
 
-def contact(name=None, title=None, email=None, phone=None) -> Column:
+def contact(name=None, title=None, email=None, phone=None, decides=None) -> Column:
     none = F.lit(None)
     return F.struct(
         (none if name is None else name).cast("string").alias("name"), (none if title is None else title).cast("string").alias("title"), (none if email is None else email).cast("string").alias("email"),
         F.lit("unknown").alias("email_status"), (none if phone is None else phone).cast("string").alias("phone"), none.cast("boolean").alias("phone_valid"),
-        none.cast("string").alias("linkedin_url"), F.lit(False).alias("is_decision_maker"),
+        none.cast("string").alias("linkedin_url"), (F.lit(False) if decides is None else decides).alias("is_decision_maker"),
     )
 
 
@@ -150,6 +160,21 @@ def market_scope(companies: DataFrame, state: str | None = None, counties: list[
     return companies.filter(keep)
 
 
+ELEMENT = "type:string,id:long,lat:double,lon:double,center:struct<lat:double,lon:double>,tags:map<string,string>"
+
+
+def element_files(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """The map elements of files that hold a response of the map service each (an object with ``elements``), with pos.
+
+    Tags are free and come as a map; ways and relations have a center in place of
+    coordinates. What is no such object has no elements. Without ``multi_line`` each
+    line of a file is a response, and large files are split.
+    """
+    whole = spark.read.schema(f"elements array<struct<{ELEMENT}>>").option("multiLine", multi_line).json(path)
+    return numbered(_tagged(whole.select("elements", "_metadata")).drop("_metadata").select("_file", "_block", "_read", F.posexplode("elements").alias("_k", "e"))
+                    .select("_file", "_block", F.struct("_read", "_k").alias("_read"), "e.*")).drop("_file")
+
+
 def map_elements(elements: DataFrame, as_of_year: int, state: str | None = None) -> DataFrame:
     """Map elements (type, id, lat, lon, center, tags) as companies; nameless ones are dropped."""
     tag = lambda *ks: F.coalesce(*[C.blank(F.col("tags")[k]) for k in ks])
@@ -177,22 +202,67 @@ def header_mapping(headers: list[str]) -> tuple[dict[str, str], list[str]]:
     return found, [h for h in headers if h not in found.values()]
 
 
+def _lead(rows: DataFrame, as_of_year: int) -> DataFrame:
+    """Rows with a text column for each field of a lead as companies; a contact is there if it has a name, an address or a number, and decides if it has a name."""
+    col = lambda f: C.blank(F.col(f))
+    name, title, email, phone, site = (col(f) for f in ("contact_name", "contact_title", "email", "phone", "website"))
+    return rows.select(
+        F.concat(F.lit("import:"), F.col("pos").cast("string")).alias("id"), "pos", col("name").alias("name"),
+        F.when(F.contains(site, F.lit("://")), site).otherwise(F.concat(F.lit("https://"), site)).alias("website"), col("industry").alias("industry"), col("city").alias("city"),
+        col("state").alias("state"), col("postcode").alias("postcode"), C.whole_number(col("employee_count")).alias("employee_count"),
+        C.money(col("revenue_usd")).alias("revenue_usd"), C.founding_year(col("founded_year"), 1800, F.lit(as_of_year)).alias("founded_year"), col("business_type").alias("business_type"),
+        one_contact(contact(name, title, email, phone, name.isNotNull()), F.coalesce(name, email, phone).isNotNull()).alias("contacts"), F.lit("import").alias("source"),
+        *[c for c in rows.columns if c.startswith("_")],
+    )
+
+
+def _fields(rows: DataFrame, headers: dict[str, str]) -> list[Column]:
+    """The column of each field of a lead, null where no header stands for it. ``headers`` names the columns that the headers are in."""
+    found, _ = header_mapping(list(headers))
+    return [(F.col(f"`{headers[found[f]]}`") if f in found else F.lit(None)).cast("string").alias(f) for f in ALIASES]
+
+
 def lead_list(rows: DataFrame, as_of_year: int) -> tuple[DataFrame, DataFrame]:
     """A lead list with any headers as companies, and a one-row report (kept, skipped, unmapped). Needs pos."""
     headers = [c for c in rows.columns if c != "pos"]
-    found, rest = header_mapping(headers)
-    col = lambda f: C.blank(F.col(f"`{found[f]}`")) if f in found else F.lit(None).cast("string")
-    name, title, email, phone = col("contact_name"), col("contact_title"), col("email"), col("phone")
-    site = col("website")
-    out = rows.select(
-        F.concat(F.lit("import:"), F.col("pos").cast("string")).alias("id"), "pos", col("name").alias("name"),
-        F.when(site.rlike("(?i)^https?://"), site).otherwise(F.concat(F.lit("https://"), site)).alias("website"), col("industry").alias("industry"), col("city").alias("city"),
-        col("state").alias("state"), C.postcode5(col("postcode")).alias("postcode"), C.whole_number(col("employee_count")).alias("employee_count"),
-        C.money(col("revenue_usd")).alias("revenue_usd"), C.year_between(col("founded_year"), 1800, F.lit(as_of_year)).alias("founded_year"), col("business_type").alias("business_type"),
-        one_contact(contact(name, title, email, phone), F.coalesce(name, email, phone).isNotNull()).alias("contacts"),
-    )
+    out = _lead(rows.select("pos", *_fields(rows, {h: h for h in headers})), as_of_year)
     report = out.agg(F.count_if(F.col("name").isNotNull()).alias("kept"), F.count_if(F.col("name").isNull()).alias("skipped"))
-    return out.filter("name IS NOT NULL"), report.withColumn("unmapped", F.lit(", ".join(rest)))
+    return out.filter("name IS NOT NULL"), report.withColumn("unmapped", F.lit(", ".join(header_mapping(headers)[1])))
+
+
+def lead_files(spark: SparkSession, path: str, as_of_year: int, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The CSV files of lead lists in ``path``, each with headers of its own, as companies; and a report with a row for each file.
+
+    Files with the same header line are read together, fields are found by their headers,
+    and rows are numbered from 1 by file name and place. The report has file, kept,
+    skipped (rows without a name), malformed (kept or skipped rows whose values don't
+    match the headers in number: what is missing is null, what is over is left out) and
+    unmapped headers. Files without a line have no row in it. With ``multi_line`` values in
+    quotes may hold line breaks, and a file is one task; without, large files are split.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_read"))
+    heads = lines.filter("_block = 0").groupBy("_file").agg(F.min_by("value", "_read").alias("head")).collect()  # a row a file
+    files: dict[str, list[str]] = {}
+    for r in sorted(heads):
+        files.setdefault(r["head"].removeprefix("\ufeff"), []).append(r["_file"])
+    parts, unmapped = [], []
+    for head, those in files.items():
+        names = next(csv.reader([head]), [])
+        columns = {h: f"c{k}" for k, h in reversed(list(enumerate(names))) if h.strip()}
+        schema = "".join(f"c{k} string, " for k in range(len(names))) + "_broken string"
+        rows = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("columnNameOfCorruptRecord", "_broken").option("columnPruning", False).csv(those)
+        parts.append(_tagged(rows.select(*_fields(rows, dict(sorted(columns.items(), key=lambda x: int(x[1][1:])))), F.col("_broken").isNotNull().alias("_malformed"), F.col("c0").alias("_first"), "_metadata")).drop("_metadata"))
+        rest = ", ".join(header_mapping([h for h in names if h.strip()])[1])
+        unmapped += [(f, rest) for f in those]
+    told = spark.createDataFrame(unmapped, "file string, unmapped string")
+    if not parts:
+        nothing = _lead(spark.createDataFrame([], "pos long" + "".join(f", {f} string" for f in ALIASES)), as_of_year)
+        return nothing, told.select("file", F.lit(0).alias("kept"), F.lit(0).alias("skipped"), F.lit(0).alias("malformed"), "unmapped")
+    rows = numbered(reduce(DataFrame.unionByName, parts)).drop("_first")  # read because no scan may be of broken rows alone
+    out = cut(_lead(rows.withColumn("pos", F.col("pos") + 1), as_of_year), "leads")
+    counts = out.groupBy(F.col("_file").alias("file")).agg(F.count_if(F.col("name").isNotNull()).alias("kept"), F.count_if(F.col("name").isNull()).alias("skipped"), F.count_if("_malformed").alias("malformed"))
+    report = told.join(counts, "file", "left").na.fill(0).select("file", "kept", "skipped", "malformed", "unmapped")
+    return out.filter("name IS NOT NULL").drop("_file", "_malformed"), report
 
 
 def snapshot_load(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:

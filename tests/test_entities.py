@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bizfit.functions import columns as C
-from bizfit.operators import annotate, contacts, graph, match, pages, score, search, sinks
+from bizfit.operators import annotate, contacts, graph, match, pages, score, search, sinks, store
 from bizfit.sources import readers
 
 CONTACT = ("name", "title", "email", "email_status", "phone", "phone_valid", "linkedin_url", "is_decision_maker")
@@ -238,11 +238,11 @@ def test_content_key_follows_what_a_score_is_made_from(spark):
 def test_upsert_history_and_export(spark, tmp_path):
     base = spark.createDataFrame([("a", 1, 0), ("b", 2, 0)], "id string, v int, at int")
     new = spark.createDataFrame([("b", 5, 3), ("b", 4, 9), ("c", 6, 1)], "id string, v int, at int")
-    out = sinks.upsert(base, new, "id", f"{tmp_path}/u", order="at")
+    out = store.keyed_table(base, f"{tmp_path}/u", "id").upsert(new, order="at")
     assert {(r["id"], r["v"]) for r in out.collect()} == {("a", 1), ("b", 4), ("c", 6)}
     scores = spark.createDataFrame([("k1", 1.0), ("k2", 2.0), ("k2", 2.0)], "cache_key string, score double")
     for part in (scores.limit(1), scores, scores):
-        history = sinks.append_scores(part, f"{tmp_path}/h")
+        history = store.append_scores(part, f"{tmp_path}/h")
     assert sorted(r["cache_key"] for r in history.collect()) == ["k1", "k2"]
     scored = score.score_table(table(spark, [co(f"c{k}", f"Näme {k}", founded_year=1950 + 30 * k, employee_count=20 * k) for k in range(3)]), 2026)
     export = sinks.crm_export(scored, ids=spark.createDataFrame([("c0",), ("c2",)], "id string"), weights={"succession": 1.0})

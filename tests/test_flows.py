@@ -2,9 +2,10 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
-from bizfit.operators import sinks
+from bizfit.operators import store
 from bizfit.plans import flows
 from bizfit.sources import readers
 from bizfit.streaming import refresh as R
@@ -65,9 +66,9 @@ FETCHED = [("a", "https://hickeyplumbing.com", page("<p>(626) 715-3902 dale@hick
 def test_a_refresh_is_kept_with_its_evidence_and_its_score_once(spark, tmp_path):
     rows, facts = companies(spark), spark.createDataFrame(FACTS, "domain string, mx array<string>, exists boolean")
     fetched = spark.createDataFrame(FETCHED, "id string, url string, html string")
+    stores = flows.Stores(store.keyed_table(rows, f"{tmp_path}/companies", "id"), f"{tmp_path}/payloads", f"{tmp_path}/scores")
     for turn in (1, 2):
-        store = flows.Store(f"{tmp_path}/companies{turn}", f"{tmp_path}/payloads", f"{tmp_path}/scores")
-        updated, payloads, history = flows.save_refresh(rows, flows.refresh_batch(rows, fetched, facts, 2026), store, "2026-10-01")
+        updated, payloads, history = flows.save_refresh(flows.refresh_batch(rows, fetched, facts, 2026), stores, "2026-10-01")
         got = {r["id"]: r for r in updated.collect()}
         assert set(got) == {"a", "b", "c"} and got["a"]["website"] == "https://hickeyplumbing.com" and got["c"]["website"] is None
         assert payloads.count() == 2 * turn and "hickeyplumbing" in payloads.filter("company_id = 'a'").first()["payload"]
@@ -84,17 +85,33 @@ def test_a_stream_of_refreshes(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/events.parquet/part{k}")
     source = f"{tmp_path}/in/events.parquet/*"
     files = spark.read.schema(schema).parquet(source)
-    store = flows.Store("", f"{tmp_path}/payloads", f"{tmp_path}/scores")
+    stores = flows.Stores(store.keyed_table(rows, f"{tmp_path}/companies", "id"), f"{tmp_path}/payloads", f"{tmp_path}/scores")
     seen = []
 
-    def refresh(batch):
-        ids = batch.select(F.col("company_id").alias("id"))
-        seen.append(ids.count())
-        place = flows.Store(f"{tmp_path}/companies{len(seen)}", store.payloads, store.scores)
-        flows.save_refresh(rows, flows.refresh_batch(rows.join(ids, "id", "left_semi"), fetched, facts, 2026), place, "2026-09-01")
-
-    R.run_stream(spark, source, files.schema, lambda batch, _: refresh(batch.select("company_id").distinct()), name="*.parquet")
-    assert len(seen) >= 2 and sorted(r["company_id"] for r in spark.read.parquet(store.scores).collect()) == ["a", "b"]
+    def refresh(batch, epoch):
+        if epoch == 1 and seen.count(1) == 0:  # breaks off after payloads and scores, before the companies' version
+            seen.append(epoch)
+            ids = batch.select(F.col("company_id").alias("id"))
+            scored = flows.refresh_batch(stores.companies.read().join(ids, "id", "left_semi"), fetched, facts, 2026)
+            store.append_payloads(scored.select("id", "web"), "id", stores.payloads, "x", "stream-1")
+            raise RuntimeError("lost")
+        seen.append(epoch)
+        flows.refresh_stored(batch.select(F.col("company_id").alias("id")), stores, fetched, facts, 2026, "2026-09-01", "stream", epoch)
+
+    run = lambda: R.stream_refreshes(spark, source, files.schema, refresh, name="*.parquet", state=f"{tmp_path}/state")
+    with pytest.raises(Exception, match="lost"):
+        run()
+    assert stores.companies.epoch("stream") == 0
+    run()
+    assert seen[:3] == [0, 1, 1] and stores.companies.epoch("stream") == max(seen)
+    before = {r["id"]: r for r in stores.companies.read().collect()}
+    flows.refresh_stored(spark.createDataFrame([("a",), ("c",)], "id string"), stores, fetched.filter("false"), facts, 2026, "later", "stream", 1)  # a replay of what is done
+    got = {r["id"]: r for r in stores.companies.read().collect()}
+    assert got == before and set(got) == {"a", "b", "c"}
+    assert got["a"]["website"] == "https://hickeyplumbing.com" and got["b"]["web"]["founded_year"] == 1990 and got["c"]["website"] is None  # both batches are in it
+    scores = spark.read.parquet(stores.scores)
+    assert sorted(r["company_id"] for r in scores.collect()) == ["a", "b"]
+    assert spark.read.parquet(stores.payloads).groupBy("company_id").count().filter("company_id = 'b'").first()["count"] == 1
     out = f"{tmp_path}/history"
-    R.run_stream(spark, source, files.schema, lambda batch, _: sinks.append_scores(batch, out), name="*.parquet")
+    R.run_stream(spark, source, files.schema, lambda batch, _: store.append_scores(batch, out), name="*.parquet")
     assert spark.read.parquet(out).count() == 3  # a and c once each, though a's repeats come after the watermark, and b
