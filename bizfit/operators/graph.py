@@ -1,8 +1,12 @@
-"""Connected components of an edge table, by alternating star contractions."""
+"""Connected components of an edge table: stars within tasks, then alternating star contractions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from bizfit.operators.shared import cut, discard
@@ -10,6 +14,8 @@ from bizfit.operators.shared import cut, discard
 
 #: Up to so many edges all those of one node fit any task.
 ONE_TASK_EDGES = 2_000_000
+#: Edges that a task gathers before it reduces them.
+CHUNK = 1 << 20
 
 
 def _star(edges: DataFrame, large: bool, many: bool) -> DataFrame:
@@ -33,29 +39,65 @@ def _star(edges: DataFrame, large: bool, many: bool) -> DataFrame:
     return out.distinct()
 
 
+def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) of the nodes of these edges that aren't the smallest, by hooking and jumping over whole arrays."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while (root[u] != root[v]).any():
+        low = np.minimum(root[u], root[v])
+        np.minimum.at(root, root[u], low)
+        np.minimum.at(root, root[v], low)
+        while (root[root] != root).any():
+            root = root[root]
+    hung = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[hung], nodes[root[hung]]
+
+
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges (src, dst) as stars, one a component: what it holds is an edge a node at most, besides CHUNK edges."""
+    parts, size, schema = [], 0, None
+    squeeze = lambda: contract(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    for b in batches:
+        schema = b.schema
+        parts.append(tuple(b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)))
+        size += b.num_rows
+        if size > CHUNK:
+            parts, size = [squeeze()], 0
+    if parts:
+        src, dst = squeeze()
+        for at in range(0, len(src), CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + CHUNK], f.type) for x, f in zip((src, dst), schema, strict=True)], schema=schema)
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has an edge to another node.
 
     component is the smallest node reachable. Self edges and nulls are ignored;
-    an empty table gives an empty result. Rounds stop once a round changes
-    nothing; each round is written to the shared folder, so lineage stays short.
+    an empty table gives an empty result. Each task first reduces its edges to
+    stars, so few edges, which come in one task, need no round; of more, only
+    what links the tasks' stars is left to the rounds. These stop once one changes
+    nothing; each is written to the shared folder, so lineage stays short.
     """
-    now = cut(
-        edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).filter("src <> dst")
-        .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(),
-        "cc",
-    )
-    mark, many = None, now.count() > ONE_TASK_EDGES
-    for _ in range(max_rounds):
+    both = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).filter("src <> dst")
+    distinct = both.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
+    kind = distinct.schema["src"].dataType.simpleString()
+    tasks = Observation()
+    stars = distinct.mapInArrow(forest, f"src {kind}, dst {kind}").withColumn("_task", F.spark_partition_id())
+    now = cut(stars.observe(tasks, F.count("*").alias("n"), F.min("_task").alias("low"), F.max("_task").alias("high")).drop("_task"), "cc")
+    seen = tasks.get
+    mark, many = None, seen["n"] > ONE_TASK_EDGES
+    for _ in range(max_rounds if seen["low"] != seen["high"] else 0):
         stars = _star(now, True, many)
         stars = cut(stars, "cc-stars") if many else stars
-        before, now = now, cut(_star(stars, False, many), "cc")
+        told = Observation()
+        marked = _star(stars, False, many).observe(told, F.count("*").alias("n"), F.bit_xor(F.xxhash64("src", "dst")).alias("x"))
+        before, now = now, cut(marked, "cc")
         discard(before)
         discard(stars)
-        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst"))).first()
-        if tuple(seen) == mark:
-            return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(
-                now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
-            )
-        mark = tuple(seen)
-    raise RuntimeError("components did not settle")
+        if told.get == mark:
+            break
+        mark = told.get
+    else:
+        if seen["low"] != seen["high"]:
+            raise RuntimeError("components did not settle")
+    return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,6 +60,11 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
     return left.join(right, "block").filter("a < b").select("a", "b").distinct()
 
 
+#: Characters whose counts bound a similarity from above; all others count together.
+COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 "
+WORD = 64
+
+
 def token_sort_ratio(a: str, b: str) -> float:
     """100 * 2 * LCS / (len a + len b) of the space-joined sorted tokens, the LCS found bit-parallel."""
     a, b = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
@@ -75,25 +81,74 @@ def token_sort_ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - s.bit_count()) / (len(a) + len(b))
 
 
+def _codes(texts: list[str]) -> np.ndarray:
+    """Code points of texts of up to WORD characters, a row each; 0 behind the end."""
+    return np.frombuffer("".join(t.ljust(WORD, "\0") for t in texts).encode("utf-32-le"), np.uint32).reshape(-1, WORD)
+
+
+def token_sort_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """token_sort_ratio() of many pairs: the same recurrence on one machine word a pair, all pairs a step together; longer texts one by one."""
+    a, b = ([" ".join(sorted(x.split())) for x in side] for side in (a, b))
+    out = np.array([token_sort_ratio(x, y) if max(len(x), len(y)) > WORD or "\0" in x + y else 0.0 for x, y in zip(a, b, strict=True)])
+    short = np.array([max(len(x), len(y)) <= WORD and "\0" not in x + y for x, y in zip(a, b, strict=True)], bool)
+    x, y = ([t for t, s in zip(side, short, strict=True) if s] for side in (a, b))
+    if not x:
+        return out
+    p, q = _codes(x), _codes(y)
+    n, m = (np.array([len(t) for t in side]) for side in (x, y))
+    bits = np.uint64(1) << np.arange(WORD, dtype=np.uint64)
+    s = np.full(len(x), np.iinfo(np.uint64).max, np.uint64)  # a bit is 1 until its character is part of the subsequence
+    for k in range(int(m.max())):
+        there = ((p == q[:, k : k + 1]) & (k < m)[:, None]) @ bits
+        u = s & there
+        s = (s + u) | (s - u)
+    inside = np.where(n == WORD, np.iinfo(np.uint64).max, (np.uint64(1) << np.minimum(n, WORD - 1).astype(np.uint64)) - np.uint64(1))
+    common = n - np.bitwise_count(s & inside).astype(np.int64)
+    out[short] = np.where(n + m > 0, 200.0 * common / np.maximum(n + m, 1), 100.0)
+    return out
+
+
 def name_similarity(a: str, b: str) -> Column:
     """An Arrow UDF over candidate pairs only, which share a block of at most LARGEST_BLOCK rows."""
 
     def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([token_sort_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+        pairs = a.fillna(""), b.fillna("")
+        return pd.Series(np.concatenate([token_sort_ratios(*(list(x[k : k + 4096]) for x in pairs)) for k in range(0, len(a), 4096)] or [np.zeros(0)]))
 
     return F.pandas_udf(ratios, "double", PandasUDFType.SCALAR)(a, b)
 
 
+def letter_counts(name: Column) -> Column:
+    """How often each of COUNTED occurs in a name, and last how many characters are none of them."""
+    bare = F.translate(name, COUNTED, "")
+    return F.array(*[F.char_length(name) - F.char_length(F.replace(name, F.lit(c), F.lit(""))) for c in COUNTED], F.char_length(bare))
+
+
+def most_similar(a: Column, b: Column) -> Column:
+    """No name similarity of two names with these letter counts is higher, as what they have in common can't be more than their letters."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda s, n: s + n)
+    length = total(a) + total(b)
+    return F.when(length > 0, 200.0 * total(F.zip_with(a, b, lambda x, y: F.least(x, y))) / length).otherwise(100.0)
+
+
 #: What a pair is judged by.
 COMPARED = ["key_name", "key_reg_domain", "key_postcode", "city", "latitude", "longitude"]
 
 
 def judged_pairs(rows: DataFrame) -> DataFrame:
-    """A, b, similarity, reason of each accepted pair; reason is that of the first rule that holds."""
-    side = lambda p: rows.select(F.col("pos").alias(p), *[F.col(k).alias(f"{k}_{p}") for k in COMPARED])
+    """A, b, similarity, reason of each accepted pair; reason is that of the first rule that holds.
+
+    Only pairs that could reach what their rule asks for, by their letters alone, are compared.
+    """
+    rows = rows.select("pos", "block_keys", *COMPARED, letter_counts(F.coalesce("key_name", F.lit(""))).alias("letters"))
+    side = lambda p: rows.select(F.col("pos").alias(p), *[F.col(k).alias(f"{k}_{p}") for k in (*COMPARED, "letters")])
     pairs = candidate_pairs(rows).join(side("a"), "a").join(side("b"), "b")
     apart = C.haversine_km(F.col("latitude_a"), F.col("longitude_a"), F.col("latitude_b"), F.col("longitude_b")) > SAME_PREMISES_KM
     pairs = pairs.filter(~F.coalesce(apart, F.lit(False)))
+    same = lambda k: F.coalesce(F.col(f"{k}_a") == F.col(f"{k}_b"), F.lit(False))
+    place = same("key_postcode") | F.coalesce((F.lower("city_a") == F.lower("city_b")) & (F.col("city_a") != ""), F.lit(False))
+    asked = F.when(same("key_reg_domain"), SAME_DOMAIN).when(place, NAME_AND_PLACE).otherwise(NEAR_NAME)
+    pairs = pairs.filter(most_similar(F.col("letters_a"), F.col("letters_b")) >= asked)
     pairs = pairs.withColumn("similarity", name_similarity("key_name_a", "key_name_b"))
     s = F.col("similarity")
     reason = (

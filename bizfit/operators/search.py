@@ -5,8 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from bizfit.operators.shared import cut
 
 
 @dataclass(frozen=True)
@@ -62,6 +65,48 @@ def sort_modes(scored: DataFrame, mode: str) -> DataFrame:
     return scored.orderBy(*lead, F.desc("score"), F.asc("id"))
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """Sorted rows with ``place``, from 1: numbered within the sorted parts, each of which starts after those before it, so no rows meet in one task."""
+    dealt = cut(rows.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_k")), "in-order")
+    ends = dealt.groupBy("_part").agg(F.min("_k").alias("_low"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row a part
+    starts = F.broadcast(ends.select("_part", "_low", F.coalesce(before, F.lit(0)).alias("_before")))
+    return dealt.join(starts, "_part").withColumn("place", F.col("_before") + F.col("_k") - F.col("_low") + 1).drop("_part", "_k", "_low", "_before")
+
+
+@dataclass(frozen=True)
+class Ranking:
+    """A ranking that is kept for paging: rows with their place, in folders of ``slab`` places each.
+
+    A page reads the folders of its own places only, however deep it is. The last place
+    of a page is the key from which the next one goes on.
+    """
+
+    spark: SparkSession
+    path: str
+    schema: StructType
+    slab: int = 100_000
+
+    def _read(self, first: int, last: int) -> DataFrame:
+        rows = self.spark.read.schema(StructType([*self.schema]).add("place", "long").add("_slab", "long")).parquet(self.path)
+        slabs = list(range((first - 1) // self.slab, (last - 1) // self.slab + 1))
+        return rows.filter(F.col("_slab").isin(slabs) & F.col("place").between(first, last)).drop("_slab")
+
+    def page(self, offset: int, limit: int) -> DataFrame:
+        """The rows of places offset + 1 to offset + limit, in order."""
+        return self._read(offset + 1, offset + max(limit, 1)).filter(F.lit(limit > 0)).orderBy("place")
+
+    def after(self, place: int, limit: int) -> DataFrame:
+        return self.page(place, limit)
+
+
+def keep_ranking(ranked: DataFrame, path: str, slab: int = 100_000) -> Ranking:
+    """Write sorted rows for paging."""
+    placed = in_order(ranked).withColumn("_slab", ((F.col("place") - 1) / slab).cast("long"))
+    placed.repartition("_slab").sortWithinPartitions("_slab", "place").write.partitionBy("_slab").parquet(path)
+    return Ranking(ranked.sparkSession, path, ranked.schema, slab)
+
+
 def select_ids(companies: DataFrame, ids: DataFrame | None) -> DataFrame:
     """The rows with these ids; None means all."""
     return companies if ids is None else companies.join(ids, "id", "left_semi")

@@ -343,15 +343,6 @@ def scored(s: SparkSession, d: str) -> DataFrame:
     return score.score_table(companies(s, d), AS_OF_YEAR)
 
 
-def in_order(rows: DataFrame) -> DataFrame:
-    """Sorted rows with their place from 1: numbered within each sorted file, then by the files' sizes, so no rows meet in one task."""
-    rows = cut(rows.select("id", *[c for c in ("name", "score", "score_raw", "company_id") if c in rows.columns and c != "id"], F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_k")), "in-order")
-    ends = rows.groupBy("_part").agg(F.min("_k").alias("_low"), F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a task
-    starts = F.broadcast(ends.select("_part", "_low", before.alias("_before")))
-    return rows.join(starts, "_part").withColumn("place", F.col("_before") + F.col("_k") - F.col("_low") + 1).drop("_part", "_k", "_low", "_before")
-
-
 query("E6_score_table", f"{TOTAL} SELECT id, score_raw, round(covered, 4) AS covered_weight FROM r")(lambda s, d: scored(s, d).select("id", "score_raw", "covered_weight"))
 query("E4_total_score", f"{TOTAL} SELECT id, score_raw, {', '.join(f'{k} * e_{k} AS c_{k}' for k in score.FACTORS)} FROM r")(lambda s, d: scored(s, d).select("id", "score_raw", *[F.col("contributions")[k].alias(f"c_{k}") for k in score.FACTORS]))
 query("E3_effective_weights", f"{TOTAL} SELECT id, {', '.join(f'e_{k}' for k in score.FACTORS)} FROM r")(lambda s, d: scored(s, d).select("id", *[F.col("effective_weights")[k].alias(f"e_{k}") for k in score.FACTORS]))
@@ -380,11 +371,19 @@ SURE = "CASE WHEN sure >= 0.7e0 THEN 'high' WHEN sure >= 0.4e0 THEN 'medium' ELS
 query("E5_overall_confidence", f"{CONFIDENCE} SELECT id, {SURE} AS confidence, {', '.join(f'conf_{k}' for k in score.FACTORS)} FROM o")(lambda s, d: scored(s, d).select("id", "confidence", *[F.col(f"f_{k}")["confidence"].alias(f"conf_{k}") for k in score.FACTORS]))
 query("E1h_evidence_excerpt")(lambda s, d: scored(s, d).select("id", F.explode("f_succession.evidence").alias("e")).select("id", "e.*"))
 query("E7_content_key")(lambda s, d: score.content_key(companies(s, d), AS_OF_YEAR).select("id", "cache_key"))
-query("W3_rank_by_score", f"{TOTAL} SELECT id, score_raw, row_number() OVER (ORDER BY round(score_raw, 1) DESC, id) AS place FROM r")(lambda s, d: in_order(score.ranked(scored(s, d))).select("id", "score_raw", "place"))
+query("W3_rank_by_score", f"{TOTAL} SELECT id, score_raw, row_number() OVER (ORDER BY round(score_raw, 1) DESC, id) AS place FROM r")(lambda s, d: search.in_order(score.ranked(scored(s, d))).select("id", "score_raw", "place"))
 query("F5_min_score", f"{TOTAL} SELECT id FROM r WHERE round(score_raw, 1) >= 60")(lambda s, d: search.min_score(scored(s, d), 60.0).select("id"))
 query("W4_page_slice", f"{TOTAL} SELECT id, round(score_raw, 1) AS score, count(*) OVER () AS total FROM r ORDER BY score DESC, id LIMIT 20 OFFSET 20")(lambda s, d: search.page(scored(s, d), 20, 20).select("id", "score", "total"))
 _natural = r"regexp_replace(regexp_replace(lower(name), '([0-9]+)', '000000000000000000\1', 'g'), '0+([0-9]{18})', '\1', 'g')"
-query("W5_sort_modes", f"{TOTAL} SELECT id, name, round(score_raw, 1) AS score, row_number() OVER (ORDER BY {_natural}, round(score_raw, 1) DESC, id) AS place FROM r")(lambda s, d: in_order(search.sort_modes(scored(s, d), "name")).select("id", "name", "score", "place"))
+
+
+@query("W4_deep_page", f"{TOTAL} SELECT id, round(score_raw, 1) AS score, row_number() OVER (ORDER BY round(score_raw, 1) DESC, id) AS place FROM r QUALIFY place BETWEEN 1001 AND 1050")
+def deep_page(s: SparkSession, d: str) -> DataFrame:
+    """A page far down a ranking that is kept in slabs of 200 places."""
+    return search.keep_ranking(score.ranked(scored(s, d).select("id", "score")), fresh_path(s, "ranking"), 200).page(1000, 50)
+
+
+query("W5_sort_modes", f"{TOTAL} SELECT id, name, round(score_raw, 1) AS score, row_number() OVER (ORDER BY {_natural}, round(score_raw, 1) DESC, id) AS place FROM r")(lambda s, d: search.in_order(search.sort_modes(scored(s, d), "name")).select("id", "name", "score", "place"))
 
 
 @query("E8_rescore_changed", f"{TOTAL} SELECT id, score_raw FROM r WHERE pos % 3 = 0")
