@@ -496,7 +496,8 @@ query("P4_year_signals", f"""SELECT page_id, {_years_sql('html', pages.COPYRIGHT
   {_years_sql(VISIBLE, pages.FOUNDED, 1800, AS_OF_YEAR)}[1] AS founded_year FROM pages""")(
     lambda s, d: pages.page_signals(_pages(s, d), AS_OF_YEAR).select("page_id", "web.copyright_year", "web.latest_content_year", "web.founded_year")
 )
-query("P5_mentions")(lambda s, d: pages.page_signals(_pages(s, d), AS_OF_YEAR).select("page_id", F.array_join("web.owner_mentions", "|").alias("owner_mentions")))
+_sentences = rf"list_transform(string_split(regexp_replace({VISIBLE}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda t: trim(t))"
+query("P5_mentions", f"SELECT page_id, array_to_string(list_filter({_sentences}, lambda t: length(t) BETWEEN 15 AND 400 AND regexp_matches(t, '{pages.OWNERSHIP}'))[1:{pages.MENTIONS}], '|') AS owner_mentions FROM pages")(lambda s, d: pages.page_signals(_pages(s, d), AS_OF_YEAR).select("page_id", F.array_join("web.owner_mentions", "|").alias("owner_mentions")))
 #: Of the demo's pages: links as they are resolved here have one of a few forms.
 LINKS = rf"""WITH p AS (SELECT url, html, lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)) AS host, regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) AS root FROM ({PAGES})),
 a AS (SELECT url, host, root, regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>', 1) AS hs, list_transform(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*"[^"]*"[^>]*>(.*?)</a', 1), lambda x: trim(regexp_replace(x, '(?s)<[^>]*>', '', 'g'))) AS ts FROM p),
@@ -529,6 +530,10 @@ def _documents_as_pages(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.lit("https://docs.example/").alias("url"), F.col("text").alias("html"))
 
 
+_said = f"string_split(regexp_replace({visible_sql('text')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+query("P5_document_mentions", f"SELECT doc_id, array_to_string(list_filter(list_transform({_said}, lambda t: trim(t)), lambda t: length(t) BETWEEN 15 AND 400 AND regexp_matches(t, '(?i)\\b(licensed|the)\\b'))[1:{pages.MENTIONS}], '|') AS mentions FROM documents")(
+    lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(pages.mentions(pages.visible_text(F.col("text")), r"(?i)\b(licensed|the)\b"), "|").alias("mentions")).withColumn("mentions", F.col("mentions"))
+)
 FOUND = f"""SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, {MAIL}), lambda e: lower(e)), lambda e: NOT regexp_matches(e, '{pages.ASSETS}'))[1] AS email,
   nullif(regexp_extract({visible_sql("coalesce(text, '')")}, '{pages.PHONE}', 0), '') AS phone FROM documents"""
 query("P8_document_emails", f"SELECT doc_id, email FROM ({FOUND}) WHERE email IS NOT NULL")(
@@ -537,8 +542,9 @@ query("P8_document_emails", f"SELECT doc_id, email FROM ({FOUND}) WHERE email IS
 query("P8_document_phones", f"SELECT doc_id, phone FROM ({FOUND}) WHERE phone IS NOT NULL")(
     lambda s, d: pages.page_contacts(pages.page_signals(_documents_as_pages(s, d), AS_OF_YEAR)).select("doc_id", "contact.phone").filter("phone IS NOT NULL")
 )
-SECONDARY = f"""WITH g AS ({PAGES}), k AS (SELECT * FROM ({LINKS}) WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY kind, place) <= 2),
-m AS (SELECT k.url, string_agg(g.html, chr(10) ORDER BY k.kind, k.place, g.html) AS more FROM k JOIN g ON g.url = k.link GROUP BY 1) SELECT page_id, sha256(html || coalesce(chr(10) || more, '')) AS html_sha256 FROM g LEFT JOIN m USING (url)"""
+WITH_SECONDARY = f"""WITH g AS ({PAGES}), k AS (SELECT * FROM ({LINKS}) WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY kind, place) <= 2),
+m AS (SELECT k.url, string_agg(g.html, chr(10) ORDER BY k.kind, k.place, g.html) AS more FROM k JOIN g ON g.url = k.link GROUP BY 1) SELECT page_id, id, html || coalesce(chr(10) || more, '') AS html FROM g LEFT JOIN m USING (url)"""
+SECONDARY = f"SELECT page_id, sha256(html) AS html_sha256 FROM ({WITH_SECONDARY})"
 query("J8_secondary_pages", SECONDARY)(lambda s, d: pages.secondary_pages(demo_pages(s, d), demo_pages(s, d)).select("page_id", F.sha2("html", 256).alias("html_sha256")))
 
 #: No demo name has a word of a trade, so a name gives two spellings at most: with and without generic and short words.

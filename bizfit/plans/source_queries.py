@@ -15,7 +15,7 @@ from bizfit.operators.shared import fresh_path
 from bizfit.plans import flows
 from bizfit.plans.demo import AS_OF_YEAR, FLAT, PAGES, companies, flat
 from bizfit.plans.demo import pages as demo_pages
-from bizfit.plans.queries import QUALITY, SQL, TOTAL, contact_sql, mail_facts, proof_sql, query, scored
+from bizfit.plans.queries import QUALITY, SQL, TOTAL, WITH_SECONDARY, contact_sql, mail_facts, proof_sql, query, scored
 from bizfit.sources import readers
 from bizfit.streaming.refresh import stream_refreshes
 
@@ -249,13 +249,13 @@ def _stores(s: SparkSession, rows: DataFrame) -> flows.Stores:
 def refreshed(s: SparkSession, d: str) -> DataFrame:
     """The batch's companies after all three writes, with what history and payloads hold of them."""
     rows = companies(s, d)
-    scored_ = flows.refresh_batch(rows, demo_pages(s, d), mail_facts(s, d), AS_OF_YEAR)
+    scored_ = flows.refresh_batch(rows, demo_pages(s, d), mail_facts(s, d), AS_OF_YEAR, demo_pages(s, d))
     updated, payloads, history = flows.save_refresh(scored_, _stores(s, rows), "2026-09-01")
     kept = history.join(payloads.select("company_id"), "company_id").withColumnRenamed("company_id", "id")
     return updated.join(kept, "id").select("id", "website", "score", "confidence", F.size("contacts").alias("n_contacts"), "cache_key")
 
 
-REFRESHED = f"""WITH f AS ({FLAT}), c AS ({contact_sql(f"SELECT id, html FROM ({PAGES})")}), g AS ({PAGES}),
+REFRESHED = f"""WITH f AS ({FLAT}), c AS ({contact_sql(f"SELECT id, html FROM ({WITH_SECONDARY})")}), g AS ({PAGES}),
 m AS (SELECT f.id, website, has_contact, g.url, {proof_sql('f.name', 'f.city', 'f.phone', 'g.html')} AS method, coalesce(c.name, c.email, c.phone, c.linkedin_url) IS NOT NULL AS found FROM f JOIN g USING (id) JOIN c USING (id))
 SELECT id, coalesce(website, CASE WHEN method IS NOT NULL THEN url END) AS website, CASE WHEN has_contact OR found AND (website IS NOT NULL OR method IS NOT NULL) THEN 1 ELSE 0 END AS n_contacts FROM m"""
 query("X3_refresh_contacts", REFRESHED)(lambda s, d: refreshed(s, d).select("id", "website", "n_contacts"))
@@ -274,7 +274,7 @@ def refresh_flow(s: SparkSession, d: str) -> DataFrame:
 
     def refresh(batch: DataFrame, epoch: int) -> None:
         ids = batch.select(F.concat(F.lit("cust:"), F.col("company_id").cast("string")).alias("id"))
-        flows.refresh_stored(ids, stores, fetched, facts, AS_OF_YEAR, "2026-09-01", "stream", epoch)
+        flows.refresh_stored(ids, stores, fetched, facts, AS_OF_YEAR, "2026-09-01", "stream", epoch, fetched)
 
     stream_refreshes(s, d, _table(s, d, "events").schema, refresh)
     times = s.read.parquet(stores.scores).groupBy(F.col("company_id").alias("id")).agg(F.count("*").cast("int").alias("n_scores"))
@@ -287,10 +287,24 @@ def score_list(s: SparkSession, d: str) -> DataFrame:
     return scored_.crossJoin(F.broadcast(report)).select("id", "name", "kept", "skipped", "unmapped")
 
 
-@query("X2_list_scores")
+#: A lead list's companies as the flat table that scores and quality are told from in SQL: nothing was crawled, contacts are checked.
+LEAD_FLAT = rf"""SELECT pos, {LEAD_COLUMNS.replace("mail AS email, phone,", "lower(mail) AS email, CASE WHEN regexp_matches(g, '^1?[2-9][0-9]{2}[2-9][0-9]{6}$') THEN '+1' || right(g, 10) ELSE phone END AS phone,")},
+  'import:' || CAST(pos AS STRING) AS id, CASE WHEN lower(split_part(mail, '@', 2)) IN (SELECT DISTINCT lower(split_part(email, '@', 2)) FROM ({FLAT}) WHERE email IS NOT NULL)
+    THEN list_extract(['unknown', 'invalid', 'risky', 'verified', 'verified'], CAST(length(split_part(mail, '@', 2)) % 5 AS INT) + 1) ELSE 'unknown' END AS email_status,
+  CASE WHEN phone IS NOT NULL THEN regexp_matches(g, '^1?[2-9][0-9]{{2}}[2-9][0-9]{{6}}$') END AS phone_valid, coalesce(nullif(trim(person), ''), mail, phone) IS NOT NULL AS has_contact,
+  NULL::VARCHAR AS city, NULL::VARCHAR AS state, NULL::VARCHAR AS postcode, NULL::DOUBLE AS latitude, NULL::DOUBLE AS longitude, NULL::VARCHAR AS business_type, NULL::BOOLEAN AS has_employees, NULL::VARCHAR AS linkedin_url, FALSE AS crawled, NULL::BOOLEAN AS https,
+  NULL::BOOLEAN AS mobile_viewport, NULL::BOOLEAN AS has_analytics, NULL::INT AS latest_content_year, NULL::INT AS copyright_year, NULL::INT AS page_bytes, NULL::VARCHAR AS tech, FALSE AS has_careers_page, FALSE AS has_team_page, NULL::INT AS web_founded_year,
+  NULL::VARCHAR AS raw_text_excerpt, NULL::BIGINT AS sibling_location_count, NULL::BIGINT AS peer_count_in_niche FROM (SELECT *, regexp_replace(phone, '\D', '', 'g') AS g FROM ({LEADS})) WHERE name IS NOT NULL"""
+_LEAD_QUALITY = QUALITY.replace(FLAT, LEAD_FLAT).replace("WHEN TRUE THEN", "WHEN postcode IS NOT NULL OR latitude IS NOT NULL THEN").replace("NOT (TRUE)", "NOT (postcode IS NOT NULL OR latitude IS NOT NULL)")
+LIST_SCORES = f"""WITH t AS ({TOTAL.replace(FLAT, LEAD_FLAT)} SELECT id, round(score_raw, 1) AS score, round(covered, 4) AS covered_weight, coalesce(is_decision_maker, FALSE) AS is_decision_maker FROM r), q AS ({_LEAD_QUALITY})
+SELECT id, score, covered_weight, data_quality, is_decision_maker FROM t JOIN q USING (id)"""
+
+
+@query("X2_list_scores", LIST_SCORES)
 def list_scores(s: SparkSession, d: str) -> DataFrame:
     scored_, _ = flows.score_list(s.sql(LEADS_SQL, customer=_table(s, d, "customer")).toDF(*LEAD_HEADERS), mail_facts(s, d), AS_OF_YEAR)
-    return scored_.select("id", "score", "confidence", "covered_weight", "data_quality")
+    decides = F.coalesce(F.get("contacts", F.lit(0))["is_decision_maker"], F.lit(False)).alias("is_decision_maker")
+    return scored_.select("id", "score", "covered_weight", "data_quality", decides)
 
 
 def _personnel(s: SparkSession, d: str) -> DataFrame:
