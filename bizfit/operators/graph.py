@@ -1,4 +1,4 @@
-"""Connected components of an edge table: stars within tasks, then alternating star contractions."""
+"""Connected components of an edge table, by alternating star contractions."""
 
 from __future__ import annotations
 
@@ -69,35 +69,39 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + CHUNK], f.type) for x, f in zip((src, dst), schema, strict=True)], schema=schema)
 
 
-def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def _result(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(stars.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
+
+
+def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60, within_tasks: bool = False) -> DataFrame:
     """(node, component) for every node that has an edge to another node.
 
     component is the smallest node reachable. Self edges and nulls are ignored;
-    an empty table gives an empty result. Each task first reduces its edges to
-    stars, so few edges, which come in one task, need no round; of more, only
-    what links the tasks' stars is left to the rounds. These stop once one changes
-    nothing; each is written to the shared folder, so lineage stays short.
+    an empty table gives an empty result. Rounds stop once a round changes
+    nothing; each round is written to the shared folder, so lineage stays short.
+    With ``within_tasks`` each task first reduces its edges to stars: few edges,
+    which come in one task, need no round then. It pays where edges are few, not
+    where they are dealt to many tasks.
     """
     both = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).filter("src <> dst")
-    distinct = both.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
-    kind = distinct.schema["src"].dataType.simpleString()
-    tasks = Observation()
-    stars = distinct.mapInArrow(forest, f"src {kind}, dst {kind}").withColumn("_task", F.spark_partition_id())
-    now = cut(stars.observe(tasks, F.count("*").alias("n"), F.min("_task").alias("low"), F.max("_task").alias("high")).drop("_task"), "cc")
-    seen = tasks.get
-    mark, many = None, seen["n"] > ONE_TASK_EDGES
-    for _ in range(max_rounds if seen["low"] != seen["high"] else 0):
+    now = both.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
+    if within_tasks:
+        kind, tasks = now.schema["src"].dataType.simpleString(), Observation()
+        now = now.mapInArrow(forest, f"src {kind}, dst {kind}").withColumn("_task", F.spark_partition_id())
+        now = cut(now.observe(tasks, F.min("_task").alias("low"), F.max("_task").alias("high")).drop("_task"), "cc")
+        if tasks.get["low"] == tasks.get["high"]:
+            return _result(now)
+    else:
+        now = cut(now, "cc")
+    mark, many = None, now.count() > ONE_TASK_EDGES
+    for _ in range(max_rounds):
         stars = _star(now, True, many)
         stars = cut(stars, "cc-stars") if many else stars
-        told = Observation()
-        marked = _star(stars, False, many).observe(told, F.count("*").alias("n"), F.bit_xor(F.xxhash64("src", "dst")).alias("x"))
-        before, now = now, cut(marked, "cc")
+        before, now = now, cut(_star(stars, False, many), "cc")
         discard(before)
         discard(stars)
-        if told.get == mark:
-            break
-        mark = told.get
-    else:
-        if seen["low"] != seen["high"]:
-            raise RuntimeError("components did not settle")
-    return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
+        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst"))).first()
+        if tuple(seen) == mark:
+            return _result(now)
+        mark = tuple(seen)
+    raise RuntimeError("components did not settle")

@@ -181,7 +181,7 @@ def dedupe(companies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     rows = cut(blocking_keys(standardise(companies)).select("pos", "block_keys", *COMPARED), "dedupe-keys")  # five uses
     edges = cut(judged_pairs(rows), "dedupe-edges")
-    groups = cut(connected_components(edges, "a", "b"), "dedupe-groups").withColumnRenamed("node", "pos").withColumnRenamed("component", "group")
+    groups = cut(connected_components(edges, "a", "b", within_tasks=True), "dedupe-groups").withColumnRenamed("node", "pos").withColumnRenamed("component", "group")
     grouped = companies.join(groups, "pos")
     alone = companies.join(groups.select("pos"), "pos", "left_anti")
     order, filled = F.col("pos"), [c for c in FILLED if c in companies.columns]

@@ -82,25 +82,33 @@ def confidence(found: Column, missing: Column) -> Column:
     return F.when((ratio >= 0.66) & (found >= 2), "high").when(ratio >= 0.34, "medium").otherwise("low")
 
 
-def factor(base, findings: list[Finding], missing: list[tuple[Column, Column | str]], measured: Column | None = None, score: Column | None = None) -> Column:
-    """What one factor is made of; finish() makes the result of it. score replaces the sum of base and impacts where given."""
-    shown = [
-        F.when(f.when, F.struct(f.label.alias("label"), f.detail.alias("detail"), f.url.alias("source_url"), F.least(F.greatest(f.impact, F.lit(-100.0)), F.lit(100.0)).alias("impact")))
-        for f in findings
-    ]
-    return F.struct(
-        _lit(base).cast("double").alias("base"), _lit(score).cast("double").alias("own"), F.array_compact(F.array(*shown)).alias("evidence"),
-        F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), _lit(n)) for c, n in missing])).alias("missing"), F.coalesce(_lit(measured).cast("boolean"), F.lit(False)).alias("anyway"),
-    )
+@dataclass(frozen=True)
+class Factor:
+    """What one factor is made of: numbers that its score and confidence are told from, and the evidence for them."""
+
+    total: Column
+    found: Column
+    gaps: Column
+    measured: Column
+    evidence: Column
+    missing: Column
+
 
+def factor(base, findings: list[Finding], missing: list[tuple[Column, Column | str]], measured: Column | None = None, score: Column | None = None) -> Factor:
+    """One factor of its findings. score replaces the sum of base and impacts where given.
 
-def finish(parts: Column) -> Column:
-    """The struct of one factor: score, confidence, evidence, missing, measured. Impacts are added in the order of the evidence."""
-    found, gaps = F.size(parts["evidence"]), F.size(parts["missing"])
-    total = F.coalesce(parts["own"], F.aggregate(parts["evidence"], parts["base"], lambda a, e: a + e["impact"]))
-    return F.struct(
-        F.least(F.greatest(total, F.lit(0.0)), F.lit(100.0)).alias("score"), confidence(found, gaps).alias("confidence"),
-        parts["evidence"].alias("evidence"), parts["missing"].alias("missing"), (parts["anyway"] | (found > 0)).alias("measured"),
+    Impacts are added in the order of the evidence. Sums and counts don't look at the
+    evidence, so that where only scores are asked for, its texts are never made.
+    """
+    impact = [F.least(F.greatest(f.impact, F.lit(-100.0)), F.lit(100.0)) for f in findings]
+    gap = [F.coalesce(c, F.lit(False)) for c, _ in missing]
+    count = lambda cs: reduce(lambda n, c: n + c.cast("int"), cs, F.lit(0))
+    added = reduce(lambda t, x: t + F.when(x[0].when, x[1]).otherwise(0.0), zip(findings, impact, strict=True), _lit(base).cast("double"))
+    shown = [F.when(f.when, F.struct(f.label.alias("label"), f.detail.alias("detail"), f.url.alias("source_url"), i.alias("impact"))) for f, i in zip(findings, impact, strict=True)]
+    found = count([f.when for f in findings])
+    return Factor(
+        added if score is None else F.coalesce(score.cast("double"), added), found, count(gap), F.coalesce(_lit(measured).cast("boolean"), F.lit(False)) | (found > 0),
+        F.array_compact(F.array(*shown)), F.array_compact(F.array(*[F.when(g, _lit(n)) for g, (_, n) in zip(gap, missing, strict=True)])),
     )
 
 
@@ -165,7 +173,7 @@ def signals(companies: DataFrame, as_of_year: int) -> DataFrame:
     })
 
 
-def succession() -> Column:
+def succession() -> Factor:
     c, w = F.col, lambda n: F.col("web")[n]
     filed, claim, founded, age, told, owner = c("_filed"), c("_claim_impact"), c("_founded"), c("_age"), c("_told_impact"), c("_owner")
     by_filing = filed.isNotNull() & (claim.isNull() | (filed >= claim))
@@ -200,7 +208,7 @@ def band(value: Column, low: float, high: float, tolerance: float) -> Column:
     )
 
 
-def buy_box(box: BuyBox) -> Column:
+def buy_box(box: BuyBox) -> Factor:
     c = F.col
     size = band(c("employee_count").cast("double"), box.min_employees, box.max_employees, box.tolerance)
     sales = band(c("revenue_usd"), box.min_revenue, box.max_revenue, box.tolerance)
@@ -222,7 +230,7 @@ def buy_box(box: BuyBox) -> Column:
     return factor(30.0, found, missing, score=score)
 
 
-def digital_gap() -> Column:
+def digital_gap() -> Factor:
     c, w = F.col, lambda n: F.col("web")[n]
     site, old, new, stale = c("_site"), c("_old"), c("_new"), c("_stale")
     found, missing = [], []
@@ -239,7 +247,7 @@ def digital_gap() -> Column:
     return factor(28.0, found, missing, score=F.when(~site, 50.0))
 
 
-def fragmentation() -> Column:
+def fragmentation() -> Factor:
     n = F.col("peer_count_in_niche")
     score = F.when(n.isNull(), 45.0).when(n <= 2, 25.0).when(n <= 7, 58.0).when(n <= 40, 90.0).when(n <= 90, 70.0).otherwise(45.0)
     detail = F.concat(n.cast("string"), F.lit(" comparable operators in "), F.coalesce("city", F.lit("the same area")), F.lit("."))
@@ -252,7 +260,7 @@ def primary_contact() -> Column:
     return F.coalesce(F.get(F.filter(c, lambda x: F.coalesce(x["is_decision_maker"], F.lit(False))), F.lit(0)), F.get(c, F.lit(0)))
 
 
-def contactability() -> Column:
+def contactability() -> Factor:
     best, c = F.col("_best"), F.col
     has = lambda n: F.coalesce(best[n], F.lit("")) != ""
     role = F.lower(F.substring_index(best["email"], "@", 1)).isin(ROLES)
@@ -272,7 +280,7 @@ def contactability() -> Column:
     return factor(0.0, found, missing, measured=F.coalesce(F.size("contacts") <= 0, F.lit(True)))
 
 
-def health() -> Column:
+def health() -> Factor:
     c, w = F.col, lambda n: F.col("web")[n]
     latest, age = c("_latest"), c("_stale")
     found = [
@@ -289,8 +297,15 @@ def health() -> Column:
 def with_factors(companies: DataFrame, as_of_year: int, box: BuyBox = BuyBox()) -> DataFrame:  # noqa: B008
     """Adds one struct column f_<factor> for each factor."""
     parts = {"succession": succession(), "buy_box": buy_box(box), "digital_gap": digital_gap(), "fragmentation": fragmentation(), "contactability": contactability(), "health": health()}
-    rows = signals(companies, as_of_year).withColumns({f"_p_{k}": v for k, v in parts.items()})
-    return rows.select(*companies.columns, *[finish(F.col(f"_p_{k}")).alias(f"f_{k}") for k in FACTORS])
+    rows = signals(companies, as_of_year)
+    rows = rows.withColumns({f"_{name}_{k}": column for k, p in parts.items() for name, column in (("total", p.total), ("found", p.found), ("gaps", p.gaps), ("measured", p.measured))})
+
+    def result(k: str) -> Column:
+        c = lambda n: F.col(f"_{n}_{k}")
+        held = F.least(F.greatest(c("total"), F.lit(0.0)), F.lit(100.0))
+        return F.struct(held.alias("score"), confidence(c("found"), c("gaps")).alias("confidence"), parts[k].evidence.alias("evidence"), parts[k].missing.alias("missing"), c("measured").alias("measured"))
+
+    return rows.select(*companies.columns, *[result(k).alias(f"f_{k}") for k in FACTORS])
 
 
 def _sum(parts: list[Column]) -> Column:
@@ -326,9 +341,13 @@ def with_total(rows: DataFrame, weight: Callable[[str], Column] | None = None) -
     return out.drop("_covered", *[f"_w_{k}" for k in FACTORS], *[f"_e_{k}" for k in FACTORS])
 
 
-def score_table(companies: DataFrame, as_of_year: int, box: BuyBox = BuyBox()) -> DataFrame:  # noqa: B008
-    """Factors and total of every row. The factors are written first, so that totals don't repeat their expressions."""
-    return with_total(cut(with_factors(companies, as_of_year, box), "factors"))
+def score_table(companies: DataFrame, as_of_year: int, box: BuyBox = BuyBox(), explain: bool = True) -> DataFrame:  # noqa: B008
+    """Writes the factors and total of every row, and reads them back, so that a filter on a score doesn't unfold what it is made of.
+
+    Without ``explain`` only the totals are made, not the factors with their evidence.
+    """
+    rows = with_total(with_factors(companies, as_of_year, box))
+    return cut(rows if explain else rows.drop(*[f"f_{k}" for k in FACTORS]), "scores")
 
 
 def ranked(scored: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -39,14 +40,18 @@ class Files:
         finally:
             source.close()
 
-    def create(self, path: str, text: str) -> bool:
-        """Write a file that isn't there yet; false if it is."""
+    def create(self, path: str, text: str, still: Callable[[], bool] = lambda: True) -> bool:
+        """Write a file that isn't there yet; false if it is, or if ``still`` doesn't hold when its name is taken."""
         try:
             out = self.fs.create(self.at(path), False)
         except Py4JJavaError as error:
             if "FileAlreadyExistsException" in str(error.java_exception) or self.fs.exists(self.at(path)):
                 return False
             raise
+        if not still():
+            out.close()
+            self.delete(path)
+            return False
         out.write(text.encode())
         out.close()
         return True
@@ -78,9 +83,10 @@ class KeyedTable:
     def _files(self) -> Files:
         return Files(self.spark, self.path)
 
-    def _version(self) -> tuple[int, str, dict]:
+    def _version(self, below: str = "~") -> tuple[int, str, dict]:
         """(number to be taken next, name of the newest whole version, what it says)."""
-        files, names = self._files(), self._files().names(f"{self.path}/_versions")
+        files = self._files()
+        names = [n for n in files.names(f"{self.path}/_versions") if n < below]
         for name in reversed(names):
             text = files.text(f"{self.path}/_versions/{name}")
             if text.endswith("}}"):  # else its writer died while it wrote it
@@ -111,7 +117,7 @@ class KeyedTable:
         newest = cut(newest.select("*", bucket), "upsert")
         touched = [r["_bucket"] for r in newest.select("_bucket").distinct().collect()]
         for _ in range(TRIES):
-            number, _, version = self._version()
+            number, latest, version = self._version()
             if epoch is not None and version["epochs"].get(writer, -1) >= epoch:
                 break
             before = self._read(version["folders"], touched).join(newest.select(self.key), self.key, "left_anti").select("*", bucket)
@@ -120,8 +126,12 @@ class KeyedTable:
             before.select(*newest.columns).unionByName(newest).repartition("_bucket", spread).write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
             folders = version["folders"] | {str(b): folder for b in touched}
             epochs = version["epochs"] | ({writer: epoch} if epoch is not None else {})
-            if self._files().create(f"{self.path}/_versions/{number:010d}", json.dumps({"folders": folders, "epochs": epochs})):
-                break
+            name = f"{number:010d}"
+            still = lambda: self._version(below=name)[1] == latest  # noqa: B023, E731  a slow writer's file isn't whole now
+            if self._files().create(f"{self.path}/_versions/{name}", json.dumps({"folders": folders, "epochs": epochs}), still):
+                if self._files().names(f"{self.path}/_versions")[-1] == name:
+                    break
+                self._files().delete(f"{self.path}/_versions/{name}")  # it took too long: another writer went on without it
             self._files().delete(f"{self.path}/{folder}")
         else:
             raise RuntimeError("other writers took every version")

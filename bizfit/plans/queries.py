@@ -112,7 +112,7 @@ r(node, seen) AS (SELECT a, a FROM g UNION SELECT r.node, g.b FROM r JOIN g ON r
 def components(s: SparkSession, d: str) -> DataFrame:
     keyed = match.standardise(companies(s, d)).withColumn("phone10", C.phone10(F.get("contacts", F.lit(0))["phone"]))
     link = lambda k: keyed.filter(F.col(k).isNotNull()).select(F.col("pos").alias("a"), F.min("pos").over(Window.partitionBy(k, "city")).alias("b"))
-    return match.connected_components(link("phone10").unionByName(link("key_reg_domain")), "a", "b")
+    return match.connected_components(link("phone10").unionByName(link("key_reg_domain")), "a", "b", within_tasks=True)
 
 
 #: Components of the accepted pairs, and each component's members with the order in which they are preferred.
@@ -343,9 +343,13 @@ def scored(s: SparkSession, d: str) -> DataFrame:
     return score.score_table(companies(s, d), AS_OF_YEAR)
 
 
-query("E6_score_table", f"{TOTAL} SELECT id, score_raw, round(covered, 4) AS covered_weight FROM r")(lambda s, d: scored(s, d).select("id", "score_raw", "covered_weight"))
-query("E4_total_score", f"{TOTAL} SELECT id, score_raw, {', '.join(f'{k} * e_{k} AS c_{k}' for k in score.FACTORS)} FROM r")(lambda s, d: scored(s, d).select("id", "score_raw", *[F.col("contributions")[k].alias(f"c_{k}") for k in score.FACTORS]))
-query("E3_effective_weights", f"{TOTAL} SELECT id, {', '.join(f'e_{k}' for k in score.FACTORS)} FROM r")(lambda s, d: scored(s, d).select("id", *[F.col("effective_weights")[k].alias(f"e_{k}") for k in score.FACTORS]))
+def totals(s: SparkSession, d: str) -> DataFrame:
+    return score.score_table(companies(s, d), AS_OF_YEAR, explain=False)
+
+
+query("E6_score_table", f"{TOTAL} SELECT id, score_raw, round(covered, 4) AS covered_weight FROM r")(lambda s, d: totals(s, d).select("id", "score_raw", "covered_weight"))
+query("E4_total_score", f"{TOTAL} SELECT id, score_raw, {', '.join(f'{k} * e_{k} AS c_{k}' for k in score.FACTORS)} FROM r")(lambda s, d: totals(s, d).select("id", "score_raw", *[F.col("contributions")[k].alias(f"c_{k}") for k in score.FACTORS]))
+query("E3_effective_weights", f"{TOTAL} SELECT id, {', '.join(f'e_{k}' for k in score.FACTORS)} FROM r")(lambda s, d: totals(s, d).select("id", *[F.col("effective_weights")[k].alias(f"e_{k}") for k in score.FACTORS]))
 _n = lambda *cs: " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c in cs)
 _told = "(b1 IS NULL AND b2 IS NULL AND has_employees IS NOT NULL)"
 _flags = ("https", "mobile_viewport", "has_analytics")
@@ -371,19 +375,19 @@ SURE = "CASE WHEN sure >= 0.7e0 THEN 'high' WHEN sure >= 0.4e0 THEN 'medium' ELS
 query("E5_overall_confidence", f"{CONFIDENCE} SELECT id, {SURE} AS confidence, {', '.join(f'conf_{k}' for k in score.FACTORS)} FROM o")(lambda s, d: scored(s, d).select("id", "confidence", *[F.col(f"f_{k}")["confidence"].alias(f"conf_{k}") for k in score.FACTORS]))
 query("E1h_evidence_excerpt")(lambda s, d: scored(s, d).select("id", F.explode("f_succession.evidence").alias("e")).select("id", "e.*"))
 query("E7_content_key")(lambda s, d: score.content_key(companies(s, d), AS_OF_YEAR).select("id", "cache_key"))
-query("W3_rank_by_score", f"{TOTAL} SELECT id, score_raw, row_number() OVER (ORDER BY round(score_raw, 1) DESC, id) AS place FROM r")(lambda s, d: search.in_order(score.ranked(scored(s, d))).select("id", "score_raw", "place"))
-query("F5_min_score", f"{TOTAL} SELECT id FROM r WHERE round(score_raw, 1) >= 60")(lambda s, d: search.min_score(scored(s, d), 60.0).select("id"))
-query("W4_page_slice", f"{TOTAL} SELECT id, round(score_raw, 1) AS score, count(*) OVER () AS total FROM r ORDER BY score DESC, id LIMIT 20 OFFSET 20")(lambda s, d: search.page(scored(s, d), 20, 20).select("id", "score", "total"))
+query("W3_rank_by_score", f"{TOTAL} SELECT id, score_raw, row_number() OVER (ORDER BY round(score_raw, 1) DESC, id) AS place FROM r")(lambda s, d: search.in_order(score.ranked(totals(s, d))).select("id", "score_raw", "place"))
+query("F5_min_score", f"{TOTAL} SELECT id FROM r WHERE round(score_raw, 1) >= 60")(lambda s, d: search.min_score(totals(s, d), 60.0).select("id"))
+query("W4_page_slice", f"{TOTAL} SELECT id, round(score_raw, 1) AS score, count(*) OVER () AS total FROM r ORDER BY score DESC, id LIMIT 20 OFFSET 20")(lambda s, d: search.page(totals(s, d), 20, 20).select("id", "score", "total"))
 _natural = r"regexp_replace(regexp_replace(lower(name), '([0-9]+)', '000000000000000000\1', 'g'), '0+([0-9]{18})', '\1', 'g')"
 
 
 @query("W4_deep_page", f"{TOTAL} SELECT id, round(score_raw, 1) AS score, row_number() OVER (ORDER BY round(score_raw, 1) DESC, id) AS place FROM r QUALIFY place BETWEEN 1001 AND 1050")
 def deep_page(s: SparkSession, d: str) -> DataFrame:
     """A page far down a ranking that is kept in slabs of 200 places."""
-    return search.keep_ranking(score.ranked(scored(s, d).select("id", "score")), fresh_path(s, "ranking"), 200).page(1000, 50)
+    return search.keep_ranking(score.ranked(totals(s, d).select("id", "score")), fresh_path(s, "ranking"), 200).page(1000, 50)
 
 
-query("W5_sort_modes", f"{TOTAL} SELECT id, name, round(score_raw, 1) AS score, row_number() OVER (ORDER BY {_natural}, round(score_raw, 1) DESC, id) AS place FROM r")(lambda s, d: search.in_order(search.sort_modes(scored(s, d), "name")).select("id", "name", "score", "place"))
+query("W5_sort_modes", f"{TOTAL} SELECT id, name, round(score_raw, 1) AS score, row_number() OVER (ORDER BY {_natural}, round(score_raw, 1) DESC, id) AS place FROM r")(lambda s, d: search.in_order(search.sort_modes(totals(s, d), "name")).select("id", "name", "score", "place"))
 
 
 @query("E8_rescore_changed", f"{TOTAL} SELECT id, score_raw FROM r WHERE pos % 3 = 0")
@@ -620,7 +624,7 @@ def refresh_batch(s: SparkSession, d: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty best companies, with what their scores are made of."""
-    best = search.page(score.score_table(nest(flat(spark, sf_dir)), AS_OF_YEAR), 0, 20)
+    best = search.page(score.score_table(nest(flat(spark, sf_dir)), AS_OF_YEAR, explain=False), 0, 20)
     return best.select("id", "name", "score", "confidence", "covered_weight")
 
 

@@ -42,9 +42,9 @@ def test_many_similarities_at_once_and_their_bound(spark):
     assert pairs.filter(match.name_similarity("a", "b") != F.col("similarity")).count() == 0
 
 
-@pytest.mark.parametrize("tasks", [1, 7])
+@pytest.mark.parametrize(("tasks", "within"), [(1, True), (7, True), (1, False)])
 @pytest.mark.parametrize("shape", ["path", "star", "random"])
-def test_components_of_paths_and_hubs(spark, shape, tasks, monkeypatch):
+def test_components_of_paths_and_hubs(spark, shape, tasks, within, monkeypatch):
     n, rng = 3000, random.Random(3)
     edges = {"path": [(k, k + 1) for k in range(n)], "star": [(n, k) for k in range(n)], "random": [(rng.randrange(n), rng.randrange(n)) for _ in range(n // 2)]}[shape]
     rounds = []
@@ -52,7 +52,7 @@ def test_components_of_paths_and_hubs(spark, shape, tasks, monkeypatch):
     if tasks > 1:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame([*edges, (5, 5)], "a long, b long"), "a", "b").collect()}
+        got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame([*edges, (5, 5)], "a long, b long"), "a", "b", within_tasks=within).collect()}
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     label = {x: x for e in edges for x in e if e[0] != e[1]}
@@ -69,10 +69,10 @@ def test_components_of_paths_and_hubs(spark, shape, tasks, monkeypatch):
             u, v = sorted((find(u), find(v)))
             parent[v] = u
     assert got == {x: find(x) for x in label}
-    assert not rounds if tasks == 1 else rounds  # few edges come in one task and need no round
+    assert not rounds if tasks == 1 and within else rounds  # few edges come in one task and need no round
 
 
 def test_components_of_text_nodes(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y"), (None, "z"), ("q", "q")], "a string, b string")
-    assert {(r["node"], r["component"]) for r in graph.connected_components(edges, "a", "b").collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
-    assert graph.connected_components(edges.limit(0), "a", "b").count() == 0
+    assert {(r["node"], r["component"]) for r in graph.connected_components(edges, "a", "b", within_tasks=True).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
+    assert graph.connected_components(edges.limit(0), "a", "b", within_tasks=True).count() == 0

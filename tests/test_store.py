@@ -67,17 +67,38 @@ def test_a_writer_that_loses_a_version_merges_anew(spark, tmp_path, monkeypatch)
     table = store.keyed_table(rows(spark, range(3), "old"), f"{tmp_path}/t", "id", buckets=2)
     create, raced = store.Files.create, []
 
-    def rival_first(self, path, text):
+    def rival_first(self, path, text, still):
         if not raced:
             raced.append(1)
             table.upsert(rows(spark, [0], "rival"))
-        return create(self, path, text)
+        return create(self, path, text, still)
 
     monkeypatch.setattr(store.Files, "create", rival_first)
     table.upsert(rows(spark, [1], "mine"))
     assert names(table) == {"c0": "rival0", "c1": "mine1", "c2": "old2"}
 
 
+def test_of_a_slow_writer_and_one_that_passed_it_one_commits(spark, tmp_path, monkeypatch):
+    """A writer's file is there but not whole when another takes the next version: whichever sees the other gives way and merges anew."""
+    table = store.keyed_table(rows(spark, range(3), "old"), f"{tmp_path}/t", "id", buckets=2)
+    create, turns = store.Files.create, []
+
+    def slow(self, path, text, still):
+        turns.append(path)
+        if len(turns) > 1:
+            return create(self, path, text, still)
+
+        def passed():  # its name is taken, then the other writer goes by
+            table.upsert(rows(spark, [0], "rival"))
+            return still()
+
+        return create(self, path, text, passed)
+
+    monkeypatch.setattr(store.Files, "create", slow)
+    table.upsert(rows(spark, [1], "mine"))
+    assert names(table) == {"c0": "rival0", "c1": "mine1", "c2": "old2"} and len(turns) == 3
+
+
 def scores(spark, ids):
     made = [(f"c{k}", "score:" + hashlib.sha256(str(k).encode()).hexdigest()[:32], float(k)) for k in ids]
     return spark.createDataFrame(made, "company_id string, cache_key string, score double")
