@@ -9,13 +9,14 @@ belongs to one of TAILS classes by the end of its spelling. The log-bilinear mod
 predicts a word's class from the classes of the two words before it: the
 prediction vector is the sum of position-wise transformed context vectors, its
 product with the output vectors plus a bias gives each class a score. It is trained
-in numpy with noise-contrastive estimation on the class trigram counts of the whole
-training part. One sample is drawn for every DRAW tokens, and LEAST at least, evenly
-spaced over the summed counts, so that every stretch of tokens gives its share and
-training grows with the corpus. Tasks take the counts' parts, train on their own
-samples for a round from the same parameters, and the parameters are averaged by
-samples; ROUNDS rounds. There are as many tasks as hold LEAST samples each, up to
-TASKS, which bounds what the driver averages. Batched matrix products over all
+in numpy with noise-contrastive estimation on all class trigram counts of the whole
+training part; none is left to a draw. A count is cut into equal pieces of at most
+DRAW tokens (fewer where that gives under LEAST pieces of the corpus), a smaller count
+is one piece, and a piece's gradient is weighed by its tokens, so that the rounds
+together pass each training token exactly once and training grows with the corpus.
+Tasks take the counts' parts, train on the round's share of their pieces from the same
+parameters, and the parameters are averaged by tokens; ROUNDS rounds. There are as many
+tasks as hold LEAST pieces each, up to TASKS, which bounds what the driver averages. Batched matrix products over all
 contexts then give exactly normalised log-probabilities.
 
 A known word has probability (1 - u) * P(class | context) * c / class total, where
@@ -155,18 +156,19 @@ class Parameters:
         s += total * total
         x += RATE * total / np.sqrt(s)
 
-    def batch(self, gram: np.ndarray, noise: np.ndarray, cum_noise: np.ndarray, rng: np.random.Generator) -> None:
-        """One step of noise-contrastive estimation on trigram codes."""
+    def batch(self, gram: np.ndarray, weight: np.ndarray, noise: np.ndarray, rng: np.random.Generator) -> None:
+        """One step of noise-contrastive estimation on trigram codes with weights."""
         k = len(noise)
         left, right, q, bias = self.values
         a, b = gram // (k * k), gram // k % k
-        other = np.minimum(np.searchsorted(cum_noise, rng.random((len(gram), NOISE))), k - 1)
+        other = samples(np.arange(k), noise, len(gram) * NOISE, rng).reshape(-1, NOISE)
         w = np.concatenate([(gram % k)[:, None], other], axis=1)
         h = left[a] + right[b]
         out = q[w]
         score = np.einsum("nd,nkd->nk", h, out) + bias[w]
         g = -1 / (1 + np.exp(-(score - np.log(NOISE * noise)[w])))  # label - P(data)
         g[:, 0] += 1
+        g *= weight[:, None]
         dh = np.einsum("nk,nkd->nd", g, out)
         self.step(2, w.reshape(-1), (g[:, :, None] * h[:, None, :]).reshape(-1, DIM))
         self.step(3, w.reshape(-1), g.reshape(-1))
@@ -187,6 +189,15 @@ def samples(codes: np.ndarray, counts: np.ndarray, draws: int, rng: np.random.Ge
     return rng.permutation(codes[np.minimum(np.searchsorted(cum, at, side="right"), len(codes) - 1)])
 
 
+def pieces(codes: np.ndarray, counts: np.ndarray, unit: float, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the code, weight) of each piece that round ``number`` passes; over all ROUNDS rounds a code's weights sum to its count / unit."""
+    times = np.ceil(counts / unit).astype(np.int64)
+    first = (codes.astype(np.int64) * 2_654_435_761 >> 16) % ROUNDS
+    here = times // ROUNDS + ((number - first) % ROUNDS < times % ROUNDS)
+    at = np.repeat(np.arange(len(codes), dtype=np.int32), here)
+    return at, (counts / (times * unit)).astype(np.float32)[at]
+
+
 def train(grams: DataFrame, total: int, draw: int | None = None) -> np.ndarray:
     """log10 P(class | two classes before) as an array of contexts x classes, from a written table of trigram counts (code, n) of ``total`` tokens."""
     k, spark = HEADS + TAILS, grams.sparkSession
@@ -207,16 +218,17 @@ def train(grams: DataFrame, total: int, draw: int | None = None) -> np.ndarray:
                 parts.clear()
                 order = np.argsort(codes).astype(np.int32)  # the same whatever the order of the rows
                 codes, counts = codes[order], counts[order]
-                mine, rng, cum_noise = pickle.loads(pickle.dumps(shared.value)), np.random.default_rng([number, int(codes[0])]), np.cumsum(noise)
-                share = max(1, int(draws / ROUNDS * counts.sum() / total))
-                picked = samples(codes, counts, share, rng)
-                del codes, counts, order
-                for at in range(0, share, BATCH):
-                    mine.batch(picked[at : at + BATCH].astype(np.int64), noise, cum_noise, rng)
-                yield pa.RecordBatch.from_arrays([pa.array([float(share)]), pa.array([pickle.dumps(mine)], pa.binary())], names=["share", "parameters"])
+                mine, rng = pickle.loads(pickle.dumps(shared.value)), np.random.default_rng([number, int(codes[0])])
+                at, weight = pieces(codes, counts, total / draws, number)
+                turn = rng.permutation(len(at)).astype(np.int32)
+                for low in range(0, len(at), BATCH):
+                    here = turn[low : low + BATCH]
+                    mine.batch(codes[at[here]].astype(np.int64), weight[here], noise, rng)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array([float(weight.sum(dtype=np.float64))]), pa.array([pickle.dumps(mine)], pa.binary())], names=["share", "parameters"])
 
         learned = grams.coalesce(tasks).mapInArrow(learn, "share double, parameters binary").collect()  # TASKS rows at most
-        now = Parameters.average(sorted(((r["share"], pickle.loads(r["parameters"])) for r in learned), key=lambda x: (x[0], float(x[1].values[3][0]))))
+        now = now if not learned else Parameters.average(sorted(((r["share"], pickle.loads(r["parameters"])) for r in learned), key=lambda x: (x[0], float(x[1].values[3][0]))))
         shared.unpersist()
     return normalised(np.stack(now.values[:2]), now.values[2], now.values[3])
 
