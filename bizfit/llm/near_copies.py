@@ -2,7 +2,7 @@
 
 Candidates come from the SimHash operator first: texts have a fingerprint of their
 five-word shingles, and those within four bits of the smallest under a Golay key are
-candidates. But a pair at similarity 0.8 differs by about ten bits of 64, which no code
+candidates, then, by the probes, all within four bits that are still apart. But a pair at similarity 0.8 differs by about ten bits of 64, which no code
 radius reaches at a bearable number of keys (README has the sum), so the rest come from
 BANDS independent fingerprints of ROWS minima of hashed shingles each; texts with an
 equal one are candidates. A pair at similarity 0.8 has none in common with a chance of
@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bizfit.llm.common import ascii_lower, join_groups, relabel
-from bizfit.llm.near_dedup import hub_links, pack_bits, set_bits
+from bizfit.llm.near_dedup import hub_links, pack_bits, probe_links, set_bits
 from bizfit.operators.graph import connected_components
 from bizfit.operators.shared import cut
 
@@ -154,6 +154,16 @@ def golay_stars(nodes: DataFrame) -> DataFrame:
     return join_groups(nodes.select("fp", member.alias("x")), cut(near.select("fp", "m", "y"), "copies-near"), ["fp"], "m", nodes.count()).select("x", "y")
 
 
+def golay_pairs(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b) members of different parts (node, part) whose fingerprints are equal or linked by the probes of operator 6, and that may be at 0.8."""
+    placed = cut(nodes.select("node", "fp", F.struct("node", "n", "halvings", "odd").alias("x")).join(parts, "node").select("fp", "part", "x"), "copies-golay")
+    kinds = cut(placed.select("fp", "part").distinct(), "copies-kinds")
+    same = kinds.join(kinds.select("fp", F.col("part").alias("part2")), "fp").filter("part < part2").select("fp", "part", F.col("fp").alias("fp2"), "part2")
+    near = cut(probe_links(kinds).distinct().unionByName(same), "copies-probes")
+    met = near.join(placed, ["fp", "part"]).join(placed.select(F.col("fp").alias("fp2"), F.col("part").alias("part2"), F.col("x").alias("y")), ["fp2", "part2"])
+    return met.filter(_may_match("x.", "y.")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
 def link_copies(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
     """(node, part): part is the smallest node reachable by links of similarity 0.8 or more."""
     total = nodes.count() * BANDS
@@ -179,8 +189,8 @@ def link_copies(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
     x = own.filter("part <> main").select("key", F.col("own").alias("u"), F.col("other").alias("v"), "x", F.col("part").alias("x_part"), "main")
     y = own.select("key", F.col("other").alias("u"), F.col("own").alias("v"), F.col("x").alias("y"), F.col("part").alias("y_part"))
     once = (F.col("y_part") == F.col("main")) | (F.col("x.node") < F.col("y.node"))
-    met = x.join(y, ["key", "u", "v"]).filter(once & (F.col("x_part") != F.col("y_part")) & _may_match("x.", "y."))
-    more = similar(docs, text, met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    met = x.join(y, ["key", "u", "v"]).filter(once & (F.col("x_part") != F.col("y_part")) & _may_match("x.", "y.")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    more = similar(docs, text, met.unionByName(golay_pairs(nodes, parts)).distinct())
     part = lambda side: parts.select(F.col("node").alias(side), F.col("part").alias(f"{side}_part"))
     joined = connected_components(more.join(part("a"), "a").join(part("b"), "b"), "a_part", "b_part").withColumnRenamed("node", "part")
     return relabel(parts, joined, "part", "component", total)

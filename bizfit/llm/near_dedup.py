@@ -158,6 +158,14 @@ def hub_links(fps: DataFrame, total: int) -> DataFrame:
     return join_groups(index, hubs, ["key"], "m", 6 * total).filter((F.col("fp") != F.col("hub")) & _near("fp", "hub")).select("fp", "hub").distinct()
 
 
+def probe_links(parts: DataFrame) -> DataFrame:
+    """(fp, part, fp2, part2) of fingerprints fp < fp2 of different parts within MAX_BITS: the probes of one meet the index keys of the other, some pairs more than once."""
+    left = parts.mapInArrow(_emit("probe"), SCHEMA)
+    right = parts.mapInArrow(_emit("index"), SCHEMA).toDF("key", "fp2", "part2")
+    on = (left["key"] == right["key"]) & (left["fp"] < right["fp2"]) & (left["part"] != right["part2"]) & _near("fp", "fp2")
+    return left.join(right, on).select("fp", "part", "fp2", "part2")
+
+
 def link_fingerprints(fps: DataFrame, total: int) -> DataFrame:
     """(fp, part) for the ``total`` distinct fingerprints ``fps.fp``: part is the smallest fingerprint reachable by links.
 
@@ -167,10 +175,7 @@ def link_fingerprints(fps: DataFrame, total: int) -> DataFrame:
     """
     first = connected_components(hub_links(fps, total), "fp", "hub")
     parts = cut(fps.select("fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("part")), "near-parts")
-    left = parts.mapInArrow(_emit("probe"), SCHEMA)
-    right = parts.mapInArrow(_emit("index"), SCHEMA).toDF("key", "fp2", "part2")
-    on = (left["key"] == right["key"]) & (left["fp"] < right["fp2"]) & (left["part"] != right["part2"]) & _near("fp", "fp2")
-    more = connected_components(left.join(right, on).select("part", "part2").distinct(), "part", "part2")
+    more = connected_components(probe_links(parts).select("part", "part2").distinct(), "part", "part2")
     return relabel(parts, more.withColumnRenamed("node", "part"), "part", "component", total)
 
 
