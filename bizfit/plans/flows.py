@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bizfit.functions import columns as C
 from bizfit.operators import annotate, contacts, match, pages, score, store
-from bizfit.operators.shared import cut
+from bizfit.operators.shared import cut, spread
 from bizfit.operators.store import KeyedTable
 from bizfit.sources import readers
 
@@ -25,10 +25,11 @@ def enrich(companies: DataFrame, fetched: DataFrame, facts: DataFrame, as_of_yea
     own; a page that doesn't, says nothing about it. A company has one page, behind
     which its about and contact pages are read if ``bodies`` (url, html) has them.
     """
-    proven = pages.site_proof(fetched.select("id", "url", "html").join(_phone(companies), "id"))
+    proven = pages.site_proof(spread(fetched.select("id", "url", "html").join(_phone(companies), "id"))).select("id", "url", "html", "_site", "method")
+    proven = cut(proven, "enrich-proven")  # so that the filter doesn't take the proof's expressions in, and read a page once for each of their parts
     own = proven.filter("_site IS NOT NULL OR method IS NOT NULL").select("id", "url", "html")
     own = own if bodies is None else pages.secondary_pages(own, bodies)
-    found = cut(pages.page_contacts(pages.page_signals(own, as_of_year)).select("id", "url", F.col("web").alias("_web"), "contact"), "enrich-found")
+    found = cut(pages.page_contacts(pages.page_signals(spread(own), as_of_year)).select("id", "url", F.col("web").alias("_web"), "contact"), "enrich-found")
     rows = companies.join(found.select("id", F.col("url").alias("_url"), "_web"), "id", "left")
     rows = rows.withColumns({"website": F.coalesce(C.blank(F.col("website")), "_url"), "web": F.coalesce("_web", "web")}).drop("_url", "_web")
     folded = pages.fold_contacts(rows, found, refresh=refresh)
