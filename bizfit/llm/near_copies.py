@@ -20,8 +20,9 @@ Equal word sequences are combined first. A fingerprint's members are first linke
 the most central of them, the one that shares the most fingerprints with others, as
 copies are near their original rather than one another. Only pairs that are still in
 different components are compared then, so a group of near copies doesn't yield all
-its pairs, and no link between components is lost. Texts are read again for the
-members of candidate pairs only.
+its pairs, and no link between components is lost. Members meet by their numbers
+alone; sketches, and texts, which are read again, are taken for the members of candidate
+pairs only.
 
 Nulls: a null text is empty, and empty texts are equal. A null doc_id is never a
 component's smallest id unless all are null; of each component one row is kept,
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from bizfit.llm.common import ascii_lower, join_groups, relabel
 from bizfit.llm.near_dedup import hub_links, pack_bits, probe_links, set_bits
 from bizfit.operators.graph import connected_components
-from bizfit.operators.shared import cut
+from bizfit.operators.shared import cut, discard
 
 SHINGLE = 5
 BANDS, ROWS = 32, 5
@@ -120,9 +121,25 @@ def _may_match(a: str, b: str) -> F.Column:
     return (x("n") * 5 >= y("n") * 4) & (y("n") * 5 >= x("n") * 4) & (apart <= F.when(k == 0, most).otherwise(expected + 6 * F.sqrt(expected) + 6))
 
 
+def facts_of(nodes: DataFrame, some: DataFrame) -> DataFrame:
+    """(node, x) of the nodes in ``some``: what _may_match() asks of a member."""
+    return cut(nodes.select("node", F.struct("node", "n", "halvings", "odd").alias("x")).join(some.select("node").distinct(), "node", "left_semi"), "copies-facts")
+
+
+def hopeful(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the distinct ``pairs`` (a, b) of nodes whose counts and sketches leave 0.8 possible; one node may be in any share of them."""
+    pairs = cut(pairs, "copies-met")
+    total = pairs.count()
+    facts = facts_of(nodes, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
+    for side, x in (("a", "x"), ("b", "y")):
+        times = cut(pairs.groupBy(side).agg(F.count("*").alias("times")), "copies-times")
+        pairs = join_groups(pairs, facts.withColumnsRenamed({"node": side, "x": x}).join(times, side), [side], "times", total).drop("times")
+    return pairs.filter(_may_match("x.", "y.")).select("a", "b")
+
+
 def similar(docs: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) of nodes whose sets of shingles have a similarity of 0.8 or more."""
-    pairs = cut(pairs, "copies-pairs")
+    pairs = asked = cut(pairs, "copies-pairs")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     marks = np.zeros(MARKS, bool)  # spares texts that are in no pair; of bounded size, the join decides
     marks[nodes.select(F.pmod("node", F.lit(MARKS)).cast("int").alias("m")).distinct().toArrow().column("m").to_numpy()] = True
@@ -142,24 +159,29 @@ def similar(docs: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
         times = cut(pairs.groupBy(side).agg(F.count("*").alias("times")), "copies-times")
         pairs = join_groups(pairs, known.withColumnsRenamed({"node": side, "hashes": f"{side}_hashes"}).join(times, side), [side], "times", total).drop("times")
     both = F.size(F.array_intersect("a_hashes", "b_hashes"))
-    return pairs.filter(both * 5 >= (F.size("a_hashes") + F.size("b_hashes") - both) * 4).select("a", "b")
+    found = cut(pairs.filter(both * 5 >= (F.size("a_hashes") + F.size("b_hashes") - both) * 4).select("a", "b"), "copies-similar")
+    discard(known)
+    discard(asked)
+    return found
 
 
 def golay_stars(nodes: DataFrame) -> DataFrame:
     """(x, y) members whose fingerprints are equal or linked through a Golay key's smallest; y is the first with its fingerprint."""
-    member = F.struct("node", "n", "halvings", "odd")
-    first = cut(nodes.groupBy("fp").agg(F.min(member).alias("y"), F.count("*").alias("m")), "copies-fps")
+    first = cut(nodes.groupBy("fp").agg(F.min("node").alias("y"), F.count("*").alias("m")), "copies-fps")
     links = hub_links(first.select("fp"), first.count()).unionByName(first.filter("m > 1").select("fp", F.col("fp").alias("hub")))
     near = links.join(first.select(F.col("fp").alias("hub"), "y"), "hub").join(first.select("fp", "m"), "fp")
-    return join_groups(nodes.select("fp", member.alias("x")), cut(near.select("fp", "m", "y"), "copies-near"), ["fp"], "m", nodes.count()).select("x", "y")
+    return join_groups(nodes.select("fp", F.col("node").alias("x")), cut(near.select("fp", "m", "y"), "copies-near"), ["fp"], "m", nodes.count()).select("x", "y")
 
 
 def golay_pairs(nodes: DataFrame, parts: DataFrame) -> DataFrame:
     """(a, b) members of different parts (node, part) whose fingerprints are equal or linked by the probes of operator 6, and that may be at 0.8."""
-    placed = cut(nodes.select("node", "fp", F.struct("node", "n", "halvings", "odd").alias("x")).join(parts, "node").select("fp", "part", "x"), "copies-golay")
+    placed = cut(nodes.select("node", "fp").join(parts, "node").select("node", "fp", "part"), "copies-golay")
     kinds = cut(placed.select("fp", "part").distinct(), "copies-kinds")
     same = kinds.join(kinds.select("fp", F.col("part").alias("part2")), "fp").filter("part < part2").select("fp", "part", F.col("fp").alias("fp2"), "part2")
     near = cut(probe_links(kinds).distinct().unionByName(same), "copies-probes")
+    ends = near.select("fp", "part").unionByName(near.select(F.col("fp2").alias("fp"), F.col("part2").alias("part"))).distinct()
+    placed = cut(placed.join(ends, ["fp", "part"], "left_semi"), "copies-near-placed")
+    placed = placed.join(facts_of(nodes, placed), "node").select("fp", "part", "x")
     met = near.join(placed, ["fp", "part"]).join(placed.select(F.col("fp").alias("fp2"), F.col("part").alias("part2"), F.col("x").alias("y")), ["fp2", "part2"])
     return met.filter(_may_match("x.", "y.")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
@@ -170,19 +192,20 @@ def link_copies(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
     index = nodes.select(F.explode("keys").alias("key"), "node")
     counts = cut(index.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "copies-keys")
     shared = cut(join_groups(index, counts, ["key"], "m", total), "copies-shared")
-    facts = nodes.drop("keys", "fp").join(shared.groupBy("node").agg(F.sum("m").alias("weight")), "node")
-    members = cut(shared.join(facts.select("node", F.struct("weight", "node", "n", "halvings", "odd").alias("x")), "node").select("key", "m", "x"), "copies-members")
+    weights = shared.groupBy("node").agg(F.sum("m").alias("weight"))
+    members = cut(shared.join(weights, "node").select("key", "m", F.struct("weight", "node").alias("x")), "copies-members")
 
     hubs = cut(members.groupBy("key", "m").agg(F.max("x").alias("y")), "copies-hubs")
-    pairs = lambda met: met.filter((F.col("x.node") != F.col("y.node")) & _may_match("x.", "y.")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    stars = pairs(join_groups(members.select("key", "x"), hubs, ["key"], "m", total)).unionByName(pairs(golay_stars(nodes)))
-    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = connected_components(similar(docs, text, stars), "a", "b")
+    stars = join_groups(members.select("key", "x"), hubs, ["key"], "m", total).select("x.node", F.col("y.node").alias("hub")).unionByName(golay_stars(nodes).toDF("node", "hub"))
+    stars = stars.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    first = connected_components(similar(docs, text, hopeful(nodes, stars)), "a", "b")
     parts = cut(nodes.select("node").join(first, "node", "left").select("node", F.coalesce("component", "node").alias("part")), "copies-parts")
 
     placed = cut(members.withColumn("node", F.col("x.node")).join(parts, "node").select("key", "m", "x", "part"), "copies-placed")
     mixed = placed.groupBy("key", "m").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.max_by("part", "x").alias("main")).filter("lo <> hi")
     left_over = join_groups(placed.drop("m"), cut(mixed.select("key", F.col("m").alias("size"), "main"), "copies-mixed"), ["key"], "size", total)
+    left_over = cut(left_over.select("key", "size", "main", "part", "x.node"), "copies-left-over")
+    left_over = left_over.join(facts_of(nodes, left_over), "node").drop("node")
     blocks = F.ceil(F.col("size") / BLOCK)
     own = left_over.withColumn("own", F.pmod(F.xxhash64("x.node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     # one of each pair isn't in the key's main part
@@ -204,10 +227,11 @@ def node_column(text: str) -> Column:
 def grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, int]:
     """(doc_id and node of every row; node, part, its rows and smallest id of every node; the number of nodes)."""
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
-    rows = cut(docs.select(doc_id, text).mapInArrow(_sketches, f"doc_id {kind}, node long, fp long, n int, halvings int, odd array<long>, keys array<long>"), "copies-rows")
-    same = rows.groupBy("node").agg(F.min("doc_id").alias("low_id"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("fp", "n", "halvings", "odd", "keys")))
-    nodes = cut(same, "copies-nodes")
-    return rows.select("doc_id", "node"), cut(link_copies(docs, text, nodes), "copies-linked").join(nodes.select("node", "low_id", "rows"), "node"), nodes.count()
+    made = cut(docs.select(doc_id, text).mapInArrow(_sketches, f"doc_id {kind}, node long, fp long, n int, halvings int, odd array<long>, keys array<long>"), "copies-rows")
+    same = made.groupBy("node").agg(F.min("doc_id").alias("low_id"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("fp", "n", "halvings", "odd", "keys")))
+    nodes, rows = cut(same, "copies-nodes"), cut(made.select("doc_id", "node"), "copies-where")
+    discard(made)
+    return rows, cut(link_copies(docs, text, nodes), "copies-linked").join(nodes.select("node", "low_id", "rows"), "node"), nodes.count()
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -4,10 +4,12 @@ A 64-bit fingerprint is cut into segments of 22, 21 and 21 bits. Two
 fingerprints at most 4 bits apart have two segments with at most one differing
 bit each, or else the differences fall 2 and 2 and the third segment is equal.
 The first case is found by the binary Golay code of length 23, in which each word
-is within 3 bits of exactly one codeword: a word indexes its own codeword, and
-probes the codewords its one-bit neighbours decode to, which are one to six. Keys
-of two segments are combined into one. The second case is found by the segment's
-value. Every match is verified by counting differing bits.
+is within 3 bits of exactly one codeword: a word has its own codeword, and those that
+its one-bit neighbours decode to, which are one to six. Keys of two segments are
+combined into one. Of a pair, the lower fingerprint takes the neighbours' codewords in a
+key's first segment and the higher one in its second, so that they meet: some 38 keys a
+fingerprint, where all of one and the own of the other are 94. The second case is found
+by the segment's value. Every match is verified by counting differing bits.
 
 Equal fingerprints are combined first. Each key's members are first linked to
 the smallest of them, where near enough; only pairs that these links leave in
@@ -112,8 +114,13 @@ def decode(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own, own[:, None] ^ other[s]
 
 
-def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index keys (n x 6), probe keys and the row each probe key belongs to."""
+def keys_of(fps: np.ndarray, near: tuple[bool, bool] = (True, True)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index keys (n x 6), probe keys and the row each probe key belongs to.
+
+    ``near`` says in which of a key's two segments the neighbours' codewords are taken, too.
+    Where one of two near fingerprints takes them in the first and the other in the second,
+    their probe keys meet, as those of both segments meet an index key.
+    """
     u = fps.astype(np.int64).view(np.uint64)
     seg = [((u >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
     msg = [decode(s) for s in seg]
@@ -121,9 +128,10 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for kind, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
         base = np.int64(kind) << 24
         index.append(base | msg[a][0] << 12 | msg[b][0])
-        grid = (msg[a][1] << 12)[:, :, None] | msg[b][1][:, None, :]
+        of_a, of_b = (msg[k][1] if wide else msg[k][1][:, :1] for k, wide in zip((a, b), near, strict=True))
+        grid = (of_a << 12)[:, :, None] | of_b[:, None, :]
         first = lambda m: np.concatenate([np.ones((len(m), 1), bool), m[:, 1:] != m[:, :1]], axis=1)
-        new = first(msg[a][1])[:, :, None] & first(msg[b][1])[:, None, :]
+        new = first(of_a)[:, :, None] & first(of_b)[:, None, :]
         probes.append(base | grid[new])
         rows.append(np.nonzero(new)[0])
     for kind, s in enumerate(seg, 3):
@@ -134,15 +142,15 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _emit(which: str):
+    near = {"index": (False, False), "first": (True, False), "second": (False, True)}[which]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps, part = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             for at in range(0, len(fps), 4096):
                 f, p = fps[at : at + 4096], part[at : at + 4096]
-                index, probes, rows = keys_of(f)
-                if which == "index":
-                    probes, rows = index.reshape(-1), np.repeat(np.arange(len(f)), index.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(probes), pa.array(f[rows]), pa.array(p[rows])], names=["key", "fp", "part"])
+                _, keys, rows = keys_of(f, near)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(f[rows]), pa.array(p[rows])], names=["key", "fp", "part"])
 
     return run
 
@@ -159,9 +167,9 @@ def hub_links(fps: DataFrame, total: int) -> DataFrame:
 
 
 def probe_links(parts: DataFrame) -> DataFrame:
-    """(fp, part, fp2, part2) of fingerprints fp < fp2 of different parts within MAX_BITS: the probes of one meet the index keys of the other, some pairs more than once."""
-    left = parts.mapInArrow(_emit("probe"), SCHEMA)
-    right = parts.mapInArrow(_emit("index"), SCHEMA).toDF("key", "fp2", "part2")
+    """(fp, part, fp2, part2) of fingerprints fp < fp2 of different parts within MAX_BITS: they meet in a key, some pairs more than once."""
+    left = parts.mapInArrow(_emit("first"), SCHEMA)
+    right = parts.mapInArrow(_emit("second"), SCHEMA).toDF("key", "fp2", "part2")
     on = (left["key"] == right["key"]) & (left["fp"] < right["fp2"]) & (left["part"] != right["part2"]) & _near("fp", "fp2")
     return left.join(right, on).select("fp", "part", "fp2", "part2")
 
