@@ -112,6 +112,8 @@ class KeyedTable:
         """
         values = F.struct(*[F.col(f"`{c}`") for c in self.schema.names])
         rank = F.col(order) if order else F.to_json(values)
+        dealt = [f"`{f.name}`" for f in self.schema if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]  # the others have no hash
+        new = new.repartition(*dealt)  # small files of many rows come in one task, which would sort all of them
         newest = new.groupBy(F.col(self.key).alias("_key")).agg(F.max_by(values, rank).alias("_row")).select("_row.*")
         bucket = F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int").alias("_bucket")
         newest = cut(newest.select("*", bucket), "upsert")
@@ -122,8 +124,10 @@ class KeyedTable:
                 break
             before = self._read(version["folders"], touched).join(newest.select(self.key), self.key, "left_anti").select("*", bucket)
             folder = f"data-{uuid.uuid4().hex}"
-            spread = F.pmod(F.xxhash64(F.lit(7), F.col(self.key)), F.lit(self.files_per_bucket))
-            before.select(*newest.columns).unionByName(newest).repartition("_bucket", spread).write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+            spread = F.pmod(F.xxhash64(F.lit(7), F.col(self.key)), F.lit(self.files_per_bucket)).alias("_file")
+            after = before.select(*newest.columns).unionByName(newest).select("*", spread)
+            after = after.hint("rebalance", "_bucket", "_file").drop("_file")  # a bucket too large for one task is split
+            after.write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
             folders = version["folders"] | {str(b): folder for b in touched}
             epochs = version["epochs"] | ({writer: epoch} if epoch is not None else {})
             name = f"{number:010d}"
