@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +30,19 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(parts))
 
 
+def slices(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """(first, rows) of parts of a column with about ``most`` bytes."""
+    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False), np.int64)
+    first, total = 0, 0
+    for k, n in enumerate(size.tolist()):
+        if k > first and total + n > most:
+            yield first, k - first
+            first, total = k, 0
+        total += n
+    if len(size):
+        yield first, len(size) - first
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
     """Inner join of rows with their groups, where one group may hold any share of the rows.
 

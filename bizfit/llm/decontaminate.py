@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bizfit.llm.common import slices
 from bizfit.operators.shared import cut
 
 SEEDS = ((0, 1, 3, 4, 6, 7), (0, 2, 3, 6, 8, 9), (0, 1, 4, 6, 9, 10), (0, 3, 5, 6, 10, 11))
@@ -205,8 +206,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", least_
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                clean = [not (t.is_valid and shared.value.leaks(t.as_buffer().to_pybytes())) for t in b.column(at).cast(pa.large_binary())]
-                yield b.filter(pa.array(clean, pa.bool_()))
+                for first, n in slices(b.column(at)):  # else both sides hold a second copy of the whole batch
+                    part = b.slice(first, n)
+                    clean = [not (t.is_valid and shared.value.leaks(t.as_buffer().to_pybytes())) for t in part.column(at).cast(pa.large_binary())]
+                    yield part.filter(pa.array(clean, pa.bool_()))
 
         return rows.mapInArrow(run, docs.schema)
 

@@ -38,11 +38,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bizfit.llm.common import fold
+from bizfit.llm.common import fold, slices
 
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 24_000
@@ -156,7 +155,7 @@ class Model:
 
     def symbols(self, x: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.known, x), len(self.known) - 1)
-        return np.where(self.known[at] == x, at, len(self.known))
+        return np.where(self.known[at] == x, at, len(self.known)).astype(np.int32)
 
     @staticmethod
     def step(table: tuple, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,37 +229,25 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text: the score is 1 - best / second best rate."""
-        raw = [letters(t) if t else np.zeros(0, np.int32) for t in texts]
-        rate = self.pieces([self.symbols(x) for x in raw]) * np.array(self.bits)
+        found = [self.symbols(letters(t)) if t else np.zeros(0, np.int32) for t in texts]
+        rate = self.pieces(found) * np.array(self.bits)
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         best = rate.argmin(axis=1)
         two = np.sort(rate, axis=1)[:, :2]
         score = 1 - two[:, 0] / np.maximum(two[:, 1], 1e-9) if len(self.langs) > 1 else np.ones(len(texts))
-        none = np.array([len(x) == 0 for x in raw], bool)
+        none = np.array([len(x) == 0 for x in found], bool)
         return [UNKNOWN if e else self.langs[k] for e, k in zip(none, best, strict=True)], np.where(none, 0.0, score)
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(first, rows) of parts of a column with about BATCH_CHARS bytes."""
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False), np.int64)
-    first, total = 0, 0
-    for k, n in enumerate(size.tolist()):
-        if k > first and total + n > BATCH_CHARS:
-            yield first, k - first
-            first, total = k, 0
-        total += n
-    if len(size):
-        yield first, len(size) - first
-
-
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", parts: int = 3, held: int = 1) -> Model:
     """The model of a bounded sample of the rows whose crc32(id) mod ``parts`` isn't ``held``."""
     rows = docs.filter((fold(F.col(doc_id), parts) != held) & F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & F.col(text).isNotNull())
     mark = F.xxhash64(F.col(doc_id).cast("string"))
     rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), mark.alias("mark"), (F.char_length(text) > LONG_DOC).alias("long"))
     picks = rows.groupBy("lang", F.pmod("mark", F.lit(SAMPLE_DOCS)).alias("slot")).agg(F.min(F.struct("long", "mark")).alias("x"))
-    few = docs.sparkSession.createDataFrame(picks.select("lang", "x.mark", "x.long").collect(), "lang string, mark long, long boolean")  # SAMPLE_DOCS a language at most
+    # SAMPLE_DOCS a language at most; as Arrow, since a list of rows would start a second set of Python workers in the executors
+    few = docs.sparkSession.createDataFrame(picks.select("lang", "x.mark", "x.long").toArrow())
     found = rows.join(F.broadcast(few), ["lang", "mark", "long"]).select("lang", "long", "mark", F.substring("text", 1, LONG_DOC).alias("text"))
     out: dict[str, list[str]] = {}
     for r in sorted(found.groupBy("lang", "long", "mark").agg(F.min("text").alias("text")).collect()):
@@ -275,7 +262,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, n in slices(b.column(1)):
+            for at, n in slices(b.column(1), BATCH_CHARS):
                 part = b.slice(at, n)
                 lang, score = shared.value.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
@@ -290,7 +277,7 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, n in slices(b.column(at)):
+            for first, n in slices(b.column(at), BATCH_CHARS):
                 part = b.slice(first, n)
                 lang, _ = shared.value.predict(part.column(at).to_pylist())
                 yield part.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
